@@ -64,19 +64,23 @@ def norm_gender_irr(value: Column) -> Column:
     return F.when(~low.isin(*_EMPTY, *_NO_GENDER), low)
 
 
-def _three_races(value: Column, missing: tuple[str, ...]) -> Column:
-    low = folded(value)
+def _three_races(low: Column, missing: tuple[str, ...]) -> Column:
     return F.when(low.isin("white", "black"), low).when(~low.isin(*missing), "other")
 
 
+def race_class_oe(low: Column) -> Column:
+    """`norm_race_oe` for an answer that is already stripped and lower case."""
+    return _three_races(low, _NO_RACE_OE)
+
+
 def norm_race_oe(value: Column) -> Column:
     """white, black or other; ``multiple`` and ``not provided`` are ``other``."""
-    return _three_races(value, _NO_RACE_OE)
+    return race_class_oe(folded(value))
 
 
 def norm_race_counts(value: Column) -> Column:
     """white, black or other; ``multiple`` and ``not provided`` are no answer."""
-    return _three_races(value, _NO_RACE_COUNTS)
+    return _three_races(folded(value), _NO_RACE_COUNTS)
 
 
 def race_series_label(value: Column) -> Column:

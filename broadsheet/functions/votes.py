@@ -1,43 +1,37 @@
-"""Votes over a handful of rater columns, as plain (code-generated) expressions."""
+"""Votes of two or three raters, as plain (code-generated) expressions.
+
+A vote is used several times in each expression. Pass plain columns: a long
+expression as a vote would be repeated.
+"""
 
 from __future__ import annotations
 
 from functools import reduce
-from operator import add, and_
+from itertools import combinations
+from operator import and_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from broadsheet.functions.labels import folded, norm_race_counts, norm_race_oe
-
-
-def _as_int(test: Column) -> Column:
-    return F.coalesce(test, F.lit(False)).cast("int")
-
-
-def _supporters(votes: list[Column]) -> list[Column]:
-    """For each vote, how many raters cast the same one (0 for a missing vote)."""
-    return [reduce(add, [_as_int(other == vote) for other in votes]) for vote in votes]
+from broadsheet.functions.labels import folded, norm_race_counts, race_class_oe
 
 
-def _first_with(votes: list[Column], counts: list[Column], top: Column) -> Column:
-    return F.coalesce(*(F.when(n == top, vote) for vote, n in zip(votes, counts)))
+def _shared(votes: tuple[Column, ...]) -> Column:
+    """The vote that two raters share; among three there can be only one."""
+    if not 2 <= len(votes) <= 3:
+        raise ValueError("votes are taken between two or three raters")
+    return F.coalesce(*(F.when(a == b, a) for a, b in combinations(votes, 2)))
 
 
 def majority_strict(*votes: Column) -> Column:
     """Most frequent vote, but only if at least two raters cast it."""
-    counts = _supporters(list(votes))
-    top = F.greatest(*counts)
-    return F.when(top > 1, _first_with(list(votes), counts, top))
+    return _shared(votes)
 
 
 def majority_unique(*votes: Column) -> Column:
     """Most frequent vote if no other ties with it; one lone vote wins."""
-    counts = _supporters(list(votes))
-    top = F.greatest(*counts)
-    # Each value at the top accounts for exactly ``top`` raters.
-    at_top = reduce(add, [_as_int(n == top) for n in counts])
-    return F.when((top > 0) & (at_top == top), _first_with(list(votes), counts, top))
+    cast = sum((vote.isNotNull().cast("int") for vote in votes), F.lit(0))
+    return F.coalesce(_shared(votes), F.when(cast == 1, F.coalesce(*votes)))
 
 
 def race_vote_raw(value: Column) -> Column:
@@ -51,7 +45,7 @@ def vote_then_norm(*answers: Column) -> Column:
 
     ``unknown`` can win the vote and then counts as no answer.
     """
-    return norm_race_oe(majority_unique(*map(race_vote_raw, answers)))
+    return race_class_oe(majority_unique(*map(race_vote_raw, answers)))
 
 
 def norm_then_vote(*answers: Column) -> Column:

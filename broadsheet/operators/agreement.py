@@ -6,6 +6,7 @@ what is shuffled are counts per (variable, pair, value, value).
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -20,17 +21,19 @@ PAIR = ["variable", "rater_1", "rater_2"]
 KAPPA, ALPHA = "cohens_kappa", "krippendorff_alpha"
 
 
-def _pairs_of(ratings: DataFrame) -> list[tuple[str, str, str]]:
+def _pairs_of(
+    ratings: DataFrame, variables: Iterable[str] = VARIABLES
+) -> list[tuple[str, str, str]]:
     """(variable, rater, rater) for which both columns are there, in rater order."""
     return [
         (v, a, b)
-        for v in VARIABLES
+        for v in variables
         for a, b in combinations(RATERS, 2)
         if {rating_column(a, v), rating_column(b, v)} <= set(ratings.columns)
     ]
 
 
-def rater_pairs(ratings: DataFrame) -> DataFrame:
+def rater_pairs(ratings: DataFrame, variables: Iterable[str] = VARIABLES) -> DataFrame:
     """``art_num``, the pair and both values, for all pairs of the five raters."""
     cells = [
         F.struct(
@@ -40,7 +43,7 @@ def rater_pairs(ratings: DataFrame) -> DataFrame:
             F.col(rating_column(a, v)).alias("value_1"),
             F.col(rating_column(b, v)).alias("value_2"),
         )
-        for v, a, b in _pairs_of(ratings)
+        for v, a, b in _pairs_of(ratings, variables)
     ]
     return ratings.select("art_num", F.inline(F.array(*cells)))
 
@@ -51,10 +54,10 @@ def pair_valid_n(ratings: DataFrame) -> DataFrame:
     return rater_pairs(ratings).groupBy(*PAIR).agg(F.count_if(both).alias("n"))
 
 
-def confusion(ratings: DataFrame) -> DataFrame:
+def confusion(ratings: DataFrame, variables: Iterable[str] = VARIABLES) -> DataFrame:
     """Counts per pair and pair of answers, both answers given."""
     return (
-        rater_pairs(ratings)
+        rater_pairs(ratings, variables)
         .where(F.col("value_1").isNotNull() & F.col("value_2").isNotNull())
         .groupBy(*PAIR, "value_1", "value_2")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -112,7 +115,7 @@ def _pair_alpha() -> Column:
 def cohen_kappa(ratings: DataFrame) -> DataFrame:
     """Unweighted kappa per pair for the binary variables; null below two articles
     or when only one answer occurs."""
-    sums = _pair_sums(confusion(ratings).where(F.col("variable").isin(*BINARY_VARIABLES)))
+    sums = _pair_sums(confusion(ratings, BINARY_VARIABLES))
     return sums.select(*PAIR, _kappa().alias("value"), F.col("n").cast("bigint").alias("n"))
 
 

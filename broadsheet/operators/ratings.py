@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,7 @@ from broadsheet.dims import (
     HUMANS, MODELS, RATERS, SURVEY_FIRST_ANSWER, SURVEY_QUESTIONS, VARIABLES, rating_column,
 )
 from broadsheet.functions.labels import model_column_normaliser, normaliser_for
+from broadsheet.functions.text import compute_once
 from broadsheet.functions.votes import majority_strict
 
 
@@ -45,12 +47,21 @@ def model_ratings(people: DataFrame, position: Column) -> DataFrame:
     )
 
 
-def normalise_ratings(ratings: DataFrame) -> DataFrame:
-    """Apply to every rating column the normaliser of its variable."""
-    known = {rating_column(r, v): v for r in RATERS for v in VARIABLES}
-    return ratings.withColumns(
-        {c: normaliser_for(known[c])(F.col(c)) for c in ratings.columns if c in known}
+def normalise_ratings(ratings: DataFrame, variables: Iterable[str] = VARIABLES) -> DataFrame:
+    """Apply to every rating column of the variables its normaliser.
+
+    Each is computed once, although every rater takes part in four pairs.
+    """
+    known = {rating_column(r, v): v for v in variables for r in RATERS}
+    rest = ratings.drop(*(c for c in ratings.columns if c in known))
+    raw = ratings.select(
+        *rest.columns, *(F.col(c).alias(f"_{c}") for c in ratings.columns if c in known)
     )
+    normal = compute_once(
+        raw,
+        **{c: normaliser_for(known[c])(F.col(f"_{c}")) for c in ratings.columns if c in known},
+    )
+    return normal.select(*ratings.columns)
 
 
 # --- survey export ------------------------------------------------------------
@@ -63,14 +74,19 @@ def survey_answer_columns(survey: DataFrame) -> list[str]:
     return [c for c in survey.columns if _ANSWER_COLUMN.match(c)]
 
 
+def answered_rows(survey: DataFrame) -> DataFrame:
+    """Rows of real respondents: the first answer is there and is no template."""
+    first = F.col(SURVEY_FIRST_ANSWER)
+    return survey.where(first.isNotNull() & ~F.startswith(first, F.lit("{")))
+
+
 def survey_respondents(survey: DataFrame, position: str = "row_pos") -> DataFrame:
-    """Drop preview rows and rows without a first answer; name the rest by position.
+    """Answered rows, named after the human raters by position.
 
     There is one row per human rater, so numbering them touches at most one
     row more than there are raters; a row too many is an error.
     """
-    first = F.col(SURVEY_FIRST_ANSWER)
-    answered = survey.where(first.isNotNull() & ~F.startswith(first, F.lit("{")))
+    answered = answered_rows(survey)
     ahead = answered.select(position).orderBy(position).limit(len(HUMANS) + 1)
     number = F.row_number().over(Window.orderBy(position))
     names = F.array(*(F.lit(h.capitalize()) for h in HUMANS))

@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.dims import (
-    HIST_BINS, IDEOLOGY_SIGNS, RACES, ROLES, VALID_STATES, ideology_bins, race_grid,
+    HIST_BINS, IDEOLOGY_SIGNS, MODELS, RACES, ROLES, VALID_STATES, ideology_bins, race_grid,
     state_population, state_regions,
 )
-from broadsheet.functions.labels import is_charted_race, race_series_label
+from broadsheet.functions.labels import (
+    is_charted_race, norm_race_counts, race_class_oe, race_series_label,
+)
 from broadsheet.functions.scores import hist_bin, ideology_bin, ideology_sign, oe_ratio_ci
+from broadsheet.functions.text import compute_once
 from broadsheet.functions.urls import source_url_norm, url_domain, url_netloc_nowww
-from broadsheet.functions.votes import norm_then_vote, vote_then_norm
+from broadsheet.functions.votes import majority_unique, race_vote_raw
 
 # --- articles and ideology ----------------------------------------------------
 
@@ -141,29 +144,33 @@ def people_with_population(people: DataFrame) -> DataFrame:
     return people.join(F.broadcast(state_population(people.sparkSession)), "state")  # 51 rows
 
 
-def _race_votes(people: DataFrame, vote) -> DataFrame:
-    """``(url_norm, role, race)``, one row per person and role."""
-    roles = [
+def _race_votes(people: DataFrame, prepare, decide) -> DataFrame:
+    """``(url_norm, role, race)``, one row per person and role.
+
+    ``prepare`` readies each model's answer and ``decide`` takes the vote.
+    """
+    answers = [f"{model}_{role}_race" for role in ROLES for model in MODELS]
+    prepared = compute_once(
+        people.select(url_netloc_nowww(F.col("url")).alias("url_norm"), *(
+            (F.col(c) if c in people.columns else F.lit(None).cast("string")).alias(c)
+            for c in answers
+        )),
+        **{f"_{c}": prepare(F.col(c)) for c in answers},
+    )
+    votes = [
         F.struct(
             F.lit(role).alias("role"),
-            vote(
-                *(
-                    F.col(c) if c in people.columns else F.lit(None).cast("string")
-                    for c in (f"gpt_{role}_race", f"llama_{role}_race", f"qwen_{role}_race")
-                )
-            ).alias("race"),
+            decide(*(F.col(f"_{model}_{role}_race") for model in MODELS)).alias("race"),
         )
         for role in ROLES
     ]
-    return people.select(
-        url_netloc_nowww(F.col("url")).alias("url_norm"), F.inline(F.array(*roles))
-    )
+    return prepared.select("url_norm", F.inline(F.array(*votes)))
 
 
-def race_votes_by_source(people: DataFrame, sources: DataFrame, vote) -> DataFrame:
+def race_votes_by_source(people: DataFrame, sources: DataFrame, prepare, decide) -> DataFrame:
     """Counts of voted races per leaning source, role and race."""
     counts = (
-        _race_votes(people, vote)
+        _race_votes(people, prepare, decide)
         .where(F.col("race").isNotNull())
         .groupBy("url_norm", "role", "race")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -174,7 +181,7 @@ def race_votes_by_source(people: DataFrame, sources: DataFrame, vote) -> DataFra
 def race_counts(people: DataFrame, sources: DataFrame) -> DataFrame:
     """People per role, race and ideology; each answer is normalised, then voted on."""
     return (
-        race_votes_by_source(people, sources, norm_then_vote)
+        race_votes_by_source(people, sources, norm_race_counts, majority_unique)
         .groupBy("role", "race", F.col("ideology_label").alias("ideology"))
         .agg(F.sum("n").alias("count"))
     )
@@ -211,7 +218,11 @@ def race_oe(people: DataFrame, sources: DataFrame) -> DataFrame:
     Answers are voted on first and normalised after. Expected is the sum of the
     states' shares over everyone with a race in that ideology and role.
     """
-    voted = people_with_population(race_votes_by_source(people, sources, vote_then_norm))
+    voted = people_with_population(
+        race_votes_by_source(
+            people, sources, race_vote_raw, lambda *votes: race_class_oe(majority_unique(*votes))
+        )
+    )
     n = F.col("n")
     sums = []
     for race in RACES:

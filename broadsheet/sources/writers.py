@@ -9,6 +9,14 @@ from broadsheet.operators.agreement import irr_human_only, irr_human_vs_model
 from broadsheet.sources.readers import BLOCK_FIELDS
 
 METADATA_COLUMNS = ("url", "year", "source", "state", "tier1_keywords", "tier2_keywords")
+# Cells are written as they are, with quotes doubled; blanks at the ends matter.
+CSV_OPTIONS = {
+    "header": True,
+    "escape": '"',
+    "emptyValue": "",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 KEYWORD_COLUMNS = ("tier1_keywords", "tier2_keywords")
 
 
@@ -21,7 +29,7 @@ def _text_of(df: DataFrame, name: str) -> Column:
 
 
 def _write_csv(df: DataFrame, path: str, mode: str) -> None:
-    df.write.mode(mode).csv(path, header=True, escape='"', emptyValue="")
+    df.write.mode(mode).csv(path, **CSV_OPTIONS)
 
 
 def article_blocks(articles: DataFrame) -> DataFrame:
