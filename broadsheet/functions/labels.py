@@ -103,6 +103,16 @@ def normaliser_for(variable: str):
     return norm_label
 
 
+def normalise_by_variable(variable: Column, value: Column) -> Column:
+    """An answer in long form, normalised as its variable asks for."""
+    return (
+        F.when(variable.isin(*BINARY_VARIABLES), norm_yes_no(value))
+        .when(F.endswith(variable, F.lit("_race")), norm_race_irr(value))
+        .when(F.endswith(variable, F.lit("_gender")), norm_gender_irr(value))
+        .otherwise(norm_label(value))
+    )
+
+
 def model_column_normaliser(column: str):
     """Normaliser for a model's column, chosen by name; None leaves it as it is."""
     if column.split("_")[0] not in MODELS:

@@ -1,7 +1,9 @@
-"""Inter-rater agreement from confusion counts.
+"""Inter-rater agreement from counted answer patterns.
 
-Every article is one wide row, so its rater pairs are formed within the row;
-what is shuffled are counts per (variable, pair, value, value).
+Every article is one wide row, so its raters meet within the row. The five
+answers to a variable form a pattern; patterns are counted first, in the map
+tasks, and all that follows works on those few rows: normalising raw answers,
+forming pairs, and the sums behind kappa and alpha.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 from broadsheet.dims import (
     BINARY_VARIABLES, HUMANS, MODELS, RATERS, VARIABLES, rating_column,
 )
+from broadsheet.functions.labels import normalise_by_variable
 from broadsheet.functions.votes import all_agree
 
 PAIR = ["variable", "rater_1", "rater_2"]
@@ -48,25 +51,87 @@ def rater_pairs(ratings: DataFrame, variables: Iterable[str] = VARIABLES) -> Dat
     return ratings.select("art_num", F.inline(F.array(*cells)))
 
 
-def pair_valid_n(ratings: DataFrame) -> DataFrame:
-    """Articles per pair that both raters answered."""
-    both = F.col("value_1").isNotNull() & F.col("value_2").isNotNull()
-    return rater_pairs(ratings).groupBy(*PAIR).agg(F.count_if(both).alias("n"))
+def rating_patterns(
+    ratings: DataFrame, variables: Iterable[str] = VARIABLES, raw: bool = False
+) -> DataFrame:
+    """``variable``, one column per rater, and the number of articles ``n``.
+
+    With ``raw``, the answers are normalised here, once per distinct pattern.
+    """
+
+    def answer(rater: str, variable: str) -> Column:
+        column = rating_column(rater, variable)
+        return F.col(column) if column in ratings.columns else F.lit(None).cast("string")
+
+    cells = [
+        F.struct(F.lit(v).alias("variable"), *(answer(r, v).alias(r) for r in RATERS))
+        for v in variables
+    ]
+    patterns = (
+        ratings.select(F.inline(F.array(*cells)))
+        .groupBy("variable", *RATERS)
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    if not raw:
+        return patterns
+    normal = patterns.select(
+        "variable", *(normalise_by_variable(F.col("variable"), F.col(r)).alias(r) for r in RATERS), "n"
+    )
+    return normal.groupBy("variable", *RATERS).agg(F.sum("n").alias("n"))
+
+
+def _pattern_pairs(patterns: DataFrame) -> DataFrame:
+    """Every pair of raters within each pattern, with both values and ``n``."""
+    cells = [
+        F.struct(
+            F.lit(a).alias("rater_1"),
+            F.lit(b).alias("rater_2"),
+            F.col(a).alias("value_1"),
+            F.col(b).alias("value_2"),
+        )
+        for a, b in combinations(RATERS, 2)
+    ]
+    return patterns.select("variable", "n", F.inline(F.array(*cells)))
+
 
+def _both_given() -> Column:
+    return F.col("value_1").isNotNull() & F.col("value_2").isNotNull()
 
-def confusion(ratings: DataFrame, variables: Iterable[str] = VARIABLES) -> DataFrame:
+
+def confusion(patterns: DataFrame) -> DataFrame:
     """Counts per pair and pair of answers, both answers given."""
     return (
-        rater_pairs(ratings, variables)
-        .where(F.col("value_1").isNotNull() & F.col("value_2").isNotNull())
+        _pattern_pairs(patterns)
+        .where(_both_given())
         .groupBy(*PAIR, "value_1", "value_2")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
 
 
-def coincidence_matrix(ratings: DataFrame) -> DataFrame:
+def _all_pairs(ratings: DataFrame, variables: Iterable[str] = VARIABLES) -> DataFrame:
+    """The pairs to report, at most 70 rows."""
+    wanted = [
+        F.struct(*(F.lit(x).alias(k) for k, x in zip(PAIR, pair)))
+        for pair in _pairs_of(ratings, variables)
+    ]
+    return ratings.sparkSession.range(0, 1, 1, 1).select(F.inline(F.array(*wanted)))
+
+
+def pair_valid_n(ratings: DataFrame, raw: bool = False) -> DataFrame:
+    """Articles per pair that both raters answered."""
+    counts = (
+        _pattern_pairs(rating_patterns(ratings, raw=raw))
+        .groupBy(*PAIR)
+        .agg(F.sum(F.when(_both_given(), F.col("n")).otherwise(0)).alias("n"))
+    )
+    return F.broadcast(_all_pairs(ratings)).join(counts, PAIR, "left").select(
+        *PAIR, F.coalesce("n", F.lit(0)).alias("n")
+    )
+
+
+def coincidence_matrix(ratings: DataFrame, raw: bool = False) -> DataFrame:
     """Ordered value pair counts over all raters; symmetric."""
-    counts = confusion(ratings)
+    counts = confusion(rating_patterns(ratings, raw=raw))
     value_1, value_2, n = F.col("value_1"), F.col("value_2"), F.col("n")
     both_orders = F.array(
         F.struct(value_1.alias("value_1"), value_2.alias("value_2"), n.alias("n")),
@@ -112,41 +177,33 @@ def _pair_alpha() -> Column:
     return 1 - F.try_divide(1 - F.col("same") / n, 1 - F.col("pooled") / (4 * n * n))
 
 
-def cohen_kappa(ratings: DataFrame) -> DataFrame:
+def cohen_kappa(ratings: DataFrame, raw: bool = False) -> DataFrame:
     """Unweighted kappa per pair for the binary variables; null below two articles
     or when only one answer occurs."""
-    sums = _pair_sums(confusion(ratings, BINARY_VARIABLES))
+    sums = _pair_sums(confusion(rating_patterns(ratings, BINARY_VARIABLES, raw)))
     return sums.select(*PAIR, _kappa().alias("value"), F.col("n").cast("bigint").alias("n"))
 
 
-def nominal_alpha(ratings: DataFrame, raters: tuple[str, ...] = RATERS) -> DataFrame:
-    """Alpha per variable over any number of raters, without small-sample terms.
+def nominal_alpha(ratings: DataFrame, raw: bool = False) -> DataFrame:
+    """Alpha per variable over all its raters, without small-sample terms.
 
     For an article with m answers, of which c agree with a given one, that
     answer adds m - 1 to the pairs and to its value's marginal, and c - 1 to the
     pairs that agree. Articles with one answer add nothing.
     """
-    cells = []
-    for variable in VARIABLES:
-        columns = [rating_column(r, variable) for r in raters]
-        votes = [F.col(c) for c in columns if c in ratings.columns]
-        if len(votes) < 2:
-            continue
-        given = sum((v.isNotNull().cast("int") for v in votes), F.lit(0))
-        for vote in votes:
-            alike = sum(
-                (F.coalesce(v == vote, F.lit(False)).cast("int") for v in votes), F.lit(0)
-            )
-            cells.append(
-                F.struct(
-                    F.lit(variable).alias("variable"),
-                    vote.alias("value"),
-                    (given - 1).alias("pairs"),
-                    (alike - 1).alias("same"),
-                )
-            )
+    votes, n = [F.col(r) for r in RATERS], F.col("n")
+    given = sum((v.isNotNull().cast("int") for v in votes), F.lit(0))
+    cells = [
+        F.struct(
+            vote.alias("value"),
+            ((given - 1) * n).alias("pairs"),
+            ((sum((_same(v, vote) for v in votes), F.lit(0)) - 1) * n).alias("same"),
+        )
+        for vote in votes
+    ]
     per_value = (
-        ratings.select(F.inline(F.array(*cells)))
+        rating_patterns(ratings, raw=raw)
+        .select("variable", F.inline(F.array(*cells)))
         .where(F.col("value").isNotNull())
         .groupBy("variable", "value")
         .agg(*(F.sum(c).cast("double").alias(c) for c in ("pairs", "same")))
@@ -162,18 +219,18 @@ def nominal_alpha(ratings: DataFrame, raters: tuple[str, ...] = RATERS) -> DataF
     return sums.select("variable", (1 - F.try_divide(disagreed, expected)).alias("value"))
 
 
-def irr_table(ratings: DataFrame, digits: int | None = 3) -> DataFrame:
+def _same(a: Column, b: Column) -> Column:
+    return F.coalesce(a == b, F.lit(False)).cast("int")
+
+
+def irr_table(ratings: DataFrame, digits: int | None = 3, raw: bool = False) -> DataFrame:
     """Kappa (binary) or alpha (nominal) for every variable and pair of raters."""
     is_binary = F.col("variable").isin(*BINARY_VARIABLES)
     value = F.when(is_binary, _kappa()).otherwise(_pair_alpha())
-    sums = _pair_sums(confusion(ratings)).select(*PAIR, value.alias("value"), "n")
-    wanted = [
-        F.struct(*(F.lit(x).alias(k) for k, x in zip(PAIR, p))) for p in _pairs_of(ratings)
-    ]
-    grid = ratings.sparkSession.range(0, 1, 1, 1).select(F.inline(F.array(*wanted)))
+    counts = confusion(rating_patterns(ratings, raw=raw))
+    sums = _pair_sums(counts).select(*PAIR, value.alias("value"), "n")
     rounded = F.col("value") if digits is None else F.bround("value", digits)
-    # At most 70 rows on either side.
-    return F.broadcast(grid).join(sums, PAIR, "left").select(
+    return F.broadcast(_all_pairs(ratings)).join(sums, PAIR, "left").select(
         *PAIR,
         F.when(is_binary, KAPPA).otherwise(ALPHA).alias("metric"),
         rounded.alias("value"),

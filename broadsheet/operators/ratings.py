@@ -50,18 +50,17 @@ def model_ratings(people: DataFrame, position: Column) -> DataFrame:
 def normalise_ratings(ratings: DataFrame, variables: Iterable[str] = VARIABLES) -> DataFrame:
     """Apply to every rating column of the variables its normaliser.
 
-    Each is computed once, although every rater takes part in four pairs.
+    The columns of a variable are normalised as one array: the expression is
+    there once instead of once per rater, and its result is not recomputed by
+    whatever uses the columns next.
     """
-    known = {rating_column(r, v): v for v in variables for r in RATERS}
-    rest = ratings.drop(*(c for c in ratings.columns if c in known))
-    raw = ratings.select(
-        *rest.columns, *(F.col(c).alias(f"_{c}") for c in ratings.columns if c in known)
-    )
-    normal = compute_once(
-        raw,
-        **{c: normaliser_for(known[c])(F.col(f"_{c}")) for c in ratings.columns if c in known},
-    )
-    return normal.select(*ratings.columns)
+    places, arrays = {}, {}
+    for v in variables:
+        columns = [c for c in (rating_column(r, v) for r in RATERS) if c in ratings.columns]
+        if columns:
+            places |= {c: F.get(f"_{v}", F.lit(i)).alias(c) for i, c in enumerate(columns)}
+            arrays[f"_{v}"] = F.transform(F.array(*columns), normaliser_for(v))
+    return compute_once(ratings, **arrays).select(*(places.get(c, c) for c in ratings.columns))
 
 
 # --- survey export ------------------------------------------------------------

@@ -443,7 +443,9 @@ all_pairs AS (
   SELECT a.art_num, a.variable, a.rater AS rater_1, b.rater AS rater_2, a.value AS value_1, b.value AS value_2
   FROM ratings_long a JOIN ratings_long b ON a.art_num = b.art_num AND a.variable = b.variable AND a.ord < b.ord),
 pairs AS (SELECT * FROM all_pairs WHERE value_1 IS NOT NULL AND value_2 IS NOT NULL)"""
-_oracle("rater_pairs", "ratings", f"WITH {_PAIRS} SELECT * FROM all_pairs")
+_oracle("rater_pairs", "ratings", f"""WITH {_PAIRS}
+SELECT variable, rater_1, rater_2, value_1, value_2, count(*) AS n, CAST(sum(art_num) AS BIGINT) AS art_nums
+FROM all_pairs GROUP BY ALL""")
 
 _oracle("resume_filter", "articles", f"""WITH
 done AS (SELECT {_url_netloc("url")} AS domain, max(year) AS last_year FROM articles WHERE year <= 2018 + doc_id % 5 GROUP BY 1),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.dims import (
-    BINARY_VARIABLES, MODELS, NOMINAL_VARIABLES, RATERS, ROLES, TIER1_TERMS, TIER2_TERMS,
+    MODELS, NOMINAL_VARIABLES, RATERS, ROLES, TIER1_TERMS, TIER2_TERMS,
     keyword_terms, rating_column,
 )
 from broadsheet.functions import labels, scores, urls, votes
@@ -147,10 +147,8 @@ def sink_curated_metadata(t: Tables) -> DataFrame:
 @query
 def sink_irr_tables(t: Tables) -> DataFrame:
     folder = scratch(t.spark, "irr")
-    normal = ratings.normalise_ratings(t.ratings)
-    writers.write_irr_tables(
-        agreement.irr_table(normal), agreement.label_disagreements(normal), folder
-    )
+    labels_only = ratings.normalise_ratings(t.ratings, ["crime_label"])
+    writers.write_irr_tables(irr_table(t), agreement.label_disagreements(labels_only), folder)
     tables = [
         t.spark.read.csv(f"{folder}/{name}.csv", header=True).select(
             F.lit(name).alias("file"), "variable", "rater_1", "rater_2", "metric",
@@ -445,7 +443,11 @@ def model_human_merge(t: Tables) -> DataFrame:
 
 @query
 def rater_pairs(t: Tables) -> DataFrame:
-    return agreement.rater_pairs(ratings.normalise_ratings(t.ratings))
+    """All pairs of all articles, counted per value pair with a sum over the articles."""
+    pairs = agreement.rater_pairs(ratings.normalise_ratings(t.ratings))
+    return pairs.groupBy(*agreement.PAIR, "value_1", "value_2").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("art_num").alias("art_nums")
+    )
 
 
 @query
@@ -549,18 +551,18 @@ def race_oe(t: Tables) -> DataFrame:
 
 @query
 def cohen_kappa(t: Tables) -> DataFrame:
-    return rounded(agreement.cohen_kappa(ratings.normalise_ratings(t.ratings, BINARY_VARIABLES)), "value")
+    return rounded(agreement.cohen_kappa(t.ratings, raw=True), "value")
 
 
 @query
 def nominal_alpha(t: Tables) -> DataFrame:
     """Alpha over all five raters at once."""
-    return rounded(agreement.nominal_alpha(ratings.normalise_ratings(t.ratings)), "value")
+    return rounded(agreement.nominal_alpha(t.ratings, raw=True), "value")
 
 
 @query
 def nominal_alpha_pairs(t: Tables) -> DataFrame:
-    irr = agreement.irr_table(ratings.normalise_ratings(t.ratings), digits=6)
+    irr = agreement.irr_table(t.ratings, digits=6, raw=True)
     return irr.where(F.col("variable").isin(*NOMINAL_VARIABLES)).drop("metric")
 
 
@@ -572,22 +574,22 @@ def label_kappa(t: Tables) -> DataFrame:
         F.col("quality").cast("string").alias("eleanor_crime_present"),
         F.col("toxic").cast("string").alias("sarah_crime_present"),
     )
-    return rounded(agreement.cohen_kappa(ratings.normalise_ratings(table)), "value")
+    return rounded(agreement.cohen_kappa(table, raw=True), "value")
 
 
 @query
 def coincidence_matrix(t: Tables) -> DataFrame:
-    return agreement.coincidence_matrix(ratings.normalise_ratings(t.ratings))
+    return agreement.coincidence_matrix(t.ratings, raw=True)
 
 
 @query
 def pair_valid_n(t: Tables) -> DataFrame:
-    return agreement.pair_valid_n(ratings.normalise_ratings(t.ratings))
+    return agreement.pair_valid_n(t.ratings, raw=True)
 
 
 @query
 def irr_table(t: Tables) -> DataFrame:
-    return agreement.irr_table(ratings.normalise_ratings(t.ratings))
+    return agreement.irr_table(t.ratings, raw=True)
 
 
 @query
