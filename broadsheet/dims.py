@@ -6,6 +6,8 @@ Every value below is a fixed value: results depend on it exactly.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
+from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -172,68 +174,53 @@ def parse_years(years: str) -> list[int]:
     return list(range(first, last + 1))
 
 
-def _constant_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
-    """A constant table whose tiny size the optimizer can see."""
-    structs = [F.struct(*(F.lit(v).alias(k) for k, v in row.items())) for row in rows]
-    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*structs)))
+def sql_literal(value: str | int | float) -> str:
+    """A constant as SQL text."""
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{value!r}D" if isinstance(value, float) else str(value)
+
+
+def constant_table(spark: SparkSession, columns: str, rows: Iterable[tuple]) -> DataFrame:
+    """A table of constants; the optimizer sees its rows and therefore its size."""
+    listed = ", ".join("(" + ", ".join(map(sql_literal, row)) + ")" for row in rows)
+    return spark.sql(f"SELECT * FROM VALUES {listed} AS t({columns})")
 
 
 def state_regions(spark: SparkSession) -> DataFrame:
     """50 rows ``(state, region)``."""
-    return _constant_rows(
-        spark,
-        [{"state": s, "region": r} for r, states in REGION_STATES.items() for s in states],
-    )
+    rows = [(s, region) for region, states in REGION_STATES.items() for s in states]
+    return constant_table(spark, "state, region", rows)
 
 
 def state_population(spark: SparkSession) -> DataFrame:
     """51 rows ``(state, white_prop, black_prop, other_prop)``, DC included."""
-    rows = _constant_rows(
-        spark,
-        [
-            {"state": s, "white_prop": white, "black_prop": black}
-            for s, (white, black) in STATE_POPULATION.items()
-        ],
-    )
-    return rows.withColumn("other_prop", 1 - (F.col("white_prop") + F.col("black_prop")))
+    rows = [(state, *shares) for state, shares in STATE_POPULATION.items()]
+    shares = constant_table(spark, "state, white_prop, black_prop", rows)
+    return shares.withColumn("other_prop", 1 - (F.col("white_prop") + F.col("black_prop")))
 
 
 def crawl_collections(spark: SparkSession) -> DataFrame:
     """14 rows ``(year, collection, coll_pos)``; some years have no collection."""
-    return _constant_rows(
-        spark,
-        [
-            {"year": year, "collection": name, "coll_pos": pos}
-            for year, names in CRAWL_COLLECTIONS.items()
-            for pos, name in enumerate(names)
-        ],
-    )
+    rows = [
+        (year, name, pos)
+        for year, names in CRAWL_COLLECTIONS.items()
+        for pos, name in enumerate(names)
+    ]
+    return constant_table(spark, "year, collection, coll_pos", rows)
 
 
 def ideology_bins(spark: SparkSession) -> DataFrame:
     """3 rows ``(bin_pos, category)``."""
-    return _constant_rows(
-        spark, [{"bin_pos": i, "category": c} for i, c in enumerate(IDEOLOGY_BINS)]
-    )
+    return constant_table(spark, "bin_pos, category", list(enumerate(IDEOLOGY_BINS)))
 
 
 def race_grid(spark: SparkSession) -> DataFrame:
     """12 rows ``(ideology, role, race)``: every cell of the representation table."""
-    return _constant_rows(
-        spark,
-        [
-            {"ideology": i, "role": o, "race": r}
-            for i in IDEOLOGY_SIGNS
-            for o in ROLES
-            for r in RACES
-        ],
-    )
+    return constant_table(spark, "ideology, role, race", product(IDEOLOGY_SIGNS, ROLES, RACES))
 
 
 def keyword_terms(spark: SparkSession) -> DataFrame:
     """Both dictionaries as ``(tier, term)``, duplicates kept."""
-    return _constant_rows(
-        spark,
-        [{"tier": 1, "term": t} for t in TIER1_TERMS]
-        + [{"tier": 2, "term": t} for t in TIER2_TERMS],
-    )
+    rows = [(1, t) for t in TIER1_TERMS] + [(2, t) for t in TIER2_TERMS]
+    return constant_table(spark, "tier, term", rows)

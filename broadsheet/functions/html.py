@@ -97,14 +97,19 @@ def _pieces(markup: Column) -> Column:
     return F.array_join(F.array_remove(F.transform(pieces, strip), ""), _GAP)
 
 
-def _content(markup: Column, name: str, start: str) -> Column:
+def _extract(text: Column, pattern: Column) -> Column:
+    """First match of a pattern that is itself a column; ``''`` without one."""
+    return F.coalesce(F.regexp_substr(text, pattern), F.lit(""))
+
+
+def _content(markup: Column, name: Column, start: Column) -> Column:
     """What the first tag matching ``start`` encloses; null if there is none.
 
     The markup from there on is cut at every tag of the same name. Walking the
     cuts with a depth counter tells how many of them belong to the container;
     one that is never closed runs to the end.
     """
-    rest = F.regexp_extract(markup, rf"(?is){start}.*$", 0)
+    rest = _extract(markup, F.concat(F.lit("(?is)"), start, F.lit(".*$")))
 
     def enclosed(parts: Column) -> Column:
         def walk(state: Column, part: Column) -> Column:
@@ -121,7 +126,8 @@ def _content(markup: Column, name: str, start: str) -> Column:
         kept = F.aggregate(inner, begin, walk)["kept"]
         return F.when(F.size(parts) > 1, F.array_join(F.slice(parts, 2, kept), ""))
 
-    cut = F.regexp_replace(rest, rf"(?i)(?=</?{name}[\s/>])", _CUT)
+    own_tag = F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"[\s/>])"))
+    cut = F.regexp_replace(rest, own_tag, F.lit(_CUT))
     return let(F.split(cut, _CUT), enclosed)
 
 
@@ -149,21 +155,20 @@ def html_text(html: Column, limit: int = MIN_CHARS) -> Column:
     breaks between pieces. ``''`` if no container does. A container is looked
     into only when all before it have failed.
     """
+    containers = F.array(
+        *(F.struct(F.lit(n).alias("name"), F.lit(s).alias("start")) for n, s in _CONTAINERS)
+    )
 
-    def first_long_enough(clean: Column, containers: list[tuple[str, str]]) -> Column:
-        if not containers:
-            return F.lit("")
-        name, start = containers[0]
+    def accept(pieces: Column) -> Column:
+        long_enough = F.length(F.replace(pieces, F.lit(_GAP), F.lit(""))) > limit
+        return F.when(long_enough, F.replace(pieces, F.lit(_GAP), F.lit("\n"))).otherwise("")
 
-        def accept(text: Column) -> Column:
-            # Line breaks inside a piece count, those that join pieces do not.
-            return F.when(
-                F.length(F.replace(text, F.lit(_GAP), F.lit(""))) > limit,
-                F.replace(text, F.lit(_GAP), F.lit("\n")),
-            ).otherwise(first_long_enough(clean, containers[1:]))
+    def choose(markup: Column) -> Column:
+        def try_next(text: Column, container: Column) -> Column:
+            content = _content(markup, container["name"], container["start"])
+            return F.when(text == "", let(_pieces(content), accept)).otherwise(text)
 
-        return let(_pieces(_content(clean, name, start)), accept)
+        return F.aggregate(containers, F.lit(""), try_next)
 
-    cleaned = F.regexp_replace(F.coalesce(html, F.lit("")), _UNSEEN, _GAP)
-    text = let(_decode_entities(cleaned), lambda clean: first_long_enough(clean, _CONTAINERS))
-    return F.translate(text, _STAND_INS, _MARKUP_CHARS)
+    seen = F.regexp_replace(F.coalesce(html, F.lit("")), _UNSEEN, _GAP)
+    return F.translate(let(_decode_entities(seen), choose), _STAND_INS, _MARKUP_CHARS)

@@ -3,13 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.dims import MIN_CHARS
+from broadsheet.dims import MIN_CHARS, sql_literal
 
 # All characters that count as white space at the ends of a text (Unicode rule;
 # the plain ``trim`` function would only take U+0020).
@@ -70,47 +68,45 @@ def _guarded(terms: Iterable[str]) -> dict[str, dict[str, list[str]]]:
     return tree
 
 
-def _has(lowered: Column, part: str) -> Column:
-    return F.contains(lowered, F.lit(part))
+def _has(column: str, part: str) -> str:
+    return f"contains({column}, {sql_literal(part)})"
 
 
-def any_in_lowered(lowered: Column, terms: Iterable[str]) -> Column:
-    """`has_keyword` for a column that is already lower case."""
+def any_in_lowered(column: str, terms: Iterable[str]) -> Column:
+    """`has_keyword` for a named column that is already lower case."""
     branches = []
     for mark, by_prefix in _guarded(terms).items():
         tests = []
         for prefix, group in by_prefix.items():
-            found = reduce(or_, [_has(lowered, t) for t in group])
-            tests.append(_has(lowered, prefix) & found if len(group) > 1 else found)
-        found = reduce(or_, tests)
-        branches.append(_has(lowered, mark) & found if mark else found)
-    return reduce(or_, branches)
+            found = " OR ".join(_has(column, t) for t in group)
+            tests.append(f"({_has(column, prefix)} AND ({found}))" if len(group) > 1 else found)
+        found = " OR ".join(tests)
+        branches.append(f"({_has(column, mark)} AND ({found}))" if mark else found)
+    return F.expr(" OR ".join(branches))
 
 
-def _joined_hits(lowered: Column, terms: Iterable[str]) -> Column:
-    """Found terms, each followed by a line break.
+def hits_in_lowered(column: str, terms: Iterable[str]) -> Column:
+    """`keyword_hits` for a named column that is already lower case.
 
     A plain chain of ``contains`` tests stays inside generated code, which a
-    higher-order ``filter`` over the dictionary does not.
+    higher-order ``filter`` over the dictionary does not. It is given as SQL
+    text because hundreds of terms would be thousands of calls to the JVM.
     """
+
+    def when(part: str, then: str) -> str:
+        return f"CASE WHEN {_has(column, part)} THEN {then} END" if part else then
+
+    def joined(parts: list[str]) -> str:
+        return f"concat_ws('', {', '.join(parts)})"
+
     branches = []
     for mark, by_prefix in _guarded(terms).items():
         parts = []
         for prefix, group in by_prefix.items():
-            found = [F.when(_has(lowered, t), F.lit(t + "\n")) for t in group]
-            if len(group) > 1:
-                found = [F.when(_has(lowered, prefix), F.concat_ws("", *found))]
-            parts += found
-        joined = F.concat_ws("", *parts)
-        branches.append(F.when(_has(lowered, mark), joined) if mark else joined)
-    return F.concat_ws("", *branches)
-
-
-def hits_in_lowered(lowered: Column, terms: Iterable[str]) -> Column:
-    """`keyword_hits` for a column that is already lower case."""
-    return F.sort_array(
-        F.array_remove(F.split(_joined_hits(lowered, terms), "\n"), "")
-    )
+            found = [when(t, sql_literal(t + "\n")) for t in group]
+            parts += found if len(group) == 1 else [when(prefix, joined(found))]
+        branches.append(when(mark, joined(parts)))
+    return F.expr(f"sort_array(array_remove(split({joined(branches)}, '\n'), ''))")
 
 
 def _lowered(text: Column) -> Column:
@@ -122,18 +118,24 @@ def with_lowered(df: DataFrame, text: str, lowered: str = "_lowered") -> DataFra
     return compute_once(df, **{lowered: _lowered(F.col(text))})
 
 
+def _term_array(terms: Iterable[str]) -> Column:
+    return F.split(F.lit("\n".join(dictionary(terms))), "\n")
+
+
 def keyword_hits(text: Column, terms: Iterable[str]) -> Column:
     """Every distinct term that occurs in the text, ignoring case, sorted.
 
     Terms may overlap: ``sexual-assault`` in a text also yields ``assault``.
-    On long texts prefer `with_lowered` and `hits_in_lowered`.
+    For whole corpora use `with_lowered` and `hits_in_lowered`, which are faster.
     """
-    return let(_lowered(text), lambda low: hits_in_lowered(low, terms))
+    known = _term_array(terms)
+    return let(_lowered(text), lambda low: F.filter(known, lambda t: F.contains(low, t)))
 
 
 def has_keyword(text: Column, terms: Iterable[str]) -> Column:
     """True if any term occurs; stops at the first one found."""
-    return let(_lowered(text), lambda low: any_in_lowered(low, terms))
+    known = _term_array(terms)
+    return let(_lowered(text), lambda low: F.exists(known, lambda t: F.contains(low, t)))
 
 
 def has_date(text: Column) -> Column:

@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.dims import (
-    BINARY_VARIABLES, HUMANS, MODELS, RATERS, VARIABLES, rating_column,
+    BINARY_VARIABLES, HUMANS, MODELS, RATERS, VARIABLES, constant_table, rating_column,
 )
 from broadsheet.functions.labels import normalise_by_variable
+from broadsheet.functions.text import compute_once
 from broadsheet.functions.votes import all_agree
 
 PAIR = ["variable", "rater_1", "rater_2"]
@@ -39,16 +40,15 @@ def _pairs_of(
 def rater_pairs(ratings: DataFrame, variables: Iterable[str] = VARIABLES) -> DataFrame:
     """``art_num``, the pair and both values, for all pairs of the five raters."""
     cells = [
-        F.struct(
-            F.lit(v).alias("variable"),
-            F.lit(a).alias("rater_1"),
-            F.lit(b).alias("rater_2"),
-            F.col(rating_column(a, v)).alias("value_1"),
-            F.col(rating_column(b, v)).alias("value_2"),
-        )
+        f"'{v}', '{a}', '{b}', {rating_column(a, v)}, {rating_column(b, v)}"
         for v, a, b in _pairs_of(ratings, variables)
     ]
-    return ratings.select("art_num", F.inline(F.array(*cells)))
+    return ratings.select("art_num", stacked(cells, [*PAIR, "value_1", "value_2"]))
+
+
+def stacked(rows: list[str], names: list[str]) -> Column:
+    """A generator of one row per SQL row expression."""
+    return F.expr(f"stack({len(rows)}, {', '.join(rows)})").alias(*names)
 
 
 def rating_patterns(
@@ -59,39 +59,33 @@ def rating_patterns(
     With ``raw``, the answers are normalised here, once per distinct pattern.
     """
 
-    def answer(rater: str, variable: str) -> Column:
+    def answer(rater: str, variable: str) -> str:
         column = rating_column(rater, variable)
-        return F.col(column) if column in ratings.columns else F.lit(None).cast("string")
+        return column if column in ratings.columns else "CAST(NULL AS STRING)"
 
-    cells = [
-        F.struct(F.lit(v).alias("variable"), *(answer(r, v).alias(r) for r in RATERS))
-        for v in variables
-    ]
+    cells = [f"'{v}', " + ", ".join(answer(r, v) for r in RATERS) for v in variables]
     patterns = (
-        ratings.select(F.inline(F.array(*cells)))
+        ratings.select(stacked(cells, ["variable", *RATERS]))
         .groupBy("variable", *RATERS)
         .agg(F.count(F.lit(1)).alias("n"))
     )
     if not raw:
         return patterns
-    normal = patterns.select(
-        "variable", *(normalise_by_variable(F.col("variable"), F.col(r)).alias(r) for r in RATERS), "n"
+    answers = F.transform(
+        F.array(*RATERS), lambda a: normalise_by_variable(F.col("variable"), a)
+    )
+    normal = compute_once(patterns.select("variable", "n", *RATERS), answers=answers)
+    return (
+        normal.groupBy("variable", *(F.get("answers", F.lit(i)).alias(r) for i, r in enumerate(RATERS)))
+        .agg(F.sum("n").alias("n"))
     )
-    return normal.groupBy("variable", *RATERS).agg(F.sum("n").alias("n"))
 
 
 def _pattern_pairs(patterns: DataFrame) -> DataFrame:
     """Every pair of raters within each pattern, with both values and ``n``."""
-    cells = [
-        F.struct(
-            F.lit(a).alias("rater_1"),
-            F.lit(b).alias("rater_2"),
-            F.col(a).alias("value_1"),
-            F.col(b).alias("value_2"),
-        )
-        for a, b in combinations(RATERS, 2)
-    ]
-    return patterns.select("variable", "n", F.inline(F.array(*cells)))
+    cells = [f"'{a}', '{b}', {a}, {b}" for a, b in combinations(RATERS, 2)]
+    names = ["rater_1", "rater_2", "value_1", "value_2"]
+    return patterns.select("variable", "n", stacked(cells, names))
 
 
 def _both_given() -> Column:
@@ -110,11 +104,7 @@ def confusion(patterns: DataFrame) -> DataFrame:
 
 def _all_pairs(ratings: DataFrame, variables: Iterable[str] = VARIABLES) -> DataFrame:
     """The pairs to report, at most 70 rows."""
-    wanted = [
-        F.struct(*(F.lit(x).alias(k) for k, x in zip(PAIR, pair)))
-        for pair in _pairs_of(ratings, variables)
-    ]
-    return ratings.sparkSession.range(0, 1, 1, 1).select(F.inline(F.array(*wanted)))
+    return constant_table(ratings.sparkSession, ", ".join(PAIR), _pairs_of(ratings, variables))
 
 
 def pair_valid_n(ratings: DataFrame, raw: bool = False) -> DataFrame:

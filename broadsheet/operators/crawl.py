@@ -77,13 +77,13 @@ def crawl_targets(
 def url_keyword_filter(df: DataFrame, url: str = "url") -> DataFrame:
     """Rows whose URL holds a term of either tier."""
     low = with_lowered(df, url)
-    return low.where(any_in_lowered(F.col("_lowered"), ALL_TERMS)).drop("_lowered")
+    return low.where(any_in_lowered("_lowered", ALL_TERMS)).drop("_lowered")
 
 
 def with_matched_keywords(df: DataFrame, url: str = "url") -> DataFrame:
     low = with_lowered(df, url)
     return low.withColumn(
-        "matched_keywords", hits_in_lowered(F.col("_lowered"), ALL_TERMS)
+        "matched_keywords", hits_in_lowered("_lowered", ALL_TERMS)
     ).drop("_lowered")
 
 

@@ -27,10 +27,10 @@ def terms_from_lines(lines: DataFrame, line: str = "value") -> DataFrame:
 def body_keyword_filter(articles: DataFrame, text: str = "text") -> DataFrame:
     """Articles whose text holds a tier-1 term; tier 2 does not matter here."""
     low = with_lowered(articles, text)
-    return low.where(any_in_lowered(F.col("_lowered"), TIER1_TERMS)).drop("_lowered")
+    return low.where(any_in_lowered("_lowered", TIER1_TERMS)).drop("_lowered")
 
 
-def curation_outcome(lowered: Column, text: Column) -> Column:
+def curation_outcome(lowered: str, text: Column) -> Column:
     """Why an article is dropped, or that it is kept. The date counts first."""
     return (
         F.when(~has_date(text), NO_DATE)
@@ -42,7 +42,7 @@ def curation_outcome(lowered: Column, text: Column) -> Column:
 def with_outcome(articles: DataFrame, text: str = "text") -> DataFrame:
     """Add ``outcome`` and the lower-case text ``_lowered``, each computed once."""
     low = with_lowered(articles, text)
-    return compute_once(low, outcome=curation_outcome(F.col("_lowered"), F.col(text)))
+    return compute_once(low, outcome=curation_outcome("_lowered", F.col(text)))
 
 
 def funnel_counts() -> list[Column]:
@@ -63,23 +63,22 @@ def curate(articles: DataFrame, text: str = "text") -> DataFrame:
     Narrow all the way: each article is read, tested and written in one task.
     """
     low = with_lowered(articles.where(has_date(F.col(text))), text)
-    hits = compute_once(low, tier1_keywords=hits_in_lowered(F.col("_lowered"), TIER1_TERMS))
+    hits = compute_once(low, tier1_keywords=hits_in_lowered("_lowered", TIER1_TERMS))
     return (
         hits.where(F.size("tier1_keywords") > 0)
-        .withColumn("tier2_keywords", hits_in_lowered(F.col("_lowered"), TIER2_TERMS))
+        .withColumn("tier2_keywords", hits_in_lowered("_lowered", TIER2_TERMS))
         .drop("_lowered")
     )
 
 
 def keep_curated(judged: DataFrame) -> DataFrame:
     """`curate` for rows that already carry an outcome (see `with_outcome`)."""
-    low = F.col("_lowered")
     return (
         judged.where(F.col("outcome") == KEPT)
         .withColumns(
             {
-                "tier1_keywords": hits_in_lowered(low, TIER1_TERMS),
-                "tier2_keywords": hits_in_lowered(low, TIER2_TERMS),
+                "tier1_keywords": hits_in_lowered("_lowered", TIER1_TERMS),
+                "tier2_keywords": hits_in_lowered("_lowered", TIER2_TERMS),
             }
         )
         .drop("_lowered", "outcome")

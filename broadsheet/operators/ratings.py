@@ -174,21 +174,14 @@ def model_human_merge(models: DataFrame, humans: DataFrame) -> DataFrame:
 
 def ratings_wide_to_long(ratings: DataFrame) -> DataFrame:
     """``(art_num, variable, rater, value)`` for every rating column present."""
-    columns = {
-        rating_column(r, v): (v, r)
+    cells = [
+        f"'{v}', '{r}', {rating_column(r, v)}"
         for v in VARIABLES
         for r in RATERS
         if rating_column(r, v) in ratings.columns
-    }
-    cells = F.array(
-        *(
-            F.struct(
-                F.lit(v).alias("variable"), F.lit(r).alias("rater"), F.col(c).alias("value")
-            )
-            for c, (v, r) in columns.items()
-        )
-    )
-    return ratings.select("art_num", F.inline(cells))
+    ]
+    long = F.expr(f"stack({len(cells)}, {', '.join(cells)})")
+    return ratings.select("art_num", long.alias("variable", "rater", "value"))
 
 
 def with_model_majority(ratings: DataFrame) -> DataFrame:

@@ -207,7 +207,7 @@ def year_range(t: Tables) -> DataFrame:
 @query
 def keyword_hits(t: Tables) -> DataFrame:
     low = with_lowered(t.articles.select("doc_id", "text"), "text")
-    hits = hits_in_lowered(F.col("_lowered"), TIER1_TERMS + TIER2_TERMS)
+    hits = hits_in_lowered("_lowered", TIER1_TERMS + TIER2_TERMS)
     return low.select("doc_id", hits.alias("hits")).select("doc_id", joined("hits"))
 
 
@@ -626,7 +626,7 @@ def race_share(t: Tables) -> DataFrame:
 def _term_counts(t: Tables) -> DataFrame:
     """Articles per term found in them."""
     low = with_lowered(t.articles, "text")
-    hits = compute_once(low, hits=hits_in_lowered(F.col("_lowered"), TIER1_TERMS + TIER2_TERMS))
+    hits = compute_once(low, hits=hits_in_lowered("_lowered", TIER1_TERMS + TIER2_TERMS))
     return hits.select(F.explode("hits").alias("term")).groupBy("term").agg(
         F.count(F.lit(1)).alias("n")
     )
@@ -647,7 +647,7 @@ def keyword_union(t: Tables) -> DataFrame:
 def hits_distinct(t: Tables) -> DataFrame:
     """Distinct terms per article, however often each occurs."""
     low = with_lowered(t.articles.select("doc_id", "text"), "text")
-    hits = compute_once(low, hits=hits_in_lowered(F.col("_lowered"), TIER2_TERMS * 2))
+    hits = compute_once(low, hits=hits_in_lowered("_lowered", TIER2_TERMS * 2))
     return hits.select("doc_id", F.size("hits").alias("n_hits"))
 
 
