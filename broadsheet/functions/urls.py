@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from broadsheet.dims import HOST_PREFIXES
 from broadsheet.functions.text import strip
 
-_AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
+_SCHEME = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"
 _LEADING_JUNK = "".join(map(chr, range(0x21)))
 
 
-def _authority(url: Column) -> Column:
-    """Authority part of a URL, ``''`` if it has none. Port and user info stay."""
+def _authority(url: Column, skip: str = "") -> Column:
+    """Authority part of a URL, less a prefix to skip; ``''`` if it has none.
+
+    Port and user info stay.
+    """
     clean = F.ltrim(F.translate(url, "\t\r\n", ""), F.lit(_LEADING_JUNK))
-    return F.regexp_extract(clean, _AUTHORITY, 1)
+    return F.regexp_extract(clean, rf"{_SCHEME}(?:{skip})?([^/?#]*)", 1)
 
 
 def url_netloc(url: Column) -> Column:
@@ -40,9 +43,9 @@ def url_netloc_nowww(url: Column) -> Column:
 
     A lone square bracket makes the authority unreadable: null.
     """
-    netloc = _authority(F.lower(strip(F.coalesce(url, F.lit("")))))
+    netloc = _authority(F.lower(strip(F.coalesce(url, F.lit("")))), r"www\.")
     readable = F.contains(netloc, F.lit("[")) == F.contains(netloc, F.lit("]"))
-    return F.when(readable, F.regexp_replace(netloc, r"^www\.", ""))
+    return F.when(readable, netloc)
 
 
 def source_url_norm(url: Column) -> Column:

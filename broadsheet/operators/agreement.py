@@ -18,7 +18,7 @@ from broadsheet.dims import (
     BINARY_VARIABLES, HUMANS, MODELS, RATERS, VARIABLES, constant_table, rating_column,
 )
 from broadsheet.functions.labels import normalise_by_variable
-from broadsheet.functions.text import compute_once
+from broadsheet.functions.text import compute_once, stacked
 from broadsheet.functions.votes import all_agree
 
 PAIR = ["variable", "rater_1", "rater_2"]
@@ -46,11 +46,6 @@ def rater_pairs(ratings: DataFrame, variables: Iterable[str] = VARIABLES) -> Dat
     return ratings.select("art_num", stacked(cells, [*PAIR, "value_1", "value_2"]))
 
 
-def stacked(rows: list[str], names: list[str]) -> Column:
-    """A generator of one row per SQL row expression."""
-    return F.expr(f"stack({len(rows)}, {', '.join(rows)})").alias(*names)
-
-
 def rating_patterns(
     ratings: DataFrame, variables: Iterable[str] = VARIABLES, raw: bool = False
 ) -> DataFrame:

@@ -13,7 +13,7 @@ from broadsheet.dims import (
     HUMANS, MODELS, RATERS, SURVEY_FIRST_ANSWER, SURVEY_QUESTIONS, VARIABLES, rating_column,
 )
 from broadsheet.functions.labels import model_column_normaliser, normaliser_for
-from broadsheet.functions.text import compute_once
+from broadsheet.functions.text import compute_once, stacked
 from broadsheet.functions.votes import majority_strict
 
 
@@ -28,10 +28,12 @@ def first_non_null(
 
     A partial aggregate: map tasks send one row per group, whatever its size.
     """
+    placed = compute_once(df, _position=position).select(*keys, *columns, "_position")
     firsts = [
-        F.min_by(F.col(c), F.when(F.col(c).isNotNull(), position)).alias(c) for c in columns
+        F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_position"))).alias(c)
+        for c in columns
     ]
-    return df.groupBy(*keys).agg(*firsts)
+    return placed.groupBy(*keys).agg(*firsts)
 
 
 def model_ratings(people: DataFrame, position: Column) -> DataFrame:
@@ -180,8 +182,7 @@ def ratings_wide_to_long(ratings: DataFrame) -> DataFrame:
         for r in RATERS
         if rating_column(r, v) in ratings.columns
     ]
-    long = F.expr(f"stack({len(cells)}, {', '.join(cells)})")
-    return ratings.select("art_num", long.alias("variable", "rater", "value"))
+    return ratings.select("art_num", stacked(cells, ["variable", "rater", "value"]))
 
 
 def with_model_majority(ratings: DataFrame) -> DataFrame:

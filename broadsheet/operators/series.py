@@ -17,7 +17,7 @@ from broadsheet.functions.labels import (
     is_charted_race, norm_race_counts, race_class_oe, race_series_label,
 )
 from broadsheet.functions.scores import hist_bin, ideology_bin, ideology_sign, oe_ratio_ci
-from broadsheet.functions.text import compute_once
+from broadsheet.functions.text import compute_once, stacked
 from broadsheet.functions.urls import source_url_norm, url_domain, url_netloc_nowww
 from broadsheet.functions.votes import majority_unique, race_vote_raw
 
@@ -144,38 +144,29 @@ def people_with_population(people: DataFrame) -> DataFrame:
     return people.join(F.broadcast(state_population(people.sparkSession)), "state")  # 51 rows
 
 
-def _race_votes(people: DataFrame, prepare, decide) -> DataFrame:
-    """``(url_norm, role, race)``, one row per person and role.
+def race_votes_by_source(people: DataFrame, sources: DataFrame, prepare, decide) -> DataFrame:
+    """People counted per leaning source, role and voted race, joined to the source.
 
-    ``prepare`` readies each model's answer and ``decide`` takes the vote.
+    Raw answers repeat a great deal, so people with the same answers are counted
+    first; ``prepare`` (for each model's answer) and ``decide`` (the vote) then
+    run once per distinct set of answers. A race may appear in several rows.
     """
-    answers = [f"{model}_{role}_race" for role in ROLES for model in MODELS]
-    prepared = compute_once(
-        people.select(url_netloc_nowww(F.col("url")).alias("url_norm"), *(
-            (F.col(c) if c in people.columns else F.lit(None).cast("string")).alias(c)
-            for c in answers
-        )),
-        **{f"_{c}": prepare(F.col(c)) for c in answers},
-    )
-    votes = [
-        F.struct(
-            F.lit(role).alias("role"),
-            decide(*(F.col(f"_{model}_{role}_race") for model in MODELS)).alias("race"),
-        )
-        for role in ROLES
-    ]
-    return prepared.select("url_norm", F.inline(F.array(*votes)))
 
+    def answer(model: str, role: str) -> str:
+        column = f"{model}_{role}_race"
+        return column if column in people.columns else "CAST(NULL AS STRING)"
 
-def race_votes_by_source(people: DataFrame, sources: DataFrame, prepare, decide) -> DataFrame:
-    """Counts of voted races per leaning source, role and race."""
-    counts = (
-        _race_votes(people, prepare, decide)
-        .where(F.col("race").isNotNull())
-        .groupBy("url_norm", "role", "race")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return counts.join(_signed_sources(sources), "url_norm")
+    cells = [f"'{role}', " + ", ".join(answer(m, role) for m in MODELS) for role in ROLES]
+    answers = people.select(
+        url_netloc_nowww(F.col("url")).alias("url_norm"), stacked(cells, ["role", *MODELS])
+    )
+    counts = answers.groupBy("url_norm", "role", *MODELS).agg(F.count(F.lit(1)).alias("n"))
+    prepared = compute_once(counts, **{f"_{m}": prepare(F.col(m)) for m in MODELS})
+    votes = prepared.select(
+        "url_norm", "role", "n", decide(*(F.col(f"_{m}") for m in MODELS)).alias("race")
+    )
+    voted = votes.where(F.col("race").isNotNull())
+    return voted.join(_signed_sources(sources), "url_norm")
 
 
 def race_counts(people: DataFrame, sources: DataFrame) -> DataFrame:

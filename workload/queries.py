@@ -21,26 +21,32 @@ from broadsheet.plans.collect import collect_articles
 from broadsheet.sources import readers, writers
 from workload.views import Tables
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+BUILDERS: dict[str, Callable[[Tables], DataFrame]] = {}
 
 YEARS = "2018-2024"
 
 
 def query(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-    QUERIES[build.__name__] = lambda spark, folder: build(Tables(spark, folder))
-    return build
+    return query_as(build.__name__)(build)
 
 
 def query_as(name: str):
     """For queries whose name is that of the expression they apply."""
 
     def register(build: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        QUERIES[name] = lambda spark, folder: build(Tables(spark, folder))
+        BUILDERS[name] = build
         return build
 
     return register
 
 
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    def over_folder(build: Callable[[Tables], DataFrame]):
+        return lambda spark, folder: build(Tables(spark, folder))
+
+    return {name: over_folder(build) for name, build in BUILDERS.items()}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder the cluster shares; a local one only in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")

@@ -11,10 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from broadsheet.dims import HUMANS, MODELS, RATERS, SURVEY_QUESTIONS, VARIABLES, rating_column
 
 
+# Words that the two engines spell differently.
+SPARK_WORDS = {"at": "element_at", "list": "array"}
+DUCKDB_WORDS = {"at": "list_extract", "list": "list_value"}
+
+
 def _pick(values: list[str | None], key: str) -> str:
     """The value at ``key`` modulo their number."""
-    listed = "|".join("~" if v is None else v for v in values)
-    return f"nullif(split_part('{listed}', '|', CAST(({key}) % {len(values)} + 1 AS INT)), '~')"
+    listed = ", ".join("NULL" if v is None else f"'{v}'" for v in values)
+    return f"{{at}}({{list}}({listed}), CAST(({key}) % {len(values)} + 1 AS INT))"
 
 
 # Raw answers as raters type them.
@@ -99,7 +104,7 @@ FROM {orders} WHERE o_orderkey % 7 <> 3""",
     "survey": "\nSELECT 'R' || CAST(o_orderkey AS STRING) AS rater, o_orderpriority AS note,\n  "
     + ",\n  ".join(
         f"CASE WHEN (o_orderkey + {a}) % 4 = 0 THEN NULL WHEN o_orderkey % 9 = 5 AND {a} = 1 THEN "
-        + f"""'{{{{"ImportId":"x"}}}}' ELSE {_answer(v, "sarah", f"o_custkey + {a}", "o_orderkey")} END AS {name}"""
+        + f"""chr(123) || '"ImportId"' || chr(125) ELSE {_answer(v, "sarah", f"o_custkey + {a}", "o_orderkey")} END AS {name}"""
         for name, v, a in _SURVEY_COLUMNS
     )
     + "\nFROM {orders}",
@@ -173,7 +178,27 @@ class Tables:
             raise AttributeError(name)
         sql = VIEWS[name]
         needed = [t for t in (*BASE_TABLES, *VIEWS) if f"{{{t}}}" in sql]
-        return self.spark.sql(sql, **{t: getattr(self, t) for t in needed})
+        tables = {t: f"{{{t}}}" for t in needed}
+        text = sql.format(**SPARK_WORDS, **tables)
+        return self.spark.sql(text, **{t: getattr(self, t) for t in needed})
+
+
+class StoredViews(Tables):
+    """Views written to Parquet once, as a corpus would be, and read from there."""
+
+    def __init__(self, spark: SparkSession, folder: str, store: str, files: int):
+        super().__init__(spark, folder)
+        self.store, self.files, self.written = store, files, set()
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in VIEWS and name not in BASE_TABLES:
+            raise AttributeError(name)
+        path = f"{self.store}/{name}"
+        if name not in self.written:
+            rows = super().__getattr__(name).repartition(self.files)
+            rows.write.mode("overwrite").parquet(path)
+            self.written.add(name)
+        return self.spark.read.parquet(path)
 
 
 def ctes(*names: str) -> str:
@@ -181,5 +206,5 @@ def ctes(*names: str) -> str:
     ordered = []
     for name in names:
         ordered += [n for n in (*USES.get(name, []), name) if n not in ordered]
-    tables = {t: t for t in (*BASE_TABLES, *VIEWS)}
-    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n].format(**tables)})" for n in ordered)
+    words = {t: t for t in (*BASE_TABLES, *VIEWS)} | DUCKDB_WORDS
+    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n].format(**words)})" for n in ordered)
