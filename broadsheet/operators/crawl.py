@@ -120,9 +120,11 @@ def top_per_group(
 
     Ranked within salted sub-groups first: however large a group is, no task
     sees more of it than one sub-group, and then ``k`` rows of each sub-group.
-    Both ranks are limited before their shuffle as well.
+    Rows of one task share a salt. The rank is limited ahead of its shuffle, so
+    each task sends at most ``k`` rows of a group. The result does not depend on
+    the salts.
     """
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    salted = df.withColumn("_salt", F.spark_partition_id() % salts)
     for partition in ([*keys, "_salt"], keys):
         window = Window.partitionBy(*partition).orderBy(*order)
         salted = salted.withColumn("_rank", F.row_number().over(window))

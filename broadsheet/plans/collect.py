@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from broadsheet.operators.crawl import (
@@ -36,6 +37,16 @@ def collect_articles(
     )
 
 
+def collected_so_far(spark: SparkSession, out: str) -> DataFrame | None:
+    """Articles that earlier runs left under ``out``, if there was one."""
+    try:
+        return spark.read.parquet(f"{out}/articles")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def run_collect(
     spark: SparkSession,
     sources_path: str,
@@ -43,14 +54,14 @@ def run_collect(
     pages_path: str,
     years: str,
     out: str,
-    resume: bool = False,
+    resume: bool = True,
 ) -> DataFrame:
     """Append newly collected articles under ``out``.
 
-    With ``resume``, years already collected for a domain are left out. The
-    batch is written as Parquet first; both text outputs are made from that.
+    With ``resume``, years that earlier runs collected for a domain are left
+    out. The batch is written as Parquet first; both text outputs are made from that.
     """
-    collected = spark.read.parquet(f"{out}/articles") if resume else None
+    collected = collected_so_far(spark, out) if resume else None
     batch_path = f"{out}/batches/{years}"
     collect_articles(
         read_sources(spark, sources_path),

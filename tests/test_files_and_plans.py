@@ -161,7 +161,7 @@ def test_collect_curate_figures(spark, tmp_path):
     args = (spark, sources, str(tmp_path / "index"), str(tmp_path / "pages"))
     batch = run_collect(*args, "2018-2019", out)
     assert sorted((r.source, r["count"]) for r in batch.groupBy("source").count().collect()) == [("A", 80), ("B", 80)]
-    assert run_collect(*args, "2019-2024", out, resume=True).count() == 0
+    assert run_collect(*args, "2019-2024", out).count() == 0
     matches = spark.read.csv(f"{out}/keyword_matches.csv", header=True)
     assert matches.count() == 160 and matches.columns == ["source", "state", "url", "year", "matched_keywords"]
     curated = str(tmp_path / "curated")
