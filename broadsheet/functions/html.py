@@ -25,7 +25,8 @@ _MARKUP_CHARS, _STAND_INS = "<>\"'", "\x03\x04\x05\x06"
 # the match linear and free of recursion on broken markup.
 _ATTRS = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+"""
 _TAG = rf"(?i)<(?:/?[a-z]{_ATTRS}|[!?][^>]*+)>"
-_UNSEEN = r"(?is)<!--.*?-->|<(script|style|noscript)(?:[\s/][^>]*+)?>.*?</\1\s*+>"
+# Not text: comments and these elements, which run to the end if never closed.
+_UNSEEN = r"(?is)<!--.*?-->|<(script|style|noscript|template)(?:[\s/][^>]*+)?>.*?(?:</\1\s*+>|\z)"
 
 # Characters by entity name, from the HTML 4 table; numbers 128-159 are read as
 # Windows-1252, as browsers do.

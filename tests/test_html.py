@@ -49,8 +49,11 @@ def test_unseen_parts_and_tags(apply):
         "<body><a title='x > y' href=\"a>b\">link</a> 1 < 2 <br/>z</body>",
         "<body><articles>not an article</articles></body>",
         "<BODY><ARTICLE>Up</ARTICLE></BODY>",
+        "<body>a<template><p>t</p></template>b<script>never closed </body>",
+    ]
+    assert text(apply, pages, 0) == [
+        "a\nb\nc\ne\ng", "link\n1 < 2\nz", "not an article", "Up", "a\nb",
     ]
-    assert text(apply, pages, 0) == ["a\nb\nc\ne\ng", "link\n1 < 2\nz", "not an article", "Up"]
 
 
 def test_entities(apply):
