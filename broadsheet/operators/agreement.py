@@ -37,13 +37,31 @@ def _pairs_of(
     ]
 
 
+def _by_variable(ratings: DataFrame, variables: Iterable[str], *keep: str) -> DataFrame:
+    """One row per article and variable, one column per rater."""
+
+    def answer(rater: str, variable: str) -> str:
+        column = rating_column(rater, variable)
+        return column if column in ratings.columns else "CAST(NULL AS STRING)"
+
+    cells = [f"'{v}', " + ", ".join(answer(r, v) for r in RATERS) for v in variables]
+    return ratings.select(*keep, stacked(cells, ["variable", *RATERS]))
+
+
+def _pairs_within(answers: DataFrame, keep: str) -> DataFrame:
+    """Every pair of raters within each row of answers, with both values."""
+    cells = [f"'{a}', '{b}', {a}, {b}" for a, b in combinations(RATERS, 2)]
+    names = ["rater_1", "rater_2", "value_1", "value_2"]
+    return answers.select(keep, "variable", stacked(cells, names))
+
+
 def rater_pairs(ratings: DataFrame, variables: Iterable[str] = VARIABLES) -> DataFrame:
     """``art_num``, the pair and both values, for all pairs of the five raters."""
-    cells = [
-        f"'{v}', '{a}', '{b}', {rating_column(a, v)}, {rating_column(b, v)}"
-        for v, a, b in _pairs_of(ratings, variables)
-    ]
-    return ratings.select("art_num", stacked(cells, [*PAIR, "value_1", "value_2"]))
+    variables = list(variables)
+    pairs = _pairs_within(_by_variable(ratings, variables, "art_num"), "art_num")
+    if len(_pairs_of(ratings, variables)) < len(variables) * len(list(combinations(RATERS, 2))):
+        pairs = pairs.join(F.broadcast(_all_pairs(ratings, variables)), PAIR, "left_semi")  # at most 70 rows
+    return pairs.select("art_num", *PAIR, "value_1", "value_2")
 
 
 def rating_patterns(
@@ -53,14 +71,8 @@ def rating_patterns(
 
     With ``raw``, the answers are normalised here, once per distinct pattern.
     """
-
-    def answer(rater: str, variable: str) -> str:
-        column = rating_column(rater, variable)
-        return column if column in ratings.columns else "CAST(NULL AS STRING)"
-
-    cells = [f"'{v}', " + ", ".join(answer(r, v) for r in RATERS) for v in variables]
     patterns = (
-        ratings.select(stacked(cells, ["variable", *RATERS]))
+        _by_variable(ratings, variables)
         .groupBy("variable", *RATERS)
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -76,13 +88,6 @@ def rating_patterns(
     )
 
 
-def _pattern_pairs(patterns: DataFrame) -> DataFrame:
-    """Every pair of raters within each pattern, with both values and ``n``."""
-    cells = [f"'{a}', '{b}', {a}, {b}" for a, b in combinations(RATERS, 2)]
-    names = ["rater_1", "rater_2", "value_1", "value_2"]
-    return patterns.select("variable", "n", stacked(cells, names))
-
-
 def _both_given() -> Column:
     return F.col("value_1").isNotNull() & F.col("value_2").isNotNull()
 
@@ -90,7 +95,7 @@ def _both_given() -> Column:
 def confusion(patterns: DataFrame) -> DataFrame:
     """Counts per pair and pair of answers, both answers given."""
     return (
-        _pattern_pairs(patterns)
+        _pairs_within(patterns, "n")
         .where(_both_given())
         .groupBy(*PAIR, "value_1", "value_2")
         .agg(F.sum("n").alias("n"))
@@ -105,7 +110,7 @@ def _all_pairs(ratings: DataFrame, variables: Iterable[str] = VARIABLES) -> Data
 def pair_valid_n(ratings: DataFrame, raw: bool = False) -> DataFrame:
     """Articles per pair that both raters answered."""
     counts = (
-        _pattern_pairs(rating_patterns(ratings, raw=raw))
+        _pairs_within(rating_patterns(ratings, raw=raw), "n")
         .groupBy(*PAIR)
         .agg(F.sum(F.when(_both_given(), F.col("n")).otherwise(0)).alias("n"))
     )

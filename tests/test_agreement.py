@@ -110,6 +110,12 @@ def test_disagreements_and_coincidence(spark):
     assert counts == {("a", "a"): 12, ("a", "b"): 1, ("b", "a"): 1}
 
 
+def test_pairs_of_the_columns_there_are(spark):
+    df = wide(spark, [("a", None, "b")], ["eleanor_crime_label", "gpt_crime", "llama_perp_race"])
+    got = [tuple(r) for r in agreement.rater_pairs(df).collect()]
+    assert got == [(0, "crime_label", "eleanor", "gpt", "a", None)]
+
+
 def test_long_form_and_model_majority(spark):
     columns = ["gpt_crime", "llama_crime", "qwen_crime", "eleanor_crime_label"]
     df = wide(spark, [("a", "b", "a", "c"), ("a", None, None, None)], columns)
