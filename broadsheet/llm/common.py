@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,3 +42,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def text_bytes(docs: DataFrame) -> int:
     """UTF-8 bytes of all texts, by one narrow aggregate."""
     return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+
+
+_sent: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package where it is not on their path."""
+    root = Path(__file__).resolve().parents[2]
+    context = spark.sparkContext
+    on_path = {str(Path(p).resolve()) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}
+    if str(root) in on_path or context.applicationId in _sent:
+        return
+    _sent.add(context.applicationId)
+    context.addPyFile(shutil.make_archive(tempfile.mkdtemp() + "/broadsheet", "zip", root, "broadsheet"))

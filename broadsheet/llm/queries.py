@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from broadsheet.llm import langid, toxicity
+from broadsheet.llm.common import ship_package
+from broadsheet.llm.licenses import scan
+from broadsheet.llm.packing import pack
 from broadsheet.llm.reputation import judge_urls, markup_outcome
 from broadsheet.llm.tool_calls import link_tool_calls
 
@@ -14,14 +19,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
-    return f
+    @functools.wraps(f)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        ship_package(spark)
+        return f(spark, folder)
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def vocabulary_file(name: str) -> str:
+    """Path of a public vocabulary; the driver and all executors have the package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def id_fold(n: int) -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
+
+
+@query
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = langid.fit(docs.where(id_fold(5) != 0), vocabulary_file("piece_bpe_32k.model"))
+    return langid.predict(docs, model, ["doc_id", (id_fold(5) == 0).alias("held_out")])
+
+
+#: From this score on a document is toxic; fixed by the contract.
+TOXIC = 0.3
+
+
+@query
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    labels = table(spark, folder, "labels").where(id_fold(4) != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    model = toxicity.fit(docs.where(id_fold(4) != 2).select("doc_id", "text").join(labels, "doc_id"))
+    scored = toxicity.score(docs, model, ["doc_id", (id_fold(4) == 2).alias("held_out")])
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"),
+                         F.size("offending").alias("n_offending"))
+
+
 #: Tool -> argument -> (type, whether required).
 TOOLS = {
     "search": {"query": ("string", True), "limit": ("integer", False)},
@@ -63,6 +105,20 @@ def op3_tool_calls(spark: SparkSession, folder: str) -> DataFrame:
     return link_tool_calls(*tool_traffic(table(spark, folder, "conversations")), TOOLS)
 
 
+@query
+def op4_sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(table(spark, folder, "documents"), vocabulary_file("byte_bpe_50k.json"))
+
+
+#: (phrase, label); fixed by the contract.
+PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
+
+
+@query
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan(table(spark, folder, "documents"), PHRASES).withColumn("n_spans", F.coalesce(F.size("spans"), F.lit(0))).drop("spans")
+
+
 #: (action, host and path prefix); fixed by the contract.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
              ("block", "net/es/"), ("block", "net/fr/")]
