@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from broadsheet.llm import langid, toxicity
 from broadsheet.llm.common import ship_package
+from broadsheet.llm.jaccard import jaccard_classes
 from broadsheet.llm.licenses import scan
+from broadsheet.llm.lm import stupid_backoff
 from broadsheet.llm.packing import pack
 from broadsheet.llm.reputation import judge_urls, markup_outcome
 from broadsheet.llm.tool_calls import link_tool_calls
@@ -110,6 +112,11 @@ def op4_sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), vocabulary_file("byte_bpe_50k.json"))
 
 
+@query
+def op5_stupid_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    return stupid_backoff(table(spark, folder, "documents"))
+
+
 #: (phrase, label); fixed by the contract.
 PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
@@ -119,6 +126,11 @@ def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan(table(spark, folder, "documents"), PHRASES).withColumn("n_spans", F.coalesce(F.size("spans"), F.lit(0))).drop("spans")
 
 
+@query
+def op9_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_classes(table(spark, folder, "documents"), width=3, num=9, den=10)
+
+
 #: (action, host and path prefix); fixed by the contract.
 URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"),
              ("block", "net/es/"), ("block", "net/fr/")]
