@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from broadsheet.llm import langid, toxicity
 from broadsheet.llm.common import ship_package
+from broadsheet.llm.decontaminate import contamination
 from broadsheet.llm.jaccard import jaccard_classes
 from broadsheet.llm.licenses import scan
 from broadsheet.llm.lm import stupid_backoff
 from broadsheet.llm.packing import pack
 from broadsheet.llm.reputation import judge_urls, markup_outcome
+from broadsheet.llm.spotsigs import neighbour_fingerprints
 from broadsheet.llm.tool_calls import link_tool_calls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,6 +119,16 @@ def op5_stupid_backoff(spark: SparkSession, folder: str) -> DataFrame:
     return stupid_backoff(table(spark, folder, "documents"))
 
 
+@query
+def op6_spot_signatures(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbour_fingerprints(table(spark, folder, "documents"))
+
+
+@query
+def op7_string_tiling(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 #: (phrase, label); fixed by the contract.
 PHRASES = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 
