@@ -61,8 +61,8 @@ TOXIC = 0.3
 @query
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    labels = table(spark, folder, "labels").where(id_fold(4) != 2).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = toxicity.fit(docs.where(id_fold(4) != 2).select("doc_id", "text").join(labels, "doc_id"))
+    learn = id_fold(4) != 2
+    model = toxicity.fit(docs.where(learn), table(spark, folder, "labels").where(learn))
     scored = toxicity.score(docs, model, ["doc_id", (id_fold(4) == 2).alias("held_out")])
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"),
                          F.size("offending").alias("n_offending"))

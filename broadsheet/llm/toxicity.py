@@ -5,12 +5,13 @@ if any sentence is (noisy-or), 1 - prod(1 - p). Only document labels are known;
 gradient of the document's likelihood shares the blame among its sentences, and the
 sentence probabilities then locate the offending ones.
 
-Features are hashes of words and of their first 4, 5 and 6 bytes, in lower case. Spark
-counts over all labelled rows in how many toxic and other documents each feature occurs;
-those that tell the two apart (likelihood ratio) are kept, MOST_FEATURES at most, which is
-the model's size. Weights are fitted on the driver from about `train_docs` documents'
-kept features (all if there are fewer; chosen by a hash of the id). Those bounds are the
-model's; scores read whole texts.
+Features are hashes of words and of their first 4, 5 and 6 bytes, in lower case. The model
+is fitted on about `train_docs` labelled documents (all if there are fewer; chosen by a
+hash of the id), so the label rows that meet the documents are of bounded number and are
+broadcast; no text is shuffled. Spark counts in how many toxic and other documents of that
+sample each feature occurs; those that tell the two apart (likelihood ratio) are kept,
+MOST_FEATURES at most. Weights are fitted on the driver from the sample's kept features.
+Those bounds are the model's; scores read whole texts.
 
 Null or empty text: no sentence, score 0. Without labels of both kinds every score is 0.
 Repeated rows get equal results; extra columns are not returned. Where a document has
@@ -77,9 +78,13 @@ def bags(b: Block, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return pairs % len(model.keys), pairs // len(model.keys), starts, np.unique(sentence)
 
 
-def fit(labelled: DataFrame, train_docs: int = 20_000, steps: int = 150) -> Model:
-    """Learn from columns doc_id, text, toxic."""
-    rows = labelled.where("text IS NOT NULL AND toxic IS NOT NULL").select("doc_id", "text", F.col("toxic").cast("long").alias("toxic"))
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 20_000, steps: int = 150) -> Model:
+    """Learn from `docs` (doc_id, text) and `labels` (doc_id, toxic)."""
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).cast("long").alias("toxic"))
+    everyone = known.count()
+    share = min(1.0, train_docs / max(everyone, 1))
+    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents of each kind with each feature, summed over a task."""
@@ -108,14 +113,14 @@ def fit(labelled: DataFrame, train_docs: int = 20_000, steps: int = 150) -> Mode
                  + term(positive - F.col("a"), (everyone - both) * positive / everyone)
                  + term(negative - F.col("b"), (everyone - both) * negative / everyone))
     kept = (table.where("a >= 3").withColumn("ratio", ratio).where("ratio > 15")
-            .orderBy(F.desc("ratio"), "feature").limit(MOST_FEATURES).select("feature").toPandas())
+            .select("feature", "ratio").orderBy(F.desc("ratio"), "feature").limit(MOST_FEATURES).toPandas())
     keys = np.sort(kept["feature"].to_numpy(np.int64))
     if not len(keys):
         return Model(np.zeros(1, np.int64), np.zeros(1), float(np.log(positive / everyone)))
-    return train(rows, Model(keys, np.zeros(len(keys)), -6.0), min(1.0, train_docs / everyone), steps)
+    return train(rows, Model(keys, np.zeros(len(keys)), -6.0), steps)
 
 
-def train(rows: DataFrame, model: Model, share: float, steps: int) -> Model:
+def train(rows: DataFrame, model: Model, steps: int) -> Model:
     """Fit weights by gradient ascent on the noisy-or likelihood of the documents."""
 
     def kept_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,8 +135,7 @@ def train(rows: DataFrame, model: Model, share: float, steps: int) -> Model:
                     pa.ListArray.from_arrays(cut, pa.array(at.astype(np.int32))),
                     pa.ListArray.from_arrays(cut, pa.array(sentence.astype(np.int32)))], ["toxic", "n", "at", "sentence"])
 
-    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20))
-    read = sample.select("text", "toxic").mapInArrow(
+    read = rows.select("text", "toxic").mapInArrow(
         kept_features, "toxic long, n long, at array<int>, sentence array<int>").toArrow()
     toxic = np.asarray(read["toxic"]) > 0
     at = read["at"].combine_chunks()
