@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.llm.common import shuffle_partitions, text_bytes
 
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 16 << 20
 
 

@@ -35,7 +35,8 @@ from broadsheet.llm.bytewords import ALNUM, blocks, mix, powers
 UNKNOWN = "und"
 LONGEST = 16  #: bytes of the longest piece used
 WORD = 32  #: longer words are scored in parts of so many bytes
-CACHE = 1_000_000  #: words a worker remembers; the table is emptied when full
+TOGETHER = 16_384  #: words in one forward pass
+CACHE = 400_000  #: words a worker remembers; the table is emptied when full
 FOREIGN = 0.05
 FLOOR = 1e-7  #: least probability of a byte piece
 
@@ -103,7 +104,7 @@ class Words:
                 found = pieces.find(span_hash(running, self.starts[:active] + (end - n), n))
                 words_at = np.flatnonzero(found >= 0)
                 if len(words_at):
-                    self.at[end].append((n, words_at, found[words_at]))
+                    self.at[end].append((n, words_at.astype(np.int32), found[words_at].astype(np.int32)))
 
     def forward(self, p: np.ndarray) -> np.ndarray:
         """alpha[end, word, language]: probability of all ways to cut the first `end` bytes."""
@@ -138,6 +139,10 @@ class Words:
         return uses
 
 
+def passes(words: list[bytes]) -> list[slice]:
+    return [slice(i, i + TOGETHER) for i in range(0, len(words), TOGETHER)]
+
+
 def parts(word: bytes) -> list[bytes]:
     return [word[i : i + WORD] for i in range(0, len(word), WORD)]
 
@@ -165,14 +170,15 @@ def fit(labelled: DataFrame, vocabulary: str, train_docs: int = 400, rounds: int
     counted = chosen.select("lang", word).groupBy("word").pivot("lang", langs).count().fillna(0).toPandas()
     split = [parts(w.encode()) for w in counted["word"]]
     owner = np.repeat(np.arange(len(split)), [len(s) for s in split])
-    words = Words([w for s in split for w in s], pieces)
+    listed_words = [w for s in split for w in s]
     counts = counted[langs].to_numpy(float)[owner]
+    words = [(Words(listed_words[part], pieces), counts[part]) for part in passes(listed_words)]
     lengths = np.array([len(x) for x in listed])
     floor = np.where(lengths == 1, FLOOR, 0.0)[:, None]
     start = np.exp(-1.5 * lengths)[:, None]
     p = np.repeat(start / start.sum(), len(langs), axis=1) + floor
     for _ in range(rounds):
-        uses = words.expected(p, counts) + 1e-3
+        uses = sum((w.expected(p, n) for w, n in words), np.zeros_like(p)) + 1e-3
         p = uses / uses.sum(axis=0) + floor
     return Model(langs, vocabulary, p)
 
@@ -192,7 +198,7 @@ class Scorer:
     def totals(self, texts: pa.Array) -> np.ndarray:
         """Log probability of each text in each language."""
         out = np.zeros((len(texts), len(self.model.langs)))
-        for b in blocks(texts, ALNUM, 4 << 20):
+        for b in blocks(texts, ALNUM, 2 << 20):
             if len(self.keys) > CACHE:
                 self.clear()
             keys, first, of = np.unique(b.hashes(), return_index=True, return_inverse=True)
@@ -201,7 +207,8 @@ class Scorer:
                 raw = b.data.tobytes()
                 split = [parts(raw[b.starts[i] : b.ends[i]]) for i in first[missing]]
                 owner = np.repeat(np.arange(len(split)), [len(s) for s in split])
-                logs = Words([w for s in split for w in s], self.pieces).likelihood(self.model.p)
+                fresh = [w for s in split for w in s]
+                logs = np.concatenate([Words(fresh[part], self.pieces).likelihood(self.model.p) for part in passes(fresh)])
                 summed = np.stack([np.bincount(owner, logs[:, k], len(split)) for k in range(logs.shape[1])], axis=1)
                 anyone = np.logaddexp.reduce(summed, axis=1, keepdims=True) - np.log(summed.shape[1])
                 summed = np.logaddexp(np.log1p(-FOREIGN) + summed, np.log(FOREIGN) + anyone)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from broadsheet.llm.bytewords import Block, blocks, gather
 
 WINDOW = 2048
-CACHE = 1_500_000  #: cuts whose ids a worker remembers; the table is emptied when full
+CACHE = 500_000  #: cuts whose ids a worker remembers; the table is emptied when full
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
@@ -67,7 +67,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.keys = np.zeros(0, np.uint64)
-        self.where = np.zeros((0, 2), np.int64)
+        self.where = np.zeros((0, 2), np.int32)
         self.ids = np.zeros(1 << 16, np.int32)
         self.used = 0
 
@@ -76,7 +76,7 @@ class Encoder:
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         total = int(lengths.sum())
         if self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(total, self.used) + total, np.int32)])
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used // 2 + total, np.int32)])
         self.ids[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.int32, total)
         new = np.stack([self.used + np.cumsum(lengths) - lengths, lengths], axis=1)
         self.used += total
@@ -99,7 +99,7 @@ class Encoder:
                 raw = b.data.tobytes()
                 self.learn(keys[missing], [raw[starts[i] : ends[i]].decode() for i in first[missing]])
                 at = np.searchsorted(self.keys, keys)
-            where = self.where[at][of]
+            where = self.where[at][of].astype(np.int64)
             flat = self.ids[gather(where[:, 0], where[:, 1])]
             upto = np.concatenate([[0], np.cumsum(where[:, 1])])
             bounds = upto[np.searchsorted(starts, b.bounds)]
@@ -213,5 +213,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW)
                     done += n
         packer.close()
         yield packer.drain(base, done)
+        pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(task, SCHEMA)
