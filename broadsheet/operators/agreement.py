@@ -114,7 +114,7 @@ def pair_valid_n(ratings: DataFrame, raw: bool = False) -> DataFrame:
         .groupBy(*PAIR)
         .agg(F.sum(F.when(_both_given(), F.col("n")).otherwise(0)).alias("n"))
     )
-    return F.broadcast(_all_pairs(ratings)).join(counts, PAIR, "left").select(
+    return _all_pairs(ratings).join(F.broadcast(counts), PAIR, "left").select(
         *PAIR, F.coalesce("n", F.lit(0)).alias("n")
     )
 
@@ -220,7 +220,7 @@ def irr_table(ratings: DataFrame, digits: int | None = 3, raw: bool = False) ->
     counts = confusion(rating_patterns(ratings, raw=raw))
     sums = _pair_sums(counts).select(*PAIR, value.alias("value"), "n")
     rounded = F.col("value") if digits is None else F.bround("value", digits)
-    return F.broadcast(_all_pairs(ratings)).join(sums, PAIR, "left").select(
+    return _all_pairs(ratings).join(F.broadcast(sums), PAIR, "left").select(
         *PAIR,
         F.when(is_binary, KAPPA).otherwise(ALPHA).alias("metric"),
         rounded.alias("value"),

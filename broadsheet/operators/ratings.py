@@ -84,20 +84,17 @@ def answered_rows(survey: DataFrame) -> DataFrame:
 def survey_respondents(survey: DataFrame, position: str = "row_pos") -> DataFrame:
     """Answered rows, named after the human raters by position.
 
-    There is one row per human rater, so numbering them touches at most one
-    row more than there are raters; a row too many is an error.
+    There is one row per human rater; more are an error. The test is a filter over the
+    count, so no projection can prune it away, and it fails before rows are numbered.
     """
     answered = answered_rows(survey)
-    ahead = answered.select(position).orderBy(position).limit(len(HUMANS) + 1)
-    number = F.row_number().over(Window.orderBy(position))
+    count = answered.agg(F.count("*").alias("_respondents"))  # one row
+    fits = F.when(F.col("_respondents") <= len(HUMANS), True).otherwise(
+        F.raise_error(F.lit("more survey rows than raters")).cast("boolean"))
+    checked = answered.join(F.broadcast(count), how="cross").where(fits).drop("_respondents")
     names = F.array(*(F.lit(h.capitalize()) for h in HUMANS))
-    named = ahead.select(
-        position,
-        F.when(number <= len(HUMANS), F.get(names, number - 1))
-        .otherwise(F.raise_error(F.lit("more survey rows than raters")))
-        .alias("rater"),
-    )
-    return answered.join(F.broadcast(named), position).drop(position)
+    number = F.row_number().over(Window.orderBy(position))
+    return checked.withColumn("rater", F.get(names, number - 1)).drop(position)
 
 
 def survey_unpivot(survey: DataFrame, ids: tuple[str, ...] = ("rater",)) -> DataFrame:

@@ -22,15 +22,13 @@ def collect_articles(
 ) -> DataFrame:
     """``source, state, url, year, matched_keywords, text``.
 
-    The URL test runs on the index scan, so only matching records are joined,
-    and on the page scan where pages carry their URL, so only matching pages are
-    shuffled. Texts are extracted for pages of known sources alone.
+    The URL test runs on the index scan, so only matching records are joined. A page
+    is found by its file and offset alone; its own URL may be missing or another
+    one after a redirect. Texts are extracted for pages of known sources alone.
     """
     last_years = None if collected is None else last_year_per_domain(collected)
     targets = crawl_targets(sources, years, last_years)
     candidates = crawl_candidates(targets, url_keyword_filter(index))
-    if "url" in pages.columns:
-        pages = url_keyword_filter(pages)
     articles = cap_per_source_year(extract_articles(fetch_pages(candidates, pages)))
     return with_matched_keywords(articles).select(
         "source", "state", "url", "year", "matched_keywords", "text"

@@ -110,7 +110,8 @@ def _header_field(header: Column, name: str) -> Column:
 def read_people(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Model annotations, one row per person. A missing article id is an error."""
     rows = read_csv(spark, path, multi_line)
-    number = F.col("article_id").cast("double").cast("bigint")
+    # Whole numbers directly: a double would merge ids above 2^53.
+    number = F.coalesce(F.col("article_id").try_cast("bigint"), F.col("article_id").cast("double").cast("bigint"))
     missing = F.raise_error(F.lit("person without article_id")).cast("bigint")
     return rows.withColumn("art_num", F.coalesce(number, missing))
 

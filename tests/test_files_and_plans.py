@@ -185,3 +185,28 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
         kept = spark.read.parquet(out)
         assert kept.count() == batch + 1
     assert kept.select(F.array_join("tier1_keywords", ";").alias("k")).distinct().collect()[0].k == "murder"
+
+
+def test_survey_rows_beyond_the_raters_fail_in_every_projection(spark):
+    from broadsheet.operators.ratings import SURVEY_FIRST_ANSWER, survey_respondents
+
+    for n in (3, 6):
+        survey = spark.createDataFrame([(i, "Yes", f"s{i}") for i in range(n)], f"row_pos long, {SURVEY_FIRST_ANSWER} string, Started string")
+        for frame in (survey_respondents(survey), survey_respondents(survey).select("Started"), survey_respondents(survey).groupBy().count()):
+            with pytest.raises(Exception, match="more survey rows than raters"):
+                frame.collect()
+
+
+def test_pages_are_found_by_file_and_offset_whatever_their_url(spark):
+    from broadsheet.plans.collect import collect_articles
+
+    sources = spark.createDataFrame(
+        [(1, "A", "TX", "c", "a.com", 0.5)], "source_id long, name string, state string, city string, URL string, ideology double")
+    index = spark.createDataFrame(
+        [(f"https://a.com/murder/{i}", "f", i, 10, "CC-MAIN-2018-43", i) for i in range(3)],
+        "url string, filename string, offset bigint, length bigint, collection string, rec_id bigint")
+    html = "<body><article>" + "murder trial " * 200 + "</article></body>"
+    rows = [("https://a.com/murder/0", "f", 0, html), (None, "f", 1, html), ("https://b.com/moved", "f", 2, html)]
+    pages = spark.createDataFrame(rows, "url string, filename string, offset bigint, html string")
+    with_url, without = (sorted(r.url for r in collect_articles(sources, index, p, "2018-2024").collect()) for p in (pages, pages.drop("url")))
+    assert len(with_url) == 3 and with_url == without

@@ -49,7 +49,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder the cluster shares; a local one only in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="run-")
     return f"{base}/broadsheet/{name}-{uuid.uuid4().hex}"
 
 

@@ -93,13 +93,13 @@ SELECT o_orderkey AS art_num,
 FROM {{orders}}""",
     # Answer sheets: two orders make one article, some articles lack a coder.
     "sheets": """
-SELECT CASE o_orderkey % 2 WHEN 0 THEN 'Eleanor' ELSE 'Sarah' END AS rater,
+SELECT CASE WHEN o_orderkey % 7 = 3 THEN 'Third' WHEN o_orderkey % 2 = 0 THEN 'Eleanor' ELSE 'Sarah' END AS rater,
   CAST((o_orderkey - o_orderkey % 2) / 2 AS BIGINT) AS art_num,
   """ + ",\n  ".join(
         f'{_answer(v, "eleanor", "o_custkey", "o_orderkey")} AS {text}'
         for v, text in SURVEY_QUESTIONS.items()
     ) + """
-FROM {orders} WHERE o_orderkey % 7 <> 3""",
+FROM {orders}""",
     # A wide survey export with one respondent per order.
     "survey": "\nSELECT 'R' || CAST(o_orderkey AS STRING) AS rater, o_orderpriority AS note,\n  "
     + ",\n  ".join(
