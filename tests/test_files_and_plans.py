@@ -204,7 +204,7 @@ def test_pages_are_found_by_file_and_offset_whatever_their_url(spark):
         [(1, "A", "TX", "c", "a.com", 0.5)], "source_id long, name string, state string, city string, URL string, ideology double")
     index = spark.createDataFrame(
         [(f"https://a.com/murder/{i}", "f", i, 10, "CC-MAIN-2018-43", i) for i in range(3)],
-        "url string, filename string, offset bigint, length bigint, collection string, rec_id bigint")
+        "url string, filename string, offset bigint, length bigint, collection string, index_pos bigint")
     html = "<body><article>" + "murder trial " * 200 + "</article></body>"
     rows = [("https://a.com/murder/0", "f", 0, html), (None, "f", 1, html), ("https://b.com/moved", "f", 2, html)]
     pages = spark.createDataFrame(rows, "url string, filename string, offset bigint, html string")
