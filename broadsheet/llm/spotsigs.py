@@ -3,10 +3,7 @@
 Wherever a common word (an anchor) stands, it and the CHAIN content words that follow make
 a signature; the set of a text's signatures is its fingerprint. The beginning of a text
 counts as an anchor, so every text with a word has one. Fingerprints are compared by
-Jaccard similarity. `similar` finds near copies: fingerprints are partitioned by the
-length of their sets, so that only sets whose lengths allow the similarity meet, there
-they meet by their rarest signatures, and pairs are dropped as soon as the lengths or what
-is left of both sets cannot reach it.
+Jaccard similarity.
 
 `neighbour_fingerprints` compares each document with an edited text that ends like the
 next document, and with the next document itself (ascending doc_id; the first follows the
