@@ -8,7 +8,7 @@ counting the container's own tags only.
 
 from __future__ import annotations
 
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,21 +26,27 @@ _MARKUP_CHARS, _STAND_INS = "<>\"'", "\x03\x04\x05\x06"
 _ATTRS = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+"""
 _TAG = rf"(?i)<(?:/?[a-z]{_ATTRS}|[!?][^>]*+)>"
 # Not text: comments and these elements, which run to the end if never closed.
-_UNSEEN = r"(?is)<!--.*?-->|<(script|style|noscript|template)(?:[\s/][^>]*+)?>.*?(?:</\1\s*+>|\z)"
+# Nor are ruby annotations, which end where the next one or the ruby itself does.
+_UNSEEN = (
+    r"(?is)<!--.*?-->|<(script|style|noscript|template)(?:[\s/][^>]*+)?>.*?(?:</\1\s*+>|\z)"
+    r"|<r[tp](?:[\s/][^>]*+)?>.*?(?=</?(?:rt|rp|ruby)[\s/>]|\z)"
+)
 
-# Characters by entity name, from the HTML 4 table; numbers 128-159 are read as
-# Windows-1252, as browsers do.
-_ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {
+# Characters by entity name; numbers 128-159 are read as Windows-1252, as
+# browsers do. Looking up a map takes time by its size, so the names that pages
+# mostly use come first and all others of HTML 5 only when those fail.
+_COMMON = {name: chr(code) for name, code in name2codepoint.items()} | {
     f"#{n}": bytes([n]).decode("cp1252", "replace") for n in range(128, 160)
-}
-
-
-_ENTITY_TABLE = "\n".join(f"{name}\t{char}" for name, char in _ENTITIES.items())
+} | {"apos": "'"}
+_OTHERS = {name.rstrip(";"): chars for name, chars in html5.items() if name.rstrip(";") not in _COMMON}
 
 
 def _named_char(name: Column) -> Column:
-    table = F.str_to_map(F.lit(_ENTITY_TABLE), F.lit("\n"), F.lit("\t"))
-    return F.try_element_at(table, name)
+    def found(table: dict[str, str]) -> Column:
+        rows = "\x07".join(f"{known}\x08{chars}" for known, chars in table.items())
+        return F.try_element_at(F.str_to_map(F.lit(rows), F.lit("\x07"), F.lit("\x08")), name)
+
+    return F.coalesce(found(_COMMON), found(_OTHERS))
 
 
 def _numbered_char(name: Column) -> Column:
@@ -139,7 +145,8 @@ def _div_start(css_class: str) -> str:
         rf"|'(?:[^']*\s)?{css_class}(?:\s[^']*)?'"
         rf"|{css_class}(?=[\s/>])"
     )
-    return rf"<div(?:\s[^>]*?)?\sclass\s*=\s*(?:{named}){_ATTRS}>"
+    before = r"""(?:[^>"']*+(?:"[^"]*+"|'[^']*+'))*?[^>"']*?"""  # quoted values are skipped whole
+    return rf"<div(?=\s){before}\sclass\s*=\s*(?:{named}){_ATTRS}>"
 
 
 _CONTAINERS = (

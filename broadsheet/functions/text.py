@@ -79,7 +79,7 @@ def _has(column: str, part: str) -> str:
 
 def any_in_lowered(column: str, terms: Iterable[str]) -> Column:
     """`has_keyword` for a named column that is already lower case."""
-    branches = []
+    branches = ["false"]
     for mark, by_prefix in _guarded(terms).items():
         tests = []
         for prefix, group in by_prefix.items():
@@ -104,7 +104,7 @@ def hits_in_lowered(column: str, terms: Iterable[str]) -> Column:
     def joined(parts: list[str]) -> str:
         return f"concat_ws('', {', '.join(parts)})"
 
-    branches = []
+    branches = ["''"]
     for mark, by_prefix in _guarded(terms).items():
         parts = []
         for prefix, group in by_prefix.items():

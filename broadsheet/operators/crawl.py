@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,16 +76,20 @@ def crawl_targets(
     return with_variants(targets).join(collections, "year")
 
 
-def url_keyword_filter(df: DataFrame, url: str = "url") -> DataFrame:
+def url_keyword_filter(
+    df: DataFrame, url: str = "url", terms: Iterable[str] = ALL_TERMS
+) -> DataFrame:
     """Rows whose URL holds a term of either tier."""
     low = with_lowered(df, url)
-    return low.where(any_in_lowered("_lowered", ALL_TERMS)).drop("_lowered")
+    return low.where(any_in_lowered("_lowered", terms)).drop("_lowered")
 
 
-def with_matched_keywords(df: DataFrame, url: str = "url") -> DataFrame:
+def with_matched_keywords(
+    df: DataFrame, url: str = "url", terms: Iterable[str] = ALL_TERMS
+) -> DataFrame:
     low = with_lowered(df, url)
     return low.withColumn(
-        "matched_keywords", hits_in_lowered("_lowered", ALL_TERMS)
+        "matched_keywords", hits_in_lowered("_lowered", terms)
     ).drop("_lowered")
 
 

@@ -17,6 +17,11 @@ from broadsheet.functions.text import compute_once, stacked
 from broadsheet.functions.votes import majority_strict
 
 
+def _named(name: str) -> Column:
+    """A column by its literal name, which may hold dots."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def model_columns(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.split("_")[0] in MODELS and "_" in c]
 
@@ -28,12 +33,13 @@ def first_non_null(
 
     A partial aggregate: map tasks send one row per group, whatever its size.
     """
-    placed = compute_once(df, _position=position).select(*keys, *columns, "_position")
+    read = map(_named, [*keys, *columns, "_position"])
+    placed = compute_once(df, _position=position).select(*read)
     firsts = [
-        F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_position"))).alias(c)
+        F.min_by(_named(c), F.when(_named(c).isNotNull(), F.col("_position"))).alias(c)
         for c in columns
     ]
-    return placed.groupBy(*keys).agg(*firsts)
+    return placed.groupBy(*map(_named, keys)).agg(*firsts)
 
 
 def model_ratings(people: DataFrame, position: Column) -> DataFrame:
@@ -43,7 +49,7 @@ def model_ratings(people: DataFrame, position: Column) -> DataFrame:
     return first.select(
         "art_num",
         *(
-            (model_column_normaliser(c) or (lambda v: v))(F.col(c)).alias(c)
+            (model_column_normaliser(c) or (lambda v: v))(_named(c)).alias(c)
             for c in columns
         ),
     )
@@ -99,7 +105,8 @@ def survey_respondents(survey: DataFrame, position: str = "row_pos") -> DataFram
 
 def survey_unpivot(survey: DataFrame, ids: tuple[str, ...] = ("rater",)) -> DataFrame:
     """Wide answers to long ``(rater, col, value)``; missing answers stay rows."""
-    return survey.unpivot(list(ids), survey_answer_columns(survey), "col", "value")
+    answers = [_named(c).alias(c) for c in survey_answer_columns(survey)]
+    return survey.unpivot(list(ids), answers, "col", "value")
 
 
 def survey_key_parse(answers: DataFrame) -> DataFrame:
@@ -137,7 +144,7 @@ def survey_question_map(sheets: DataFrame) -> DataFrame:
     for variable, text in SURVEY_QUESTIONS.items():
         match = next((n for n in names if text.lower() in n.lower()), None)
         if match is not None:
-            out.append(normaliser_for(variable)(F.col(f"`{match}`")).alias(variable))
+            out.append(normaliser_for(variable)(_named(match)).alias(variable))
     return sheets.select("rater", "art_num", *out)
 
 

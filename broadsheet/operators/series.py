@@ -157,8 +157,9 @@ def race_votes_by_source(people: DataFrame, sources: DataFrame, prepare, decide)
         return column if column in people.columns else "CAST(NULL AS STRING)"
 
     cells = [f"'{role}', " + ", ".join(answer(m, role) for m in MODELS) for role in ROLES]
-    answers = people.select(
-        url_netloc_nowww(F.col("url")).alias("url_norm"), stacked(cells, ["role", *MODELS])
+    hosts = compute_once(people, _host=url_netloc_nowww(F.col("url")))  # not once per role
+    answers = hosts.select(
+        F.col("_host").alias("url_norm"), stacked(cells, ["role", *MODELS])
     )
     counts = answers.groupBy("url_norm", "role", *MODELS).agg(F.count(F.lit(1)).alias("n"))
     prepared = compute_once(counts, **{f"_{m}": prepare(F.col(m)) for m in MODELS})

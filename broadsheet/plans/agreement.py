@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.operators.agreement import irr_table, label_disagreements
@@ -17,9 +17,24 @@ def merged_ratings(people: DataFrame, survey: DataFrame) -> DataFrame:
     return model_human_merge(models, human_ratings(survey))
 
 
-def run_agreement(spark: SparkSession, people_path: str, survey_path: str, out: str) -> DataFrame:
-    """Write the three tables under ``out``; return the table of all pairs."""
-    merged = merged_ratings(read_people(spark, people_path), read_survey(spark, survey_path))
+def run_agreement(
+    spark: SparkSession,
+    people_path: str,
+    survey_path: str,
+    out: str,
+    multi_line: bool = True,
+    merged_count: Observation | None = None,
+) -> DataFrame:
+    """Write the three tables under ``out``; return the table of all pairs.
+
+    ``merged_count``, if given, observes the number of ``articles`` that models
+    and both humans rated, while they are written. Turn ``multi_line`` off if no
+    cell of the people file holds a line break: it is then split between tasks.
+    """
+    people = read_people(spark, people_path, multi_line)
+    merged = merged_ratings(people, read_survey(spark, survey_path))
+    if merged_count is not None:
+        merged = merged.observe(merged_count, F.count(F.lit(1)).alias("articles"))
     merged.write.mode("overwrite").parquet(f"{out}/ratings")
     ratings = spark.read.parquet(f"{out}/ratings")
     irr_table(ratings).write.mode("overwrite").parquet(f"{out}/irr")

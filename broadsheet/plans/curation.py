@@ -4,21 +4,31 @@ from __future__ import annotations
 
 from pyspark.sql import Observation, SparkSession
 
+from broadsheet.dims import TIER1_TERMS, TIER2_TERMS
 from broadsheet.operators.curation import funnel_counts, keep_curated, with_outcome
-from broadsheet.sources.readers import read_article_blocks
+from broadsheet.sources.readers import load_terms, read_article_blocks
 from broadsheet.sources.writers import write_article_blocks, write_curated_metadata
 
 
-def run_curation(spark: SparkSession, in_path: str, out: str, newline: str = "\n") -> dict[str, int]:
+def run_curation(
+    spark: SparkSession,
+    in_path: str,
+    out: str,
+    newline: str = "\n",
+    tier1_path: str | None = None,
+    tier2_path: str | None = None,
+) -> dict[str, int]:
     """Write curated articles under ``out``; return the funnel counts.
 
     The counts are observed while the articles are written, in the same pass.
+    Keyword files, if given, replace the built-in lists.
     """
+    tier1 = load_terms(spark, tier1_path) if tier1_path else TIER1_TERMS
+    tier2 = load_terms(spark, tier2_path) if tier2_path else TIER2_TERMS
     funnel = Observation("curation_funnel")
-    judged = with_outcome(read_article_blocks(spark, in_path, newline)).observe(
-        funnel, *funnel_counts()
-    )
-    keep_curated(judged).write.mode("overwrite").parquet(f"{out}/articles")
+    articles = read_article_blocks(spark, in_path, newline)
+    judged = with_outcome(articles, tier1=tier1).observe(funnel, *funnel_counts())
+    keep_curated(judged, tier1, tier2).write.mode("overwrite").parquet(f"{out}/articles")
     curated = spark.read.parquet(f"{out}/articles")
     write_article_blocks(curated, f"{out}/filtered_articles.txt", "overwrite")
     write_curated_metadata(curated, f"{out}/filtered_metadata.csv")

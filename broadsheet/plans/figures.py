@@ -26,12 +26,22 @@ def article_series(articles: DataFrame, sources: DataFrame) -> dict[str, DataFra
 
 
 def run_figures(
-    spark: SparkSession, metadata_path: str, sources_path: str, people_path: str, out: str
+    spark: SparkSession,
+    metadata_path: str,
+    sources_path: str,
+    people_path: str,
+    out: str,
+    multi_line: bool = True,
 ) -> list[str]:
-    """Write every series under ``out``; return their names."""
-    sources = read_sources(spark, sources_path)
-    people = read_people(spark, people_path)
-    series = article_series(read_curated_metadata(spark, metadata_path), sources)
+    """Write every series under ``out``; return their names.
+
+    Turn ``multi_line`` off if no cell holds a line break: files are then split
+    between tasks.
+    """
+    sources = read_sources(spark, sources_path, multi_line)
+    people = read_people(spark, people_path, multi_line)
+    metadata = read_curated_metadata(spark, metadata_path, multi_line)
+    series = article_series(metadata, sources)
     write_race_counts(race_counts(people, sources), f"{out}/race_counts.csv")
     counts = read_race_counts(spark, f"{out}/race_counts.csv")
     series["race_shares"] = race_share(race_rollup_all(counts))

@@ -42,6 +42,18 @@ def read_terms(spark: SparkSession, path: str) -> DataFrame:
     return terms_from_lines(spark.read.text(path))
 
 
+def load_terms(spark: SparkSession, path: str, most: int = 100_000) -> tuple[str, ...]:
+    """The distinct terms of a keyword file, for the operators' term parameters.
+
+    A dictionary becomes part of the plan, so it has to be small; a file with
+    more than ``most`` terms is an error, never cut.
+    """
+    terms = read_terms(spark, path).distinct().limit(most + 1).collect()
+    if len(terms) > most:
+        raise ValueError(f"more than {most} terms in {path}")
+    return tuple(sorted(r.term for r in terms))
+
+
 def read_sources(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Source inventory; ``source_id`` tells its rows apart."""
     rows = read_csv(spark, path, multi_line).withColumnRenamed("row_pos", "source_id")
@@ -124,11 +136,15 @@ def read_survey(spark: SparkSession, path: str, multi_line: bool = True) -> Data
     return rows.where(~first)
 
 
-def read_curated_metadata(spark: SparkSession, path: str) -> DataFrame:
-    rows = header_normalise(read_csv(spark, path).drop("row_pos"))
+def read_curated_metadata(
+    spark: SparkSession, path: str, multi_line: bool = True
+) -> DataFrame:
+    rows = header_normalise(read_csv(spark, path, multi_line).drop("row_pos"))
     return rows.withColumn("year", F.col("year").try_cast("int"))
 
 
-def read_race_counts(spark: SparkSession, path: str) -> DataFrame:
-    rows = read_csv(spark, path).drop("row_pos")
+def read_race_counts(
+    spark: SparkSession, path: str, multi_line: bool = True
+) -> DataFrame:
+    rows = read_csv(spark, path, multi_line).drop("row_pos")
     return rows.withColumn("count", F.col("count").cast("bigint"))

@@ -1,4 +1,5 @@
 import csv
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -176,6 +177,70 @@ def test_collect_curate_figures(spark, tmp_path):
     assert cells.count() == 12
 
 
+def test_batches_survive_a_run_that_dies(spark, tmp_path, monkeypatch):
+    from broadsheet.plans import collect
+
+    sources = write_csv(tmp_path / "s.csv", ["name", "state", "city", "URL"], [["A", "CA", "X", "a.com"]])
+    records = [{"url": f"https://a.com/murder-{i}", "filename": "f", "offset": str(i), "length": "9"} for i in range(6)]
+    for collection, of in (("CC-MAIN-2018-43", records[:3]), ("CC-MAIN-2019-09", records[3:])):
+        folder = tmp_path / "index" / f"collection={collection}"
+        folder.mkdir(parents=True)
+        (folder / "i.json").write_text("\n".join(json.dumps(r) for r in of))
+    pages = [("f", i, f"<body><p>{LONG}{i}</p></body>") for i in range(6)]
+    spark.createDataFrame(pages, "filename string, offset long, html string").write.parquet(str(tmp_path / "pages"))
+    args = (spark, sources, str(tmp_path / "index"), str(tmp_path / "pages"))
+    out = str(tmp_path / "out")
+
+    def texts():
+        blocks = readers.read_article_blocks(spark, f"{out}/matched_articles.txt")
+        matches = spark.read.csv(f"{out}/keyword_matches.csv", header=True)
+        return blocks.count(), matches.count(), collect.collected_so_far(spark, out).count()
+
+    assert run_collect(*args, "2018", out).count() == 3 and texts() == (3, 3, 3)
+
+    def dies(*_):
+        raise RuntimeError("lost")
+
+    for broken in ("write_article_blocks", "write_keyword_matches"):
+        with monkeypatch.context() as patch:
+            patch.setattr(collect, broken, dies)
+            with pytest.raises(RuntimeError, match="lost"):
+                run_collect(*args, "2018-2019", out)
+        assert collect.collected_so_far(spark, out).count() == 3
+    assert run_collect(*args, "2018-2019", out).count() == 3 and texts() == (6, 6, 6)
+    # A repeated range adds nothing and leaves earlier batches alone.
+    assert run_collect(*args, "2018-2019", out).count() == 0 and texts() == (6, 6, 6)
+    # Without resuming, the new batch takes the place of all others.
+    assert run_collect(*args, "2018-2019", out, resume=False).count() == 6 and texts() == (6, 6, 6)
+    terms = tmp_path / "terms.txt"
+    terms.write_text("murder-1\n")
+    assert run_collect(*args, "2018-2019", out, resume=False, term_paths=[str(terms)]).count() == 1 and texts() == (1, 1, 1)
+
+
+def test_curation_with_other_keyword_lists(spark, tmp_path):
+    rows = [("u1", 2020, "s", "CA", "2020-01-02 a Zebra"), ("u2", 2020, "s", "CA", "2020-01-02 murder")]
+    articles = spark.createDataFrame(rows, "url string, year int, source string, state string, text string")
+    writers.write_article_blocks(articles, str(tmp_path / "blocks"), "overwrite")
+    for name, text in (("one", "zebra\nZEBRA\n"), ("none", "\n")):
+        (tmp_path / name).write_text(text)
+    one, none = (str(tmp_path / n) for n in ("one", "none"))
+    funnel = run_curation(spark, str(tmp_path / "blocks"), str(tmp_path / "out"), tier1_path=one, tier2_path=none)
+    assert funnel == {"total": 2, "kept": 1, "no_date": 0, "no_keyword": 1}
+    row, = spark.read.parquet(str(tmp_path / "out" / "articles")).collect()
+    assert (row.url, row.tier1_keywords, row.tier2_keywords) == ("u1", ["zebra"], [])
+    with pytest.raises(ValueError, match="more than 0 terms"):
+        readers.load_terms(spark, one, most=0)
+
+
+def test_survey_questions_with_dots(spark):
+    survey = spark.createDataFrame([("R", "yes")], "rater string, `ART0001_Q2.1_VIOLENT` string")
+    row, = ratings.survey_unpivot(survey).collect()
+    assert tuple(row) == ("R", "ART0001_Q2.1_VIOLENT", "yes")
+    people = spark.createDataFrame([(1, None, 1), (1, "x", 2)], "art_num int, `gpt_a.b` string, p int")
+    row, = ratings.first_non_null(people, ["art_num"], ["gpt_a.b"], F.col("p")).collect()
+    assert tuple(row) == (1, "x")
+
+
 def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     incoming, out, done = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "done")
     incoming.mkdir()

@@ -69,3 +69,14 @@ def test_entities(apply):
 def test_broken_markup_ends(apply):
     page = "<body><p class=\"" + "a='b' " * 5000 + "text"
     assert text(apply, [page], 0)[0].endswith("text")
+
+
+def test_entities_decoys_and_ruby(apply):
+    cases = [
+        ("<body><p>it&apos;s&comma; &NotEqualTilde;x</p></body>", "it's, \u2242\u0338x"),
+        ("<div data-x=\" class='article-body'\">no</div><body>yes</body>", "yes"),
+        ("<body><ruby>A<rp>(</rp><rt>b</rt><rp>)</rp></ruby>C<ruby>D<rt>e</ruby></body>", "A\nC\nD"),
+        ("<div id='a>b' class='x article-body'>in</div><p>out</p>", "in"),
+    ]
+    got = apply(lambda html: html_text(html, 0), [html for html, _ in cases])
+    assert got == [found for _, found in cases]
