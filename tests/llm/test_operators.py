@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from broadsheet.llm import decontaminate, jaccard, langid, licenses, lm, packing, spotsigs, tool_calls, toxicity
+from broadsheet.llm import decontaminate, jaccard, langid, licenses, lm, packing, spotjoin, spotsigs, tool_calls, toxicity
 from broadsheet.llm.queries import PHRASES, QUERIES, URL_RULES
 from broadsheet.llm.reputation import judge_urls
 
@@ -297,6 +297,32 @@ def test_jaccard_odd_rows(odd, none):
     assert jaccard.jaccard_classes(none).count() == 0
 
 
+def test_spot_classes_equal_all_pairs(spark, docs, texts, odd, none, monkeypatch):
+    monkeypatch.setattr(spotjoin, "BLOCK", 7)  # so that groups are split
+    monkeypatch.setattr(spotjoin, "STRIP", 3)
+    rng = random.Random(6)
+    base = [[w for k in range(40) for w in ("the", f"{rng.choice('abcdefgh')}{k}", f"x{k}")] for _ in range(3)]
+    rows = []
+    for i in range(90):
+        w = list(base[i % 3])
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(len(w))] = f"new{rng.randint(0, 3)}"
+        rows.append((i, " ".join(w[: rng.choice([120, 117, 99])])))
+    rows += [(200, None), (201, ""), (202, "one"), (203, "ONE"), (0, rows[0][1]), (None, rows[0][1])]
+    planted = spark.createDataFrame(rows, "doc_id long, text string")
+    for table, found in ((planted, {i: t or "" for i, t in rows if i is not None}), (docs, texts)):
+        sets = {i: set(s.tolist()) for i, s in zip(found, spotsigs.signature_sets(pa.array(list(found.values()), pa.string())))}
+        want = classes(sets, 4, 5)
+        got = spotjoin.spot_classes(table).collect()
+        assert len(got) == table.count() and len(set(want.values())) < len(want)
+        for r in got:
+            if r.doc_id is not None:
+                assert (r.class_id, r.n_signatures) == (want[r.doc_id], len(sets[r.doc_id]))
+    assert spotjoin.spot_classes(odd).count() == len(ODD)
+    assert spotjoin.spot_classes(none).count() == 0
+    assert spotjoin.spanning_links([np.arange(10), np.arange(8), np.arange(20, 30)], 4, 5) == [(1, 0)]
+
+
 def test_url_rules_and_odd_urls(spark):
     rows = [(1, "http://WWW.Example.com/en/1?x"), (2, "https://a.example.com/en/1"), (3, "http://example.com"), (4, "x://net/es/1#f"), (5, None), (6, "no scheme")]
     got = {r.page_id: r for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string"), F.lit(None).cast("int"), URL_RULES).collect()}
