@@ -169,10 +169,10 @@ curated AS (
   FROM articles WHERE {_dated("text")} AND len({_hits("text", TIER1_TERMS)}) > 0)"""
 
 _oracle("sink_article_blocks", "articles", f"""WITH {_CURATED}
-SELECT line, count(*) AS n FROM (SELECT unnest(string_split(
-    '---' || {NL} || 'url: ' || url || {NL} || 'year: ' || year || {NL} || 'source: ' || source || {NL}
+SELECT block, count(*) AS n FROM (SELECT
+    url || {NL} || 'year: ' || year || {NL} || 'source: ' || source || {NL}
     || 'state: ' || coalesce(state, '') || {NL} || 'tier1_keywords: ' || tier1_keywords || {NL}
-    || 'tier2_keywords: ' || tier2_keywords || {NL} || 'text:' || {NL} || text || {NL}, {NL})) AS line
+    || 'tier2_keywords: ' || tier2_keywords || {NL} || 'text:' || {NL} || text || {NL} || {NL} AS block
   FROM curated) GROUP BY 1""")
 
 _oracle("sink_keyword_matches", "articles", f"""
@@ -568,7 +568,12 @@ _oracle("irr_human_vs_model", "ratings",
         f"WITH {_IRR} " + _TITLED.format(extra="", where=_HUMAN_MODEL))
 _oracle("sink_irr_tables", "ratings", f"WITH {_IRR} "
         + _TITLED.format(extra="'irr_human_only' AS file, ", where=_HUMAN_ONLY) + " UNION ALL "
-        + _TITLED.format(extra="'irr_human_vs_llm' AS file, ", where=_HUMAN_MODEL))
+        + _TITLED.format(extra="'irr_human_vs_llm' AS file, ", where=_HUMAN_MODEL)
+        # Disagreements: a row per article, its labels in one cell.
+        + f""" UNION ALL SELECT 'crime_label_disagreements' AS file, 'crime_label' AS variable,
+  concat_ws('|', {", ".join(f"coalesce({c}, '-')" for c in _LABELS)}) AS rater_1,
+  NULL AS rater_2, 'false' AS metric, NULL AS value, art_num AS n
+FROM (WITH {_NORMAL} SELECT * FROM normal) d WHERE NOT ({_AGREE})""")
 _oracle("label_disagreements", "ratings", f"WITH {_NORMAL} SELECT art_num, " + ", ".join(
     f"{c} AS {r}" for r, c in zip(RATERS, _LABELS)) + f", {_AGREE} AS all_agree FROM normal WHERE NOT ({_AGREE})")
 

@@ -130,8 +130,9 @@ def src_survey(t: Tables) -> DataFrame:
 def sink_article_blocks(t: Tables) -> DataFrame:
     path = scratch(t.spark, "blocks")
     writers.write_article_blocks(curation.curate(t.articles), path, "overwrite")
-    lines = t.spark.read.option("lineSep", "\n").text(path)
-    return lines.groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+    # Whole blocks, so that their lines are compared in order.
+    blocks = t.spark.read.option("lineSep", "---\nurl: ").text(path).where("value <> ''")
+    return blocks.groupBy(F.col("value").alias("block")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _matched_urls(t: Tables) -> DataFrame:
@@ -166,7 +167,14 @@ def sink_irr_tables(t: Tables) -> DataFrame:
         )
         for name in ("irr_human_only", "irr_human_vs_llm")
     ]
-    return tables[0].unionByName(tables[1])
+    # The third table in the same shape: a row per article, its labels in one cell.
+    raters = F.concat_ws("|", *(F.coalesce(r, F.lit("-")) for r in RATERS))
+    disagreements = t.spark.read.csv(f"{folder}/crime_label_disagreements.csv", header=True).select(
+        F.lit("crime_label_disagreements").alias("file"), F.lit("crime_label").alias("variable"),
+        raters.alias("rater_1"), F.lit(None).cast("string").alias("rater_2"), F.col("all_agree").alias("metric"),
+        F.lit(None).cast("double").alias("value"), F.col("art_num").cast("bigint").alias("n"),
+    )
+    return tables[0].unionByName(tables[1]).unionByName(disagreements)
 
 
 @query
