@@ -1,4 +1,4 @@
-"""Every registered query against its SQL on the smallest tables."""
+"""Every registered query that SQL can state against that SQL on the smallest tables."""
 
 from pathlib import Path
 
@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import bag
+from workload.queries import queries as corpus_queries
 from workload.views import BASE_TABLES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -27,10 +28,11 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    """All but those that SQL cannot state, which are tested with their operators."""
+    assert set(corpus_queries()) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
 def test_query(spark, duck, name):
     df = entry.queries()[name](spark, FOLDER)
     result = duck.execute(entry.oracle_sql()[name])
