@@ -6,6 +6,10 @@ bucket adds up what all chunks sent and answers every chunk in the order of its
 key costs one entry per chunk that has it, however often it occurs, and a frequent key is
 no larger than a rare one. Chunks and buckets grow in number with the input; each is
 bounded in bytes. All of it is two shuffles of narrow binary columns.
+
+A chunk's own counts fit 32 bits, as its texts are one Arrow column of less than 2 GB. Sums
+over all chunks are 64 bits: a reply carries the low halves, and the high halves of a bucket
+only where one of its sums needs them.
 """
 
 from __future__ import annotations
@@ -60,7 +64,7 @@ def _unpack(blob: bytes, n: int, plan: Layout) -> np.ndarray:
 
 
 def totals(chunked: DataFrame, keys_of: Keys, plan: Layout) -> DataFrame:
-    """(chunk, bucket, totals): for each chunk and bucket the sums over all chunks.
+    """(chunk, bucket, totals, high): for each chunk and bucket the sums over all chunks, in halves of 32 bits.
 
     `keys_of` gives the sorted distinct 64-bit keys of a chunk and their counts; `chunked`
     has the column chunk.
@@ -84,20 +88,24 @@ def totals(chunked: DataFrame, keys_of: Keys, plan: Layout) -> DataFrame:
         opens = np.ones(len(keys), bool)
         opens[1:] = ordered[1:] != ordered[:-1]
         sums = np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(opens))
-        total = np.empty(len(keys), "<u4")
-        total[order] = np.minimum(sums, 0xFFFFFFFF)[np.cumsum(opens) - 1]
-        ends = np.cumsum(n)
+        total = np.empty(len(keys), np.int64)
+        total[order] = sums[np.cumsum(opens) - 1]
+        low, high = (total & 0xFFFFFFFF).astype("<u4"), (total >> 32).astype("<u4")
+        spans = [(e - m, e) for e, m in zip(np.cumsum(n).tolist(), n)]
         return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"],
-                         "totals": pa.array([total[e - m : e].tobytes() for e, m in zip(ends.tolist(), n)], pa.binary())})
+                         "totals": pa.array([low[i:j].tobytes() for i, j in spans], pa.binary()),
+                         "high": pa.array([high[i:j].tobytes() if high[i:j].any() else b"" for i, j in spans], pa.binary())})
 
     asked = chunked.groupBy("chunk").applyInArrow(ask, "bucket int, chunk int, keys binary, counts binary, n int")
-    return asked.groupBy("bucket").applyInArrow(answer, "chunk int, bucket int, totals binary")
+    return asked.groupBy("bucket").applyInArrow(answer, "chunk int, bucket int, totals binary, high binary")
 
 
 def in_order(replies: pa.Table) -> np.ndarray:
     """A chunk's totals, in the order of its keys."""
-    rows = sorted(zip(replies["bucket"].to_pylist(), replies["totals"].to_pylist()))
-    return np.frombuffer(b"".join(t for _, t in rows), "<u4").astype(np.int64)
+    rows = sorted(zip(*(replies[c].to_pylist() for c in ("bucket", "totals", "high"))))
+    low = np.frombuffer(b"".join(t for _, t, _ in rows), "<u4").astype(np.int64)
+    high = np.frombuffer(b"".join(h or bytes(len(t)) for _, t, h in rows), "<u4").astype(np.int64)
+    return low | high << 32
 
 
 def with_totals(chunked: DataFrame, replies: DataFrame, use: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from broadsheet.llm import decontaminate, jaccard, langid, licenses, lm, packing, spotjoin, spotsigs, tool_calls, toxicity
+from broadsheet.llm import counting, decontaminate, jaccard, langid, licenses, lm, packing, spotjoin, spotsigs, tool_calls, toxicity
 from broadsheet.llm.queries import PHRASES, QUERIES, URL_RULES
 from broadsheet.llm.reputation import judge_urls
 
@@ -198,6 +198,17 @@ def test_backoff_scores_equal_counts_of_the_other_documents(docs, texts, odd, no
     assert lm.stupid_backoff(none).count() == 0
 
 
+def test_totals_go_beyond_32_bits(spark):
+    keys = np.array([0, 5 << 60, 15 << 60], np.uint64)
+    counts = {0: [3 << 30, 1, 7], 1: [3 << 30, 2, (1 << 32) - 1], 2: [1, 3, (1 << 32) - 1]}
+    plan = counting.Layout(3, 2, 6)
+    chunked = spark.createDataFrame([(c,) for c in counts], "chunk int")
+    replies = counting.totals(chunked, lambda chunk: (keys, np.array(counts[chunk["chunk"][0].as_py()])), plan)
+    use = lambda chunk, total: pa.table({"chunk": chunk["chunk"], "totals": pa.array([total.tolist()])})
+    got = counting.with_totals(chunked, replies, use, "chunk int, totals array<long>").collect()
+    assert len(got) == 3 and all(r.totals == [(6 << 30) + 1, 6, (1 << 33) + 5] for r in got)
+
+
 def test_fingerprints_and_edited_texts(docs, texts, odd, none):
     got = {r.doc_id: r for r in spotsigs.neighbour_fingerprints(docs).collect()}
     ids = sorted(texts)
