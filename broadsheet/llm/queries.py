@@ -16,6 +16,7 @@ from broadsheet.llm.licenses import scan
 from broadsheet.llm.lm import stupid_backoff
 from broadsheet.llm.packing import pack
 from broadsheet.llm.reputation import judge_urls, markup_outcome
+from broadsheet.llm.spotjoin import place_classes
 from broadsheet.llm.spotsigs import neighbour_fingerprints
 from broadsheet.llm.tool_calls import link_tool_calls
 
@@ -121,7 +122,8 @@ def op5_stupid_backoff(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op6_spot_signatures(spark: SparkSession, folder: str) -> DataFrame:
-    return neighbour_fingerprints(table(spark, folder, "documents"))
+    docs = table(spark, folder, "documents")
+    return neighbour_fingerprints(docs, place_classes(docs))
 
 
 @query

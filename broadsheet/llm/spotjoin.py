@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from broadsheet.llm.bytewords import mix
 from broadsheet.llm.common import stored
 from broadsheet.llm.components import components
-from broadsheet.llm.spotsigs import signature_sets
+from broadsheet.llm.spotsigs import NO_ID, set_key, signature_sets
 
 BUCKETS = 1 << 18  #: of the counts that tell rare signatures
 BLOCK = 1000  #: sets of a group in one block
@@ -41,13 +41,6 @@ COLUMNS = 4096  #: signatures counted at a time
 LONGEST = 1 << 40  #: no set is longer
 
 
-def set_key(signatures: np.ndarray) -> bytes:
-    """128 bits that tell distinct sets apart."""
-    wide = signatures.astype(np.uint64)
-    halves = [int(mix(wide + np.uint64(seed)).sum(dtype=np.uint64)) for seed in (1, 0x9E3779B97F4A7C15)]
-    return b"".join(h.to_bytes(8, "big") for h in halves)
-
-
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n, key, signatures (sorted, 32 bits each, little-endian)."""
 
@@ -195,13 +188,31 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
         yield keys, blobs
 
 
-def spot_classes(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
-    """doc_id, n_signatures, class_id of every document; see the head of the module."""
-    signed = stored(fingerprints(docs), "fingerprints")
-    sets = stored(signed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("signatures").alias("signatures")), "sets")
+def set_classes(sets: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
+    """key, class_id of distinct sets (key, least, signatures); the least of `least` in a class names it."""
     found = components(similarity_links(sets, num, den)).select(F.col("node").alias("key"), "component")
     named = sets.select("key", "least").join(found, "key", "left").select("key", "least", F.coalesce("component", "key").alias("component"))
     names = named.groupBy("component").agg(F.min("least").alias("class_id"))
-    classes = named.join(names, "component").select("key", "class_id")
-    return signed.join(classes, "key", "left").select(
+    return named.join(names, "component").select("key", "class_id")
+
+
+def distinct_sets(signed: DataFrame) -> DataFrame:
+    return stored(signed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("signatures").alias("signatures")), "sets")
+
+
+def spot_classes(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
+    """doc_id, n_signatures, class_id of every document; see the head of the module."""
+    signed = stored(fingerprints(docs), "fingerprints")
+    return signed.join(set_classes(distinct_sets(signed), num, den), "key", "left").select(
         "doc_id", F.col("n").alias("n_signatures"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+
+
+def place_classes(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
+    """place, key, class_id: what `neighbour_fingerprints` takes as classes; a row for each set of a doc_id.
+
+    Signatures are computed anew rather than kept: only distinct sets are written.
+    """
+    signed = fingerprints(docs)
+    classes = set_classes(distinct_sets(signed), num, den)
+    held = signed.where("n > 0").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("place"), "key").distinct()
+    return held.join(classes, "key")

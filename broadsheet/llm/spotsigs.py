@@ -32,6 +32,7 @@ from broadsheet.llm.common import shuffle_partitions, text_bytes
 
 CHAIN = 2
 RANGE_BYTES = 6 << 20
+NO_ID = -(1 << 63)  #: the place of null doc_ids
 
 #: Common words of four languages; fixed values.
 ANCHORS = """
@@ -74,6 +75,13 @@ def signature_sets(texts: pa.Array) -> Iterator[np.ndarray]:
             yield np.unique(value[low:high])
 
 
+def set_key(signatures: np.ndarray) -> bytes:
+    """128 bits that tell distinct sets apart."""
+    wide = signatures.astype(np.uint64)
+    halves = [int(mix(wide + np.uint64(seed)).sum(dtype=np.uint64)) for seed in (1, 0x9E3779B97F4A7C15)]
+    return b"".join(h.to_bytes(8, "big") for h in halves)
+
+
 def encode(signatures: np.ndarray) -> str:
     """A fingerprint as text: base64 of the sorted 32-bit signatures."""
     return base64.b64encode(signatures.astype("<u4").tobytes()).decode()
@@ -92,8 +100,12 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(both) - shared)
 
 
-def neighbour_fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_signatures."""
+def neighbour_fingerprints(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_signatures.
+
+    With `classes` (place, key, class_id; see `spotjoin.place_classes`) also class_id. They are dealt
+    into the same ranges; a document without signatures is its own class.
+    """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("place"))
     ranges = max(shuffle_partitions(docs.sparkSession), -(-text_bytes(docs) // RANGE_BYTES))
     bounds = np.array(sorted(set(rows.approxQuantile("place", [i / ranges for i in range(1, ranges)], 0.1 / ranges))), dtype=np.float64)
@@ -131,6 +143,16 @@ def neighbour_fingerprints(docs: DataFrame) -> DataFrame:
             "near_edited": [likeness(a, b) for a, b in zip(sets, changed)], "near_next": [likeness(a, b) for a, b in zip(sets, sets[1:])],
             "n_signatures": pa.array([len(s) for s in sets[:-1]], pa.int64())})
 
-    return dealt.groupBy("part").applyInArrow(
-        compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-                 "near_edited double, near_next double, n_signatures long")
+    schema = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+              "near_edited double, near_next double, n_signatures long")
+    if classes is None:
+        return dealt.groupBy("part").applyInArrow(compare, schema)
+
+    def name(part: pa.Table, named: pa.Table) -> pa.Table:
+        found = compare(part)
+        class_of = dict(zip(named["key"].to_pylist(), named["class_id"].to_pylist()))
+        ids = [class_of[set_key(decode(f))] if f else i for i, f in zip(found["doc_id"].to_pylist(), found["fingerprint"].to_pylist())]
+        return found.append_column("class_id", pa.array(ids, pa.int64()))
+
+    named = classes.select(range_of("place").alias("part"), "key", "class_id")
+    return dealt.groupBy("part").cogroup(named.groupBy("part")).applyInArrow(name, schema + ", class_id long")

@@ -334,6 +334,14 @@ def test_spot_classes_equal_all_pairs(spark, docs, texts, odd, none, monkeypatch
     assert spotjoin.spanning_links([np.arange(10), np.arange(8), np.arange(20, 30)], 4, 5) == [(1, 0)]
 
 
+def test_spot_query_names_classes_beyond_neighbours(spark, texts, tmp_path):
+    base = texts[min(t for t in texts if len(texts[t]) > 400)]
+    rows = [(0, base), (50, "another thing of the river bank"), (51, base + " zebra quartz"), (70, None), (80, ""), (None, base), (50, base)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.class_id, r.n_signatures > 0) for r in QUERIES["op6_spot_signatures"](spark, str(tmp_path)).collect())
+    assert got == [(-1, 0, True), (0, 0, True), (50, 0, True), (50, 50, True), (51, 0, True), (70, 70, False), (80, 80, False)]
+
+
 def test_url_rules_and_odd_urls(spark):
     rows = [(1, "http://WWW.Example.com/en/1?x"), (2, "https://a.example.com/en/1"), (3, "http://example.com"), (4, "x://net/es/1#f"), (5, None), (6, "no scheme")]
     got = {r.page_id: r for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string"), F.lit(None).cast("int"), URL_RULES).collect()}
