@@ -14,6 +14,7 @@ only where one of its sums needs them.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -33,23 +34,45 @@ class Layout:
     chunks: int
     bits: int  #: of a key, that name its bucket
     width: int  #: bytes of a key that are sent; bits beyond are left to chance
+    lean: bool = False  #: differences of keys, numbers in planes of bytes, compressed
 
 
-def layout(docs: DataFrame, width: int) -> Layout:
+def layout(docs: DataFrame, width: int, lean: bool = False) -> Layout:
     size, least = text_bytes(docs), shuffle_partitions(docs.sparkSession)
-    return Layout(max(least, -(-size // CHUNK_BYTES)), max(least, -(-size // BUCKET_BYTES)).bit_length(), width)
+    return Layout(max(least, -(-size // CHUNK_BYTES)), max(least, -(-size // BUCKET_BYTES)).bit_length(), width, lean)
 
 
 def chunk_of(spread: Column, plan: Layout) -> Column:
     return F.pmod(F.xxhash64(spread), F.lit(plan.chunks)).cast("int")
 
 
-Keys = Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]
+def _squeeze(numbers: np.ndarray, bytes_each: int = 4) -> bytes:
+    """Planes of bytes, the least first: most planes are zeros, and shrink."""
+    planes = numbers.astype("<u8").view("u1").reshape(-1, 8)[:, :bytes_each].T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _expand(blob: bytes, n: int, bytes_each: int = 4) -> np.ndarray:
+    planes = np.zeros((n, 8), "u1")
+    planes[:, :bytes_each] = np.frombuffer(pa.decompress(blob, bytes_each * n, codec="zstd", asbytes=True), "u1").reshape(bytes_each, n).T
+    return planes.reshape(-1).view("<u8")
+
+
+def _numbers(numbers: np.ndarray, lean: bool) -> bytes:
+    """32-bit numbers; lean ones start with how many they are."""
+    return len(numbers).to_bytes(4, "little") + _squeeze(numbers) if lean else numbers.astype("<u4").tobytes()
+
+
+def _read(blob: bytes, lean: bool) -> np.ndarray:
+    return _expand(blob[4:], int.from_bytes(blob[:4], "little")).astype(np.int64) if lean else np.frombuffer(blob, "<u4").astype(np.int64)
 
 
 def _pack(keys: np.ndarray, plan: Layout) -> list[bytes]:
-    """The bits after the bucket's, in blocks of 4 bytes and 2."""
+    """The bits after the bucket's, in blocks of 4 bytes and the rest."""
     rest = keys << np.uint64(plan.bits)
+    if plan.lean:
+        steps = np.diff(rest >> np.uint64(64 - 8 * plan.width), prepend=np.uint64(0))
+        return [steps.astype("<u4").tobytes(), _squeeze(steps >> np.uint64(32), plan.width - 4)]
     blobs = [(rest >> np.uint64(32)).astype("<u4").tobytes()]
     if plan.width > 4:
         blobs.append((rest >> np.uint64(16)).astype("<u2").tobytes())
@@ -58,22 +81,29 @@ def _pack(keys: np.ndarray, plan: Layout) -> list[bytes]:
 
 def _unpack(blob: bytes, n: int, plan: Layout) -> np.ndarray:
     keys = np.frombuffer(blob, "<u4", n).astype(np.uint64)
+    if plan.lean:
+        return np.cumsum(keys | _expand(blob[4 * n :], n, plan.width - 4) << np.uint64(32), dtype=np.uint64)
     if plan.width > 4:
         keys = keys << np.uint64(16) | np.frombuffer(blob, "<u2", n, 4 * n).astype(np.uint64)
     return keys
 
 
-def totals(chunked: DataFrame, keys_of: Keys, plan: Layout) -> DataFrame:
+def totals(chunked: DataFrame, keys_of: Callable, plan: Layout, earlier: DataFrame | None = None) -> DataFrame:
     """(chunk, bucket, totals, high): for each chunk and bucket the sums over all chunks, in halves of 32 bits.
 
     `keys_of` gives the sorted distinct 64-bit keys of a chunk and their counts; `chunked`
-    has the column chunk.
+    has the column chunk. With `earlier` (see `phases`) it also gets the totals of each earlier phase.
     """
 
     def ask(chunk: pa.Table) -> pa.Table:
-        keys, counts = keys_of(chunk)
+        return sent(chunk, *keys_of(chunk))
+
+    def ask_next(chunk: pa.Table, replies: pa.Table) -> pa.Table:
+        return sent(chunk, *keys_of(chunk, by_phase(replies, plan)))
+
+    def sent(chunk: pa.Table, keys: np.ndarray, counts: np.ndarray) -> pa.Table:
         cuts = np.searchsorted(keys >> np.uint64(64 - plan.bits), np.arange((1 << plan.bits) + 1))
-        rows = [(b, b"".join(_pack(keys[i:j], plan)), counts[i:j].astype("<u4").tobytes(), j - i)
+        rows = [(b, b"".join(_pack(keys[i:j], plan)), _numbers(counts[i:j], plan.lean), j - i)
                 for b, (i, j) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if j > i]
         bucket, sent, count, n = zip(*rows) if rows else ((), (), (), ())
         return pa.table({"bucket": pa.array(bucket, pa.int32()), "chunk": pa.array([chunk["chunk"][0].as_py()] * len(rows), pa.int32()),
@@ -82,36 +112,48 @@ def totals(chunked: DataFrame, keys_of: Keys, plan: Layout) -> DataFrame:
     def answer(asked: pa.Table) -> pa.Table:
         n = asked["n"].to_pylist()
         keys = np.concatenate([_unpack(k, m, plan) for k, m in zip(asked["keys"].to_pylist(), n)])
-        counts = np.concatenate([np.frombuffer(c, "<u4") for c in asked["counts"].to_pylist()])
+        counts = np.concatenate([_read(c, plan.lean) for c in asked["counts"].to_pylist()])
         order = np.argsort(keys, kind="stable")
         ordered = keys[order]
         opens = np.ones(len(keys), bool)
         opens[1:] = ordered[1:] != ordered[:-1]
-        sums = np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(opens))
+        sums = np.add.reduceat(counts[order], np.flatnonzero(opens))
         total = np.empty(len(keys), np.int64)
         total[order] = sums[np.cumsum(opens) - 1]
         low, high = (total & 0xFFFFFFFF).astype("<u4"), (total >> 32).astype("<u4")
         spans = [(e - m, e) for e, m in zip(np.cumsum(n).tolist(), n)]
         return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"],
-                         "totals": pa.array([low[i:j].tobytes() for i, j in spans], pa.binary()),
+                         "totals": pa.array([_numbers(low[i:j], plan.lean) for i, j in spans], pa.binary()),
                          "high": pa.array([high[i:j].tobytes() if high[i:j].any() else b"" for i, j in spans], pa.binary())})
 
-    asked = chunked.groupBy("chunk").applyInArrow(ask, "bucket int, chunk int, keys binary, counts binary, n int")
+    grouped = chunked.groupBy("chunk") if earlier is None else chunked.groupBy("chunk").cogroup(earlier.groupBy("chunk"))
+    asked = grouped.applyInArrow(ask if earlier is None else ask_next, "bucket int, chunk int, keys binary, counts binary, n int")
     return asked.groupBy("bucket").applyInArrow(answer, "chunk int, bucket int, totals binary, high binary")
 
 
-def in_order(replies: pa.Table) -> np.ndarray:
+def in_order(replies: pa.Table, lean: bool = False) -> np.ndarray:
     """A chunk's totals, in the order of its keys."""
-    rows = sorted(zip(*(replies[c].to_pylist() for c in ("bucket", "totals", "high"))))
-    low = np.frombuffer(b"".join(t for _, t, _ in rows), "<u4").astype(np.int64)
-    high = np.frombuffer(b"".join(h or bytes(len(t)) for _, t, h in rows), "<u4").astype(np.int64)
-    return low | high << 32
+    low, high = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for _, t, h in sorted(zip(*(replies[c].to_pylist() for c in ("bucket", "totals", "high")))):
+        low.append(_read(t, lean))
+        high.append(np.frombuffer(h, "<u4").astype(np.int64) if h else np.zeros(len(low[-1]), np.int64))
+    return np.concatenate(low) | np.concatenate(high) << 32
+
+
+def phases(replies: list[DataFrame]) -> DataFrame:
+    """Replies of phases that followed each other, as one table."""
+    return functools.reduce(DataFrame.unionByName, [r.withColumn("phase", F.lit(i)) for i, r in enumerate(replies)])
+
+
+def by_phase(replies: pa.Table, plan: Layout) -> Callable[[int], np.ndarray]:
+    phase = replies["phase"].to_numpy()
+    return lambda i: in_order(replies.filter(pa.array(phase == i)), plan.lean)
 
 
-def with_totals(chunked: DataFrame, replies: DataFrame, use: Callable[[pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
-    """Give each chunk's rows and totals to `use`."""
+def with_totals(chunked: DataFrame, replies: DataFrame, use: Callable, schema: str, plan: Layout | None = None) -> DataFrame:
+    """Give each chunk's rows and totals to `use`; with a plan, the totals `by_phase`."""
 
     def both(chunk: pa.Table, asked: pa.Table) -> pa.Table:
-        return use(chunk, in_order(asked))
+        return use(chunk, by_phase(asked, plan) if plan else in_order(asked))
 
     return chunked.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(both, schema)

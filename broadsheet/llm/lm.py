@@ -5,9 +5,10 @@ n-gram was never seen, it is `backoff` times the score with one word less of con
 logs are summed per document. Counts leave the scored document out (its own n-grams would
 always be found), so they are those of all other documents.
 
-The n-grams of all orders are exploded per chunk of documents, counted there, sent to the
-partition of their hash, joined with the totals of that partition, and come back to be
-summed per document; see `counting`. Words are those between blanks, A-Z in lower case.
+N-grams are exploded per chunk of documents, counted there, sent to the partition of their
+hash, joined with the totals of that partition, and come back to be summed per document; see
+`counting`. Words and pairs go first; each higher order follows with the n-grams whose parts
+were both seen elsewhere, the others cannot be. Words are those between blanks, A-Z in lower case.
 
 Null or empty text: no words, score 0, mean null. A word seen nowhere else scores as once in all
 words. Repeated rows with one doc_id are documents of their own, and so find each other.
@@ -16,13 +17,15 @@ Empty tables give an empty result. Extra columns are not returned.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.llm.bytewords import SPACED, blocks, mix, rolling, run_starts
-from broadsheet.llm.counting import chunk_of, layout, totals, with_totals
+from broadsheet.llm.counting import chunk_of, layout, phases, totals, with_totals
 
 ALL_WORDS = np.uint64(0)  #: the key under which chunks send their number of words
 
@@ -41,33 +44,58 @@ def _ngrams(chunk: pa.Table, order: int) -> tuple[np.ndarray, list[tuple[np.ndar
     return counts, [tuple(map(np.concatenate, zip(*f))) if f else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for f in found]
 
 
+def _look_up(chunk: pa.Table, order: int, totals_of: Callable[[int], np.ndarray], answered: int) -> tuple[np.ndarray, int, np.ndarray, np.ndarray, np.ndarray]:
+    """(words of each document; all words; per order and word how often its n-gram was seen elsewhere; keys and counts to ask next).
+
+    Phase 0 asks for orders 1 and 2, each later phase for one order more. An n-gram can only be
+    elsewhere if the two n-grams within it are, so others are not asked for.
+    """
+    words, grams = _ngrams(chunk, order)
+    starts = np.cumsum(words) - words
+    seen = np.zeros((order, int(words.sum())), np.int64)
+    every = 0
+    keys = counts = np.zeros(0, np.int64)
+    for phase, orders in enumerate([range(min(order, 2)), *([k] for k in range(2, order))]):
+        kept = []
+        for k in orders:
+            gram, doc = grams[k]
+            at = starts[doc] + (np.arange(len(doc)) - np.searchsorted(doc, doc)) + k
+            if phase:
+                open_ = (seen[k - 1, at] > 0) & (seen[k - 1, at - 1] > 0)
+                gram, doc, at = gram[open_], doc[open_], at[open_]
+            kept.append((k, gram, doc, at))
+        keys, counts = np.unique(np.concatenate([gram for _, gram, _, _ in kept]), return_counts=True)
+        if not phase:
+            real = keys != ALL_WORDS
+            keys, counts = np.append(ALL_WORDS, keys[real]), np.append(words.sum(), counts[real])
+        if phase == answered:
+            break
+        total = totals_of(phase)
+        every = every if phase else int(total[0])
+        for k, gram, doc, at in kept:
+            place = np.searchsorted(keys, gram)
+            _, inverse, own = np.unique(doc * len(keys) + place, return_inverse=True, return_counts=True)
+            seen[k, at] = total[place] - own[inverse]
+    return words, every, seen, keys, counts
+
+
 def stupid_backoff(docs: DataFrame, order: int = 2, backoff: float = 0.4) -> DataFrame:
     """doc_id, n_words, log_score, mean_log_score and how many words needed a lower order."""
-    plan = layout(docs, 6)
+    plan = layout(docs, 6, lean=True)
     chunked = docs.select(chunk_of(F.coalesce("doc_id", F.xxhash64("text")), plan).alias("chunk"), "doc_id", "text")
 
-    def keys_of(chunk: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        words, grams = _ngrams(chunk, order)
-        keys, counts = np.unique(np.concatenate([k for k, _ in grams]), return_counts=True)
-        keep = keys != ALL_WORDS
-        return np.append(ALL_WORDS, keys[keep]), np.append(words.sum(), counts[keep])
-
-    def score(chunk: pa.Table, total: np.ndarray) -> pa.Table:
-        words, grams = _ngrams(chunk, order)
-        keys = np.unique(np.concatenate([k for k, _ in grams]))
-        keys = np.append(ALL_WORDS, keys[keys != ALL_WORDS])
-        ends = np.cumsum(words)
-        starts = ends - words
+    def asking(phase: int) -> Callable:
+        def keys_of(chunk: pa.Table, totals_of: Callable | None = None) -> tuple[np.ndarray, np.ndarray]:
+            return _look_up(chunk, min(order, phase + 2), totals_of, phase)[3:]
+
+        return keys_of
+
+    def score(chunk: pa.Table, totals_of: Callable) -> pa.Table:
+        words, every, seen, _, _ = _look_up(chunk, order, totals_of, order)
         n = int(words.sum())
-        seen = np.zeros((order, n), np.int64)  # elsewhere, of the n-gram that ends at a word
-        for k, (gram, doc) in enumerate(grams):
-            at = np.searchsorted(keys, gram)
-            _, inverse, own = np.unique(doc * len(keys) + at, return_inverse=True, return_counts=True)
-            first = starts[doc] + (np.arange(len(doc)) - np.searchsorted(doc, doc))
-            seen[k, first + k] = total[at] - own[inverse]
         of = np.repeat(np.arange(len(words)), words)
-        place = np.arange(n) - starts[of]
-        rest = np.maximum(total[0] - words, 0)[of] if len(total) else np.zeros(n)
+        place = np.arange(n) - (np.cumsum(words) - words)[of]
+        rest = np.maximum(every - words, 0)[of]
         log = np.log(np.maximum(seen[0], 1) / np.maximum(rest, 1))
         for k in range(1, order):
             context = np.zeros(n, np.int64)
@@ -79,5 +107,8 @@ def stupid_backoff(docs: DataFrame, order: int = 2, backoff: float = 0.4) -> Dat
         return pa.table({"doc_id": chunk["doc_id"], "n_words": pa.array(words), "log_score": pa.array(sums),
                          "mean_log_score": pa.array(sums / np.maximum(words, 1), mask=words == 0), "n_backoff": pa.array(lower)})
 
-    return with_totals(chunked, totals(chunked, keys_of, plan), score,
-                       "doc_id long, n_words long, log_score double, mean_log_score double, n_backoff long")
+    replies = [totals(chunked, asking(0), plan)]
+    for phase in range(1, order - 1):
+        replies.append(totals(chunked, asking(phase), plan, phases(replies)))
+    return with_totals(chunked, phases(replies), score,
+                       "doc_id long, n_words long, log_score double, mean_log_score double, n_backoff long", plan)

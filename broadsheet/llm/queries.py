@@ -117,7 +117,7 @@ def op4_sum_of_squares_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def op5_stupid_backoff(spark: SparkSession, folder: str) -> DataFrame:
-    return stupid_backoff(table(spark, folder, "documents"))
+    return stupid_backoff(table(spark, folder, "documents"), order=3)
 
 
 @query

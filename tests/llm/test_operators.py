@@ -198,6 +198,23 @@ def test_backoff_scores_equal_counts_of_the_other_documents(docs, texts, odd, no
     assert lm.stupid_backoff(none).count() == 0
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_backoff_of_higher_orders_equals_counts(spark, docs, texts, order):
+    words = {i: spaced(t) for i, t in texts.items()}
+    grams = lambda w: collections.Counter(tuple(w[i : i + k]) for k in range(1, order + 1) for i in range(len(w) - k + 1))
+    everywhere, size = sum(map(grams, words.values()), collections.Counter()), sum(map(len, words.values()))
+    for r in (lm.stupid_backoff(docs, order) if order > 3 else QUERIES["op5_stupid_backoff"](spark, FOLDER)).collect():
+        w, mine, total, lower = words[r.doc_id], grams(words[r.doc_id]), 0.0, 0
+        seen = lambda g: everywhere[g] - mine[g]  # noqa: B023, E731
+        for i in range(len(w)):
+            k, steps = min(i + 1, order), 0
+            while k > 1 and not seen(tuple(w[i - k + 1 : i + 1])):
+                k, steps = k - 1, steps + 1
+            share = seen(tuple(w[i - k + 1 : i + 1])) / seen(tuple(w[i - k + 1 : i])) if k > 1 else max(seen((w[i],)), 1) / (size - len(w))
+            total, lower = total + np.log(0.4**steps * share), lower + (i >= order - 1 and steps > 0)
+        assert (r.n_words, r.n_backoff) == (len(w), lower) and r.log_score == pytest.approx(total)
+
+
 def test_totals_go_beyond_32_bits(spark):
     keys = np.array([0, 5 << 60, 15 << 60], np.uint64)
     counts = {0: [3 << 30, 1, 7], 1: [3 << 30, 2, (1 << 32) - 1], 2: [1, 3, (1 << 32) - 1]}
