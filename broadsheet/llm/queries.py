@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.llm import langid, toxicity
+from broadsheet.llm.alignment import corpus_alignment
 from broadsheet.llm.common import ship_package
 from broadsheet.llm.decontaminate import contamination
 from broadsheet.llm.jaccard import jaccard_classes
@@ -153,3 +154,8 @@ URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.exa
 @query
 def op10_url_reputation(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages"), markup_outcome(F.col("html")), URL_RULES)
+
+
+@query
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_alignment(table(spark, folder, "documents"), vocabulary_file("byte_bpe_50k.json"), vocabulary_file("piece_bpe_32k.model"))
