@@ -88,7 +88,7 @@ def lanes(a: Side, b: Side, lane: int = LANE) -> tuple[np.ndarray, np.ndarray, n
         stops.append(at[common])
         at = at[~common] + 1
     stop = np.unique(np.concatenate(stops))
-    start = np.concatenate([[0], stop[:-1]]).astype(np.int64)
+    start = np.concatenate([[0], stop]).astype(np.int64)[: len(stop)]
     first = np.searchsorted(b.ends, np.concatenate([[0], a.ends])[start], side="right")
     return start, first, stop
 
@@ -122,7 +122,7 @@ def group_texts(a: Side, b: Side, cuts_a: np.ndarray, cuts_b: np.ndarray) -> lis
     last_a[cuts_a] = last_b[cuts_b] = True
     of_a, of_b = np.cumsum(last_a) - last_a, np.cumsum(last_b) - last_b
     through_a, through_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1  # tokens up to each group's end
-    before_b = np.concatenate([[0], through_b])[:-1] if len(through_b) else through_b
+    before_b = np.concatenate([[0], through_b]).astype(np.int64)
     items = np.empty(2 * (len(a.ids) + len(b.ids)), np.int64)
     place = 2 * (np.arange(len(a.ids)) + before_b[of_a])
     items[place], items[place + 1] = a.ids, np.where(last_a, _BAR, _COMMA)
