@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.llm.bytewords import gather
+from broadsheet.llm.bytewords import gather, slices
 from broadsheet.llm.common import ship_package, stored
 from broadsheet.llm.vocabularies import byte_level, piece_bytes, sentence_pieces
 
@@ -153,17 +153,6 @@ def align(texts: list[str | None], a_path: str, b_path: str, tables: tuple[Bytes
     return columns, (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32), times
 
 
-def _slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
-    """Runs of rows with about `most` bytes of text; one row at least."""
-    ends = np.cumsum([len(t) if t is not None else 0 for t in texts.to_pylist()])
-    first = 0
-    while first < len(texts):
-        before = ends[first - 1] if first else 0
-        last = max(int(np.searchsorted(ends, before + most, side="right")), first + 1)
-        yield first, last
-        first = last
-
-
 def aligned(docs: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK_BYTES, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """One row per document with its counts and distinct pairs, and one per chunk (no `pairs`) with the pairs it holds.
 
@@ -179,7 +168,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, block_bytes: int = BLOCK_
             return _rows(chunk, [None], {}, None, pairs.astype("<u4").tobytes(), times.astype("<u4").tobytes())
 
         for batch in batches:
-            for first, last in _slices(batch.column(1), block_bytes):
+            for first, last in slices(batch.column(1), block_bytes):
                 texts = batch.column(1)[first:last].to_pylist()
                 columns, doc, pairs, times = align(texts, a_path, b_path, tables)
                 cuts = np.searchsorted(doc, np.arange(len(texts) + 1)).tolist()

@@ -100,6 +100,16 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
+def slices(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows with about `most` bytes of text; one row at least."""
+    offsets = buffers(texts)[1]
+    first = 0
+    while first < len(offsets) - 1:
+        last = max(int(np.searchsorted(offsets, offsets[first] + most, side="right")) - 1, first + 1)
+        yield first, last
+        first = last
+
+
 def blocks(texts: pa.Array, table=SPACED, block_bytes: int = BLOCK_BYTES) -> Iterator[Block]:
     """Split the texts into blocks and find their words. A word never spans documents."""
     if not len(texts):

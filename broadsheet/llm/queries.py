@@ -19,6 +19,7 @@ from broadsheet.llm.packing import pack
 from broadsheet.llm.reputation import judge_urls, markup_outcome
 from broadsheet.llm.spotjoin import place_classes
 from broadsheet.llm.spotsigs import neighbour_fingerprints
+from broadsheet.llm.token_counts import token_counts
 from broadsheet.llm.tool_calls import link_tool_calls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,6 +157,11 @@ def op10_url_reputation(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages"), markup_outcome(F.col("html")), URL_RULES)
 
 
+@query
+def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(table(spark, folder, "documents"), vocabulary_file("word_bpe_49k.json"))
+
+
 @query
 def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_alignment(table(spark, folder, "documents"), vocabulary_file("byte_bpe_50k.json"), vocabulary_file("piece_bpe_32k.model"))
