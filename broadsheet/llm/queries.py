@@ -16,6 +16,7 @@ from broadsheet.llm.jaccard import jaccard_classes
 from broadsheet.llm.licenses import scan
 from broadsheet.llm.lm import stupid_backoff
 from broadsheet.llm.packing import pack
+from broadsheet.llm.periodic import longest_exponent, periodic_runs
 from broadsheet.llm.reputation import judge_urls, markup_outcome
 from broadsheet.llm.spotjoin import place_classes
 from broadsheet.llm.spotsigs import neighbour_fingerprints
@@ -157,6 +158,34 @@ def op10_url_reputation(spark: SparkSession, folder: str) -> DataFrame:
     return judge_urls(table(spark, folder, "pages"), markup_outcome(F.col("html")), URL_RULES)
 
 
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Documents whose id hashes to a multiple of ten repeat a piece up to their end; fixed by the contract."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+
+    def planted(words: Column) -> Column:
+        n = F.size(words)
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+        places = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int"))
+        return F.when(n > 0, F.array_join(F.transform(places, lambda i: F.get(words, i)), " "))
+
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return docs.select("doc_id", F.when(F.pmod(h, F.lit(10)) == 0, F.get(F.transform(F.array(words), planted), F.lit(0))).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs(with_planted_runs(table(spark, folder, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    top = longest_exponent(F.col("runs"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"), top.alias("top")).select(
+        "doc_id", "n_runs", "top.start", "top.length", "top.period",
+        F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 @query
 def op12_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts(table(spark, folder, "documents"), vocabulary_file("word_bpe_49k.json"))
