@@ -11,9 +11,8 @@ Tasks pack their own rows: no shuffle, and no key that could be hot. A task hold
 of open windows only. Window ids join the task's number and a counter; a task that runs
 again replaces its rows as a whole.
 
-Ids come from the given tokenizer. Byte-level BPE never merges across a blank that follows
-a visible character, so texts are cut there; the ids of equal cuts are looked up in a
-bounded table of each worker and new cuts are encoded in batches.
+Ids come from the given byte-level tokenizer file (see `vocabularies`); its special tokens'
+strings in a text are special tokens.
 
 Null text counts as empty: the end id alone. Repeated rows are packed each. Very long
 texts span several windows. Empty tables give no rows. Extra columns are not returned.
@@ -29,94 +28,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from broadsheet.llm.bytewords import Block, blocks, gather
+from broadsheet.llm.bytewords import slices
+from broadsheet.llm.vocabularies import byte_level
 
 WINDOW = 2048
-CACHE = 500_000  #: cuts whose ids a worker remembers; the table is emptied when full
+BLOCK_BYTES = 4 << 20  #: of text encoded before its full windows are returned
 
 SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
-_WHOLE = (np.ones(256, dtype=bool), np.arange(256, dtype=np.uint8))
-_BLANK = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
-
-
-def cut_starts(b: Block) -> np.ndarray:
-    """Byte offsets where a block can be cut without changing ids.
-
-    Before an ASCII blank whose predecessor is a visible character: an ASCII one, or the
-    last byte of a two-byte letter (no blank of Unicode lies between U+00C0 and U+07FF).
-    """
-    data = b.data
-    cut = np.zeros(len(data), dtype=bool)
-    before = data[:-1]
-    visible = (before > 0x20) & (before < 0x7F)
-    visible[1:] |= (before[1:] >= 0x80) & (data[:-2] >= 0xC3) & (data[:-2] <= 0xDF)
-    cut[1:] = _BLANK[data[1:]] & visible
-    cut[b.bounds[:-1][np.diff(b.bounds) > 0]] = True
-    return np.flatnonzero(cut)
-
-
-class Encoder:
-    """Ids of many texts by a `tokenizers` file, with a table of cuts seen."""
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.where = np.zeros((0, 2), np.int32)
-        self.ids = np.zeros(1 << 16, np.int32)
-        self.used = 0
-
-    def learn(self, keys: np.ndarray, texts: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        total = int(lengths.sum())
-        if self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.zeros(self.used // 2 + total, np.int32)])
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in found for i in x), np.int32, total)
-        new = np.stack([self.used + np.cumsum(lengths) - lengths, lengths], axis=1)
-        self.used += total
-        order = np.argsort(keys, kind="stable")
-        at = np.searchsorted(self.keys, keys[order])
-        self.keys = np.insert(self.keys, at, keys[order])
-        self.where = np.insert(self.where, at, new[order], axis=0)
-
-    def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
-        """The ids of each text, in order."""
-        for b in blocks(texts, _WHOLE):
-            if len(self.keys) > CACHE:
-                self.clear()
-            starts = cut_starts(b)
-            ends = np.append(starts[1:], len(b.data))
-            keys, first, of = np.unique(b.hashes(starts, ends), return_index=True, return_inverse=True)
-            at = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-            missing = np.flatnonzero(self.keys[at] != keys) if len(self.keys) else np.arange(len(keys))
-            if len(missing):
-                raw = b.data.tobytes()
-                self.learn(keys[missing], [raw[starts[i] : ends[i]].decode() for i in first[missing]])
-                at = np.searchsorted(self.keys, keys)
-            where = self.where[at][of].astype(np.int64)
-            flat = self.ids[gather(where[:, 0], where[:, 1])]
-            upto = np.concatenate([[0], np.cumsum(where[:, 1])])
-            bounds = upto[np.searchsorted(starts, b.bounds)]
-            for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                yield flat[low:high]
-
-
-_encoders: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One per worker and file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 class Packer:
     """Windows of one task. A piece is (document, start, ids, tokens of the document)."""
 
@@ -202,15 +121,16 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = WINDOW)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, done, packer = TaskContext.get().partitionId() << 40, 0, Packer(window)
-        end = np.array([end_id], np.int32)
+        end = np.array([end_id], np.uint32)
         for batch in batches:
-            texts = encoder(tokenizer).encode(batch.column(1))
-            for doc, ids in zip(batch.column(0).to_pylist(), texts):
-                packer.add(doc, np.concatenate([ids, end]))
-                if len(packer.full) >= 2000:
-                    n = len(packer.full)
-                    yield packer.drain(base, done)
-                    done += n
+            ids, texts = batch.column(0), batch.column(1).fill_null("")
+            for first, last in slices(texts, BLOCK_BYTES):
+                part = zip(ids[first:last].to_pylist(), byte_level(tokenizer).encode(texts[first:last].to_pylist()))
+                for doc, found in part:
+                    packer.add(doc, np.concatenate([found, end]))
+                n = len(packer.full)
+                yield packer.drain(base, done)
+                done += n
         packer.close()
         yield packer.drain(base, done)
         pa.default_memory_pool().release_unused()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from broadsheet.llm import counting, decontaminate, jaccard, langid, licenses, lm, packing, spotjoin, spotsigs, tool_calls, toxicity
+from broadsheet.llm import counting, decontaminate, jaccard, langid, licenses, lm, packing, spotjoin, spotsigs, tool_calls, toxicity, vocabularies
 from broadsheet.llm.queries import PHRASES, QUERIES, URL_RULES
 from broadsheet.llm.reputation import judge_urls
 
@@ -154,12 +154,13 @@ def test_packing_keeps_every_id_and_pads_little(docs, texts, odd, none):
     assert packing.pack(none, path).count() == 0
 
 
-def test_cached_cuts_give_the_tokenizers_ids():
+def test_ids_are_the_tokenizers():
     rng = random.Random(1)
-    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = ["".join(rng.choice("ab'1 \n\t é 日!\x85\x1c\r🎉") for _ in range(40)) for _ in range(2000)]
-    want = encoder.tokenizer.encode_batch(texts, add_special_tokens=False)
-    assert all(list(a) == b.ids for a, b in zip(encoder.encode(pa.array(texts)), want))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    texts = ["".join(rng.choice("ab'1 \n\t é 日!\x85\x1c\r🎉") for _ in range(40)) for _ in range(2000)] + ["a<|endoftext|>b", " " * 3000]
+    want = tokenizer.encode_batch(texts, add_special_tokens=False)
+    assert all(a.tolist() == b.ids for a, b in zip(vocabularies.byte_level(path).encode(texts), want))
 
 
 def test_level_minimises_the_sum_of_squares():
