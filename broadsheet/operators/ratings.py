@@ -105,8 +105,32 @@ def survey_respondents(survey: DataFrame, position: str = "row_pos") -> DataFram
 
 def survey_unpivot(survey: DataFrame, ids: tuple[str, ...] = ("rater",)) -> DataFrame:
     """Wide answers to long ``(rater, col, value)``; missing answers stay rows."""
-    answers = [_named(c).alias(c) for c in survey_answer_columns(survey)]
-    return survey.unpivot(list(ids), answers, "col", "value")
+    columns = survey_answer_columns(survey)
+    if not columns:
+        return survey.select(*map(_named, ids), F.lit("").alias("col"), F.lit("").alias("value")).where("false")
+    # By position: one array a row and one list of names, however many columns there are.
+    answers = F.expr("array(" + ", ".join("`" + c.replace("`", "``") + "`" for c in columns) + ")")
+    names = F.split(F.lit("\n".join(columns)), "\n")
+    spread = survey.select(*map(_named, ids), F.posexplode(answers).alias("_at", "value"))
+    return spread.select(*map(_named, ids), F.get(names, F.col("_at")).alias("col"), "value")
+
+
+def survey_answers(cells: DataFrame) -> DataFrame:
+    """Cells of survey exports to long ``(file_pos, rater, col, value)``, whatever their width.
+
+    The long form of `survey_respondents` and `survey_unpivot`: rows are kept by their
+    first answer, at most one per human rater and file, and raters are named by position.
+    """
+    first = cells.where(F.col("col") == SURVEY_FIRST_ANSWER).where("value IS NOT NULL AND NOT startswith(value, '{')")
+    in_file = Window.partitionBy("file_pos")
+    counted = first.select("file_pos", "row_pos", F.count("*").over(in_file).alias("_respondents"))
+    fits = F.when(F.col("_respondents") <= len(HUMANS), True).otherwise(
+        F.raise_error(F.lit("more survey rows than raters")).cast("boolean"))
+    names = F.array(*(F.lit(h.capitalize()) for h in HUMANS))
+    number = F.row_number().over(in_file.orderBy("row_pos"))
+    raters = counted.where(fits).select("file_pos", "row_pos", F.get(names, number - 1).alias("rater"))
+    answers = cells.where(F.col("col").rlike("^" + _ANSWER_COLUMN.pattern)).drop("file_pos")
+    return answers.join(raters, "row_pos").select("file_pos", "rater", "col", "value")
 
 
 def survey_key_parse(answers: DataFrame) -> DataFrame:
@@ -168,9 +192,16 @@ def human_pair(sheets: DataFrame, raters: tuple[str, str] = HUMANS) -> DataFrame
 
 
 def human_ratings(survey: DataFrame) -> DataFrame:
-    """Survey export to one row per article coded by both humans."""
-    answers = survey_key_parse(survey_unpivot(survey_respondents(survey)))
-    return human_pair(survey_question_map(survey_pivot(answers, survey_questions(survey))))
+    """Survey export, as a wide sheet or as cells, to one row per article coded by both humans."""
+    if {"file_pos", "row_pos", "col", "value"} <= set(survey.columns):
+        answers = survey_key_parse(survey_answers(survey))
+        names = (F.regexp_replace("col", _ARTICLE_PREFIX.pattern, "")).alias("question")
+        asked = survey.where(F.col("col").rlike("^" + _ANSWER_COLUMN.pattern)).select(names).distinct()
+        questions = sorted(r.question for r in asked.collect())  # a few: articles share their questions
+    else:
+        answers = survey_key_parse(survey_unpivot(survey_respondents(survey)))
+        questions = survey_questions(survey)
+    return human_pair(survey_question_map(survey_pivot(answers, questions)))
 
 
 def model_human_merge(models: DataFrame, humans: DataFrame) -> DataFrame:

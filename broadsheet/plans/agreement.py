@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.operators.agreement import irr_table, label_disagreements
 from broadsheet.operators.ratings import human_ratings, model_human_merge, model_ratings
-from broadsheet.sources.readers import read_people, read_survey
+from broadsheet.sources.readers import read_people, read_survey_cells
 from broadsheet.sources.writers import write_irr_tables
 
 
@@ -28,11 +28,11 @@ def run_agreement(
     """Write the three tables under ``out``; return the table of all pairs.
 
     ``merged_count``, if given, observes the number of ``articles`` that models
-    and both humans rated, while they are written. Turn ``multi_line`` off if no
-    cell of the people file holds a line break: it is then split between tasks.
+    and both humans rated, while they are written. With ``multi_line`` off every
+    line of the people file is a row.
     """
     people = read_people(spark, people_path, multi_line)
-    merged = merged_ratings(people, read_survey(spark, survey_path))
+    merged = merged_ratings(people, read_survey_cells(spark, survey_path))
     if merged_count is not None:
         merged = merged.observe(merged_count, F.count(F.lit(1)).alias("articles"))
     merged.write.mode("overwrite").parquet(f"{out}/ratings")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from broadsheet.functions.labels import csv_missing_to_null
 from broadsheet.functions.text import let, strip
 from broadsheet.operators.curation import header_normalise, terms_from_lines
+from broadsheet.sources.records import cells, records
 
 INDEX_SCHEMA = "url string, filename string, offset string, length string, collection string"
 BLOCK_FIELDS = ("url", "year", "source", "state")
@@ -27,14 +28,19 @@ def row_position() -> Column:
 
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """A CSV file or folder as text columns plus ``row_pos``.
+    """A CSV file or folder as text columns plus ``row_pos``, the number of the row.
 
-    Quoted cells may hold line breaks, which makes a file unsplittable; give
-    large inputs as many files, or turn ``multi_line`` off if no cell does.
+    Quoted cells may hold line breaks; files are split between tasks all the same
+    (see `records`). With ``multi_line`` off every line is a row.
     """
-    raw = spark.read.csv(path, header=True, escape='"', multiLine=multi_line)
-    cells = [csv_missing_to_null(F.col(f"`{c}`")).alias(c) for c in raw.columns]
-    return raw.select(*cells, row_position().alias("row_pos"))
+    names = spark.read.csv(path, header=True, escape='"', multiLine=multi_line).columns
+    fields = ", ".join(f"_{i} string" for i in range(len(names)))
+    options = {"escape": '"', "multiLine": "true", "maxColumns": str(max(20480, len(names)))}
+    rows = records(spark, path, quoted=multi_line).where("NOT is_header")
+    # Filters are not pushed through a generator, so a record is parsed once.
+    parsed = rows.select("row_pos", F.inline(F.array(F.from_csv("record", fields, options))))
+    cells_ = [csv_missing_to_null(F.col(f"_{i}")).alias(c) for i, c in enumerate(names)]
+    return parsed.select(*cells_, "row_pos")
 
 
 def read_terms(spark: SparkSession, path: str) -> DataFrame:
@@ -129,11 +135,21 @@ def read_people(spark: SparkSession, path: str, multi_line: bool = True) -> Data
 
 
 def read_survey(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """One survey export file. The question texts under the header are dropped."""
-    rows = read_csv(spark, path, multi_line)
-    row_in_task = F.col("row_pos.seq").bitwiseAND(F.lit((1 << 33) - 1))
-    first = (F.col("row_pos.block") == 0) & (row_in_task == 0)
-    return rows.where(~first)
+    """One survey export file as a wide sheet. The question texts under the header are dropped."""
+    return read_csv(spark, path, multi_line).where(F.col("row_pos") > 1)
+
+
+def read_survey_cells(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Survey exports in long form: ``file_pos, row_pos, pos, col, value``, a row for each cell.
+
+    However many columns a sheet has, the plan is the same: cells are split off by position
+    and get their names from the cells of their file's header. A folder may hold several
+    exports with headers of their own. Question texts under the headers are dropped.
+    """
+    every = cells(records(spark, path, quoted=multi_line))
+    names = every.where("is_header").select("file_pos", "pos", F.col("cell").alias("col"))
+    answers = every.where("row_pos > file_pos + 1").select("file_pos", "row_pos", "pos", csv_missing_to_null(F.col("cell")).alias("value"))
+    return answers.join(names, ["file_pos", "pos"]).select("file_pos", "row_pos", "pos", "col", "value")
 
 
 def read_curated_metadata(

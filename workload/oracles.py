@@ -155,13 +155,20 @@ _oracle("src_article_blocks", "articles", f"""
 SELECT url, year, source, coalesce(state, '') AS state,
   {_strip(f"replace(replace(text, chr(13) || {NL}, {NL}), chr(13), {NL})")} AS text FROM articles""")
 
-_RACES = [rating_column(m, f"{r}_race") for m in MODELS for r in ROLES]
+_MODEL_COLUMNS = [rating_column(m, v) for m in MODELS for v in VARIABLES]
 _oracle("src_people", "people", f"""
-SELECT art_num, url, l_linenumber, {", ".join(f"nullif({c}, '') AS {c}" for c in _RACES)} FROM people""")
-
-_oracle("src_survey", "survey", """
-SELECT rater, note, ART0013_Q4_PERP_RACE FROM survey
-WHERE ART0001_Q1_CRIME_COMMITTED NOT LIKE '{%'""")
+SELECT art_num, url, l_linenumber, {", ".join(f"nullif({c}, '') AS {c}" for c in _MODEL_COLUMNS)},
+  CASE WHEN l_partkey % 10 = 0 THEN 'say "' || l_suppkey || '",' || {NL} || 'then' ELSE url END AS note FROM people""")
+
+_oracle("src_survey", "exports", "WITH asked AS (" + " UNION ALL ".join(
+    f"SELECT export, 'ART' || lpad(art::VARCHAR, 4, '0') || '_{q}' AS col, coder, nullif({q}, '') AS value FROM exports"
+    for q in SURVEY_QUESTIONS.values()) + """),
+coders AS (
+  SELECT export, coder, list_extract(['Eleanor', 'Sarah'], (row_number() OVER (PARTITION BY export ORDER BY coder))::INT) AS rater
+  FROM asked WHERE col = 'ART0001_Q1_CRIME_COMMITTED' AND value IS NOT NULL),
+names AS (SELECT DISTINCT export, col FROM asked)
+SELECT n.export, c.rater, n.col, a.value
+FROM names n JOIN coders c USING (export) LEFT JOIN asked a ON a.export = n.export AND a.col = n.col AND a.coder = c.coder""")
 
 _CURATED = f"""
 curated AS (

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.dims import (
-    MODELS, NOMINAL_VARIABLES, RATERS, ROLES, TIER1_TERMS, TIER2_TERMS,
+    MODELS, NOMINAL_VARIABLES, RATERS, ROLES, SURVEY_QUESTIONS, TIER1_TERMS, TIER2_TERMS,
     keyword_terms, rating_column,
 )
 from broadsheet.functions import labels, scores, urls, votes
@@ -110,20 +110,55 @@ def src_article_blocks(t: Tables) -> DataFrame:
 @query
 def src_people(t: Tables) -> DataFrame:
     path = scratch(t.spark, "people")
-    races = [rating_column(m, f"{r}_race") for m in MODELS for r in ROLES]
-    # Missing races are written as one of the markers for a missing value.
-    marked = {c: F.coalesce(c, F.lit("N/A")) for c in races}
+    answers = ratings.model_columns(t.people)
+    # Missing answers are written as one of the markers for a missing value; some cells hold line breaks.
+    marked = {c: F.coalesce(c, F.lit("N/A")) for c in answers}
+    note = F.when(F.col("l_partkey") % 10 == 0, F.concat(F.lit('say "'), "l_suppkey", F.lit('",\nthen'))).otherwise(F.col("url"))
     t.people.select(
-        F.col("art_num").alias("article_id"), "url", "l_linenumber", *races
+        F.col("art_num").alias("article_id"), "url", "l_linenumber", *answers, note.alias("note")
     ).withColumns(marked).write.csv(path, **writers.CSV_OPTIONS)
     return readers.read_people(t.spark, path).select(
-        "art_num", "url", F.col("l_linenumber").cast("int").alias("l_linenumber"), *races
+        "art_num", "url", F.col("l_linenumber").cast("int").alias("l_linenumber"), *answers, "note"
     )
 
 
+def _write_exports(t: Tables, path: str) -> None:
+    """Survey exports as they come: names, question texts, a template row, a row per coder."""
+    questions = F.expr("stack(7, " + ", ".join(f"'{q}', {q}" for q in SURVEY_QUESTIONS.values()) + ") AS (question, value)")
+    long = t.exports.select("export", "coder", F.format_string("ART%04d_", "art").alias("art"), questions)
+    long = long.withColumn("col", F.concat("art", "question"))
+    names = long.groupBy("export").agg(F.array_sort(F.collect_set("col")).alias("names"))
+    grid = long.select("export", "col").distinct().join(long.select("export", "coder").distinct(), "export")
+    filled = grid.join(long.select("export", "coder", "col", "value"), ["export", "coder", "col"], "left")
+    coders = filled.groupBy("export", "coder").agg(F.array_sort(F.collect_list(F.struct("col", F.coalesce("value", F.lit("")).alias("value")))).alias("cells"))
+
+    def line(first, cells):
+        quoted = F.transform(cells, lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')))
+        return F.concat_ws(",", first, F.array_join(quoted, ","))
+
+    each = lambda body: F.transform("names", body)
+    head = names.select("export", F.inline(F.array(
+        F.struct(F.lit(0).alias("line"), line(F.lit("Started"), F.col("names")).alias("value")),
+        F.struct(F.lit(1).alias("line"), line(F.lit("Start"), each(lambda c: F.concat(F.lit("What,\nthen, is "), c, F.lit("?")))).alias("value")),
+        F.struct(F.lit(2).alias("line"), line(F.lit("{}"), each(lambda c: F.lit('{"ImportId":"QID1"}'))).alias("value")))))
+    rows = coders.select("export", (F.col("coder") + 3).alias("line"), line(F.concat(F.lit("export "), "export"), F.col("cells.value")).alias("value"))
+    lines = head.unionByName(rows).withColumn("folder", F.col("export"))
+    lines.repartition("folder").sortWithinPartitions("folder", "line").select("folder", "value").write.partitionBy("folder").text(path)
+
+
+def _export_cells(t: Tables) -> DataFrame:
+    path = scratch(t.spark, "exports")
+    _write_exports(t, path)
+    return readers.read_survey_cells(t.spark, path)
+
+
 @query
 def src_survey(t: Tables) -> DataFrame:
-    return ratings.answered_rows(t.survey).select("rater", "note", "ART0013_Q4_PERP_RACE")
+    """Every answer of every coder, read from the exports and named by position."""
+    cells = _export_cells(t)
+    started = cells.where("col = 'Started'").select("file_pos", F.replace("value", F.lit("export "), F.lit("")).try_cast("bigint").alias("export")).distinct()
+    answers = ratings.survey_answers(cells)
+    return answers.join(started.where("export IS NOT NULL"), "file_pos").select("export", "rater", "col", "value")
 
 
 @query
@@ -454,7 +489,7 @@ def human_pair(t: Tables) -> DataFrame:
 
 @query
 def model_human_merge(t: Tables) -> DataFrame:
-    models = ratings.model_ratings(t.people, _person_order())
+    models = ratings.model_ratings(t.people, F.col("row_idx"))
     humans = ratings.human_pair(ratings.survey_question_map(t.sheets))
     return ratings.model_human_merge(models, humans)
 
@@ -480,15 +515,11 @@ def resume_filter(t: Tables) -> DataFrame:
 # --- aggregations -------------------------------------------------------------
 
 
-def _person_order():
-    return F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-
-
 @query
 def first_non_null(t: Tables) -> DataFrame:
     people = t.people
     return ratings.first_non_null(
-        people, ["art_num"], ratings.model_columns(people), _person_order()
+        people, ["art_num"], ratings.model_columns(people), F.col("row_idx")
     )
 
 

@@ -78,13 +78,14 @@ SELECT DISTINCT source AS name, source || '.example.com' AS URL,
   CASE CAST(substr(source, 4) AS INT) % 6 WHEN 0 THEN 'CA' WHEN 1 THEN 'TX' WHEN 2 THEN 'NY' WHEN 3 THEN 'DC' WHEN 4 THEN 'XX' ELSE 'OH' END AS state,
   source AS source_id
 FROM {documents}""",
-    # One person per line item; an order is an article. The last four columns
-    # give the order of people within an article.
+    # One person per line item; an order is an article. row_idx is the place of a
+    # person among those of an article, by the four columns before.
     "people": f"""
 SELECT l_orderkey AS art_num,
   'https://www.src' || CAST(l_orderkey % 23 AS STRING) || '.example.com/p/' || CAST(l_orderkey AS STRING) AS url,
   {_answers(MODELS, "l_partkey", "l_suppkey + l_linenumber")},
-  l_linenumber, l_partkey, l_suppkey, l_extendedprice
+  l_linenumber, l_partkey, l_suppkey, l_extendedprice,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS row_idx
 FROM {{lineitem}}""",
     # One article per order, rated by all five.
     "ratings": f"""
@@ -100,6 +101,16 @@ SELECT CASE WHEN o_orderkey % 7 = 3 THEN 'Third' WHEN o_orderkey % 2 = 0 THEN 'E
         for v, text in SURVEY_QUESTIONS.items()
     ) + """
 FROM {orders}""",
+    # Exports of a thousand articles with a row for each of two coders.
+    "exports": """
+SELECT CAST((art_num - art_num % 1000) / 1000 AS BIGINT) AS export, CAST(art_num % 1000 + 1 AS INT) AS art, coder, """
+    + ", ".join(SURVEY_QUESTIONS.values()) + """
+FROM (SELECT CAST((o_orderkey - o_orderkey % 2) / 2 AS BIGINT) AS art_num, CAST(o_orderkey % 2 AS INT) AS coder,
+  """ + ",\n  ".join(
+        f'{_answer(v, "eleanor", "o_custkey", "o_orderkey")} AS {text}'
+        for v, text in SURVEY_QUESTIONS.items()
+    ) + """
+FROM {orders}) a""",
     # A wide survey export with one respondent per order.
     "survey": "\nSELECT 'R' || CAST(o_orderkey AS STRING) AS rater, o_orderpriority AS note,\n  "
     + ",\n  ".join(
