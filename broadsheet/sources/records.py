@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_LINES = 100_000  #: of one record within a block; more means that a quote was never closed
+BROADCAST_BLOCKS = 200_000  #: about 20 MB of offsets
 
 _SCAN = ("file string, block long, seq long, value string, blank boolean, "
          "open_0 boolean, records_0 long, ends_0 boolean, longest_0 long, open_1 boolean, records_1 long, ends_1 boolean, longest_1 long")
@@ -135,6 +136,9 @@ def records(spark: SparkSession, path: str, quoted: bool = True, most: int = MOS
     lines = spark.read.text(path, lineSep="\n").select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
     offsets = block_offsets(lines.mapInArrow(_line_scanner(quoted, False), _SCAN), most)
+    # No more rows than files and splits, which are known: beyond that bound lines are shuffled to meet them.
+    if len(lines.inputFiles()) + lines.rdd.getNumPartitions() <= BROADCAST_BLOCKS:
+        offsets = F.broadcast(offsets)
     scanned = lines.mapInArrow(_line_scanner(quoted, True), _SCAN).join(offsets, ["file", "block"])
     case = lambda name: F.when(F.col("is_open"), F.col(f"{name}_1")).otherwise(F.col(f"{name}_0"))
     numbered = scanned.select("block", "seq", "value", "blank", case("open").alias("open"), case("ends").alias("ends"),

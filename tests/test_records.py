@@ -66,7 +66,14 @@ def test_long_cells_over_many_blocks_and_one_open_quote(spark, small_blocks, tmp
 def test_plan_reads_lines_and_groups_only_records_of_several(spark, tmp_path):
     (tmp_path / "f.csv").write_text("a,b\n1,2\n")
     plan = readers.read_csv(spark, str(tmp_path / "f.csv"))._jdf.queryExecution().executedPlan().toString()
-    assert "FileScan text" in plan and "Union" in plan
+    assert "FileScan text" in plan and "Union" in plan and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_more_blocks_than_are_broadcast(spark, small_blocks, tmp_path, monkeypatch):
+    monkeypatch.setattr(records, "BROADCAST_BLOCKS", 0)
+    (tmp_path / "f.csv").write_text("a,b\n" + "".join(f'{i},"x\n{i}"\n' for i in range(200)))
+    got = readers.read_csv(spark, str(tmp_path)).orderBy("row_pos").collect()
+    assert [tuple(r) for r in got] == [(str(i), f"x\n{i}", i + 1) for i in range(200)]
 
 
 def survey_csv(path, articles, raters=2):
