@@ -106,8 +106,37 @@ def crawl_candidates(targets: DataFrame, index: DataFrame) -> DataFrame:
     return records.join(targets, ["host", "collection"])
 
 
+PAGE_KEY = ("filename", "offset")
+BROADCAST_KEYS = 500_000  #: page keys of about 100 bytes
+
+
+def store_page_table(pages: DataFrame, name: str, buckets: int, on: tuple[str, ...] = PAGE_KEY) -> None:
+    """Save pages as a table bucketed by their key, so that finding pages never shuffles their html."""
+    pages.write.mode("overwrite").bucketBy(buckets, *on).saveAsTable(name)
+
+
+def by_page_key(keys: DataFrame, wide: DataFrame, n_keys: int, on: tuple[str, ...] = PAGE_KEY) -> DataFrame:
+    """Join a narrow table of keys to wide rows without sorting the wide ones.
+
+    Up to BROADCAST_KEYS keys are sent to where the wide rows are. More are hashed by
+    partition, into which the wide rows stream; those of a table bucketed by the key stay
+    where they are. The key names one stored page, so it is not skewed.
+    """
+    small = F.broadcast(keys) if n_keys <= BROADCAST_KEYS else keys.hint("shuffle_hash")
+    return wide.join(small, list(on))
+
+
+def page_texts(
+    candidates: DataFrame, pages: DataFrame, n_keys: int, limit: int = MIN_CHARS,
+    on: tuple[str, ...] = PAGE_KEY,
+) -> DataFrame:
+    """Key and text of every page that some candidate needs and that has text enough, parsed once."""
+    wanted = candidates.select(*on).distinct()
+    return extract_articles(by_page_key(wanted, pages.select(*on, "html"), n_keys, on), limit).select(*on, "text")
+
+
 def fetch_pages(
-    candidates: DataFrame, pages: DataFrame, on: tuple[str, ...] = ("filename", "offset")
+    candidates: DataFrame, pages: DataFrame, on: tuple[str, ...] = PAGE_KEY
 ) -> DataFrame:
     """Add the page of each record. The key names one stored page, so it is not skewed."""
     return candidates.join(pages.select(*on, "html"), list(on))

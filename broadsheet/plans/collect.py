@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.operators.crawl import (
-    ALL_TERMS, cap_per_source_year, crawl_candidates, crawl_targets, extract_articles, fetch_pages,
-    last_year_per_domain, url_keyword_filter, with_matched_keywords,
+    ALL_TERMS, PAGE_KEY, by_page_key, cap_per_source_year, crawl_candidates, crawl_targets,
+    last_year_per_domain, page_texts, url_keyword_filter, with_matched_keywords,
 )
 from broadsheet.sources.readers import load_terms, read_crawl_index, read_sources
 from broadsheet.sources.writers import write_article_blocks, write_keyword_matches
+from broadsheet.storage import stored
 
 
 def collect_articles(
@@ -30,11 +31,19 @@ def collect_articles(
     The URL test runs on the index scan, so only matching records are joined. A page
     is found by its file and offset alone; its own URL may be missing or another
     one after a redirect. Texts are extracted for pages of known sources alone.
+
+    Texts join in last. Candidates, which are keys, are written to the shared folder; each
+    page that they need is parsed once and the texts that are long enough are written
+    too. Articles are ranked and capped by keys alone, and only those kept get their text.
     """
     last_years = None if collected is None else last_year_per_domain(collected)
     targets = crawl_targets(sources, years, last_years)
-    candidates = crawl_candidates(targets, url_keyword_filter(index, terms=terms))
-    articles = cap_per_source_year(extract_articles(fetch_pages(candidates, pages)))
+    candidates = stored(crawl_candidates(targets, url_keyword_filter(index, terms=terms)).select(
+        "source_id", "source", "state", "url", "year", "variant_pos", "coll_pos", "index_pos", *PAGE_KEY), "candidates")
+    n_keys = candidates.count()
+    texts = stored(page_texts(candidates, pages, n_keys), "texts")
+    capped = cap_per_source_year(by_page_key(texts.select(*PAGE_KEY), candidates, n_keys))
+    articles = by_page_key(capped.select("source", "state", "url", "year", *PAGE_KEY), texts, n_keys)
     return with_matched_keywords(articles, terms=terms).select(
         "source", "state", "url", "year", "matched_keywords", "text"
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +17,7 @@ from broadsheet.functions.text import compute_once, has_date, hits_in_lowered, m
 from broadsheet.operators import agreement, crawl, curation, ratings, series
 from broadsheet.plans.collect import collect_articles
 from broadsheet.sources import readers, writers
+from broadsheet.storage import shared_path as scratch
 from workload.views import Tables
 
 BUILDERS: dict[str, Callable[[Tables], DataFrame]] = {}
@@ -47,16 +46,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: over_folder(build) for name, build in BUILDERS.items()}
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder the cluster shares; a local one only in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="run-")
-    return f"{base}/broadsheet/{name}-{uuid.uuid4().hex}"
-
-
 def joined(column: str):
     return F.array_join(column, ";").alias(column)
 
