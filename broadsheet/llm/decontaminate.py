@@ -13,7 +13,7 @@ share is many small groups.
 
 Null or empty text and documents of less than K words have no seeds: coverage 0, not
 contaminated. Items of less than K words, or without text, are never found. Repeated rows
-get equal results. An empty benchmark or table gives no finding. Of items with equal
+get equal results, null ids their own. An empty benchmark or table gives no finding. Of items with equal
 coverage the least id is named. Extra columns are not returned.
 """
 
@@ -132,8 +132,10 @@ def findings(docs: DataFrame, benchmark: DataFrame, threshold: float) -> DataFra
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.6) -> DataFrame:
     """Per document: contaminated, the item covered most, its coverage and tiles, and how many items."""
     best = F.max_by(F.struct("item_id", "coverage", "tiles"), F.struct("coverage", -F.col("item_id")))
-    per_doc = findings(docs, benchmark, threshold).groupBy("doc_id", "row_key").agg(best.alias("best"), F.count("*").alias("n_items"))
-    return docs.select("doc_id", F.xxhash64("text").alias("row_key")).join(per_doc, ["doc_id", "row_key"], "left").select(
+    per_doc = findings(docs, benchmark, threshold).groupBy(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_key")).agg(
+        best.alias("best"), F.count("*").alias("n_items"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("row_key"))
+    return rows.join(per_doc, rows["doc_id"].eqNullSafe(F.col("_doc")) & (F.col("row_key") == F.col("_key")), "left").select(
         "doc_id", F.col("best").isNotNull().alias("contaminated"), F.col("best.item_id").alias("item_id"),
         F.coalesce("best.coverage", F.lit(0.0)).alias("coverage"), F.coalesce("best.tiles", F.lit(0)).alias("n_tiles"),
         F.coalesce("n_items", F.lit(0)).alias("n_items"))

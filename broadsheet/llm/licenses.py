@@ -12,7 +12,8 @@ broadcast) are tested while the text is read: only hashes that can meet the join
 task. All grouping is by document; a notice in a third of all documents is a third of the
 documents' own small groups.
 
-Null or empty text: no words, no labels, score 0. Repeated rows each get their result.
+Null or empty text: no words, no labels, score 0. Repeated rows and null ids each get their
+result.
 Extra columns are not returned.
 """
 
@@ -129,11 +130,12 @@ def scan(docs: DataFrame, phrases: list[tuple[str, str]], templates: list[tuple[
                   F.min("low").cast("long").alias("start"), (F.max("high") + K).cast("long").alias("stop")))
     covered = F.size(F.array_distinct(F.flatten(F.transform("ts", lambda t: F.sequence(t, t + (K - 1))))))
     verified = (spans.withColumn("score", covered / F.col("length")).where(F.col("score") >= coverage)
-                .groupBy("doc_id", "row_key")
+                .groupBy(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_key"))
                 .agg(F.max("score").alias("score"), F.collect_set("label").alias("found"),
                      F.array_sort(F.collect_list(F.struct("start", "stop", "label", "score"))).alias("spans")))
     labels = F.array_sort(F.array_union("base", F.coalesce("found", F.array().cast("array<string>"))))
     score = F.coalesce("score", F.when(F.col("n_base") > 0, 1.0).otherwise(0.0))
-    return read.drop("hits").join(verified, ["doc_id", "row_key"], "left").select(
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("row_key") == F.col("_key"))
+    return read.drop("hits").join(verified, same, "left").select(
         "doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"),
         F.array_join(labels, ",").alias("labels"), score.alias("score"), "spans")
