@@ -15,9 +15,11 @@ shortest set. Links that join two parts of a group not yet joined are returned,
 pairs. Groups beyond BLOCK sets are split into blocks, and every pair of blocks is a task
 of its own. Components of the links give the classes.
 
+Rows are told apart by a 64-bit hash of id and text, so every text of a repeated or null
+doc_id takes part. A class is named by its least doc_id; one without any by null.
+
 Null or empty text: an empty set, linked with nothing, its own class. Repeated rows have
-equal sets. A null doc_id gets the class of its set, if others have that set. Empty tables
-give an empty result. Extra columns are not returned.
+equal sets. Empty tables give an empty result. Extra columns are not returned.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.llm.bytewords import SPACED, blocks, mix, rolling, run_starts
@@ -52,8 +54,13 @@ def gram_sets(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
                 yield rolling(words[first:last], last - first) if last > first else np.zeros(0, np.uint64)
 
 
+def row_hash() -> Column:
+    """Tells rows apart by id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles and a 128-bit signature of the set."""
+    """doc_id, row, n_shingles and a 128-bit signature of the set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,10 +68,10 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     for s in gram_sets(batch.column(1), width)]
             n, one, two = np.array(rows, dtype=np.uint64).reshape(-1, 3).T
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n.astype(np.int64)), pa.array(one.view(np.int64) if one.flags.c_contiguous else one.astype(np.int64)),
-                 pa.array(two.astype(np.int64))], ["doc_id", "n_shingles", "sig1", "sig2"])
+                [batch.column(0), batch.column(2), pa.array(n.astype(np.int64)), pa.array(one.view(np.int64) if one.flags.c_contiguous else one.astype(np.int64)),
+                 pa.array(two.astype(np.int64))], ["doc_id", "row", "n_shingles", "sig1", "sig2"])
 
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n_shingles long, sig1 long, sig2 long")
+    return docs.select("doc_id", "text", row_hash().alias("row")).mapInArrow(sign, "doc_id long, row long, n_shingles long, sig1 long, sig2 long")
 
 
 def least_overlap(total, num: int, den: int):
@@ -173,16 +180,16 @@ def linked(sequences: list[np.ndarray], sizes: np.ndarray, num: int, den: int) -
 
 
 def similarity_links(docs: DataFrame, nodes: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """(a, b) between nodes, enough to join every class; `nodes` has the doc_ids to compare."""
+    """(a, b) between nodes, enough to join every class; `nodes` has the rows to compare."""
     plan = layout(docs, 4)
-    chunked = docs.select(chunk_of(F.col("doc_id"), plan).alias("chunk"), "doc_id", "text", F.lit(False).alias("chosen")).unionByName(
-        nodes.select(chunk_of(F.col("node"), plan).alias("chunk"), F.col("node").alias("doc_id"),
-                     F.lit(None).cast("string").alias("text"), F.lit(True).alias("chosen"))).where("doc_id IS NOT NULL")
+    chunked = docs.select(chunk_of(row_hash(), plan).alias("chunk"), row_hash().alias("row"), "text", F.lit(False).alias("chosen")).unionByName(
+        nodes.select(chunk_of(F.col("node"), plan).alias("chunk"), F.col("node").alias("row"),
+                     F.lit(None).cast("string").alias("text"), F.lit(True).alias("chosen")))
 
     def sets_of(chunk: pa.Table) -> tuple[list[int], list[np.ndarray]]:
-        """Chosen documents and their sets, repeated rows once."""
+        """Chosen rows and their sets, repeated rows once."""
         marked = chunk["chosen"].to_numpy()
-        ids = chunk["doc_id"].to_numpy()
+        ids = chunk["row"].to_numpy()
         rows = np.flatnonzero(~marked & np.isin(ids, ids[marked]))
         rows = rows[np.unique(ids[rows], return_index=True)[1]]
         return ids[rows].tolist(), list(gram_sets(chunk["text"].take(rows), width))
@@ -245,15 +252,36 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, lis
         yield nodes, sizes, shared
 
 
+def jaccard_members(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """doc_id, row (see `row_hash`), n_shingles and component (a row of the class; null of an empty set) of every document."""
+    signed = stored(signatures(docs, width), "signatures")
+    same = ["sig1", "sig2"]
+    nodes = signed.where("n_shingles > 0").groupBy(*same).agg(F.min("row").alias("node"))
+    found = components(similarity_links(docs, nodes, width, num, den))
+    named = nodes.join(found, "node", "left").select(*same, F.coalesce("component", "node").alias("component"))
+    return signed.join(named, same, "left").select(
+        "doc_id", "row", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).alias("component"))
+
+
 def jaccard_classes(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles and component_id (least doc_id of the class) of every document.
 
     Documents are linked from similarity num / den on.
     """
-    signed = stored(signatures(docs, width), "signatures")
-    same = ["sig1", "sig2"]
-    nodes = signed.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("node"))
-    found = components(similarity_links(docs, nodes, width, num, den))
-    named = nodes.join(found, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
-    return signed.join(named, same, "left").select(
+    members = stored(jaccard_members(docs, width, num, den), "members")
+    # Partial minima first: a class of a third of all documents is a row per task.
+    names = members.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return members.join(names, "component", "left").select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """One document of each class, all columns: that with the least doc_id, null ids last; of a repeated row one."""
+    members = stored(jaccard_members(docs, width, num, den), "members").where("component IS NOT NULL")
+    kept = members.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("kept"))
+    rows = members.groupBy("component", "row").agg(F.count("*").alias("times"))
+    marked = (rows.join(kept, "component").select(F.col("row").alias("_row"), (F.col("row") != F.col("kept.row")).alias("_drop"), "times")
+              .where("_drop OR times > 1").select("_row", "_drop"))
+    judged = docs.select(F.struct("*").alias("_doc"), row_hash().alias("_hash")).join(marked, F.col("_hash") == F.col("_row"), "left")
+    once = judged.where("NOT _drop").dropDuplicates(["_row"])
+    return judged.where("_row IS NULL").unionByName(once).select("_doc.*")
