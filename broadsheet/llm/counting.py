@@ -72,6 +72,8 @@ def _pack(keys: np.ndarray, plan: Layout) -> list[bytes]:
     rest = keys << np.uint64(plan.bits)
     if plan.lean:
         steps = np.diff(rest >> np.uint64(64 - 8 * plan.width), prepend=np.uint64(0))
+        if plan.width <= 4:
+            return [_squeeze(steps, plan.width)]
         return [steps.astype("<u4").tobytes(), _squeeze(steps >> np.uint64(32), plan.width - 4)]
     blobs = [(rest >> np.uint64(32)).astype("<u4").tobytes()]
     if plan.width > 4:
@@ -80,6 +82,8 @@ def _pack(keys: np.ndarray, plan: Layout) -> list[bytes]:
 
 
 def _unpack(blob: bytes, n: int, plan: Layout) -> np.ndarray:
+    if plan.lean and plan.width <= 4:
+        return np.cumsum(_expand(blob, n, plan.width), dtype=np.uint64)
     keys = np.frombuffer(blob, "<u4", n).astype(np.uint64)
     if plan.lean:
         return np.cumsum(keys | _expand(blob[4 * n :], n, plan.width - 4) << np.uint64(32), dtype=np.uint64)
@@ -150,10 +154,10 @@ def by_phase(replies: pa.Table, plan: Layout) -> Callable[[int], np.ndarray]:
     return lambda i: in_order(replies.filter(pa.array(phase == i)), plan.lean)
 
 
-def with_totals(chunked: DataFrame, replies: DataFrame, use: Callable, schema: str, plan: Layout | None = None) -> DataFrame:
-    """Give each chunk's rows and totals to `use`; with a plan, the totals `by_phase`."""
+def with_totals(chunked: DataFrame, replies: DataFrame, use: Callable, schema: str, plan: Layout | None = None, lean: bool = False) -> DataFrame:
+    """Give each chunk's rows and totals to `use`; with a plan, the totals `by_phase`. `lean` as in the layout of a single phase."""
 
     def both(chunk: pa.Table, asked: pa.Table) -> pa.Table:
-        return use(chunk, by_phase(asked, plan) if plan else in_order(asked))
+        return use(chunk, by_phase(asked, plan) if plan else in_order(asked, lean))
 
     return chunked.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(both, schema)

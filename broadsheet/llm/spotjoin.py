@@ -7,12 +7,16 @@ once, so only distinct sets are compared.
 Lengths are cut into ranges so that a set and a longer partner lie in the same range or in
 neighbouring ones. A set is entered in its own range, and in the range below as the longer
 partner, so every pair meets in one range only. There, two similar sets share a signature
-among the first n - ceil(t n) + 1 of each, rarest first. Any one order of the signatures
-is exact; rarity is told by counts of BUCKETS hash buckets over all documents, a table of
-a fixed size. Groups by range and signature are compared by counting shared signatures,
-shorter sets with those no longer than den / num of their length only. Links that join two
-parts of a group not yet joined leave the task, never all pairs; groups beyond BLOCK sets
-are split into blocks, and every pair of blocks is a task of its own.
+among the first n - ceil(t n) + 1 of each, rarest first; how many sets hold a signature is
+counted over all of them (`counting`), and signatures of one set alone are not entered.
+Groups by range and signature are compared by counting shared signatures, shorter sets
+with those no longer than den / num of their length only. Links that join two parts of a
+group not yet joined leave the task, never all pairs; groups beyond BLOCK sets are split
+into blocks, and every pair of blocks is a task of its own.
+
+A task sends a set once, however many of its documents have it, and the sets meet in
+chunks by a hash of their key. Texts are read twice: for the keys of all rows, which are
+written, and for the sets.
 
 Null or empty text: an empty set, linked with nothing, its own class. Repeated rows have
 equal sets and the same class, also where one doc_id has several texts. A class is named
@@ -29,51 +33,77 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.llm.bytewords import mix
-from broadsheet.llm.common import stored
+from broadsheet.llm.common import ship_package, stored
 from broadsheet.llm.components import components
-from broadsheet.llm.spotsigs import NO_ID, set_key, signature_sets
+from broadsheet.llm.counting import chunk_of, layout, totals, with_totals
+from broadsheet.llm.spotsigs import PLACE, placed_rows, set_key, signature_sets
 
-BUCKETS = 1 << 18  #: of the counts that tell rare signatures
 BLOCK = 1000  #: sets of a group in one block
 STRIP = 256  #: sets compared at a time
 COLUMNS = 4096  #: signatures counted at a time
 LONGEST = 1 << 40  #: no set is longer
+SEEN = 200_000  #: keys of sets that a task remembers to have sent
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n, key, signatures (sorted, 32 bits each, little-endian)."""
+def row_keys(docs: DataFrame) -> DataFrame:
+    """doc_id, its place, n and key of every row's set."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = list(signature_sets(batch.column(1)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(map(set_key, sets), pa.binary()),
-                 pa.array([s.astype("<u4").tobytes() for s in sets], pa.binary())], ["doc_id", "n", "key", "signatures"])
-
-    return docs.select("doc_id", "text").mapInArrow(sign, "doc_id long, n long, key binary, signatures binary")
-
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array([len(s) for s in sets], pa.int64()),
+                                              pa.array(map(set_key, sets), pa.binary())], ["doc_id", *PLACE, "n", "key"])
 
-def bucket(signatures: np.ndarray) -> np.ndarray:
-    return (mix(signatures.astype(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
+    return placed_rows(docs).select("doc_id", "text", *PLACE).mapInArrow(sign, "doc_id long, null_id boolean, place long, n long, key binary")
 
 
-def bucket_counts(sets: DataFrame) -> np.ndarray:
-    """How many sets hold a signature of each bucket; BUCKETS numbers, whatever the input."""
+def sent_sets(docs: DataFrame) -> DataFrame:
+    """key and signatures (sorted, 32 bits each, little-endian) of the sets that are not empty; a task sends a set once or, rarely, again."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                np.add.at(total, bucket(np.frombuffer(blob, "<u4")), 1)
-        held = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(total[held])], ["bucket", "n"])
-
-    counts = sets.select("signatures").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    out = np.zeros(BUCKETS, np.int64)
-    for part in counts.toPandas().to_numpy():  # at most BUCKETS rows
-        out[part[0]] = part[1]
-    return out
+            if len(seen) > SEEN:
+                seen.clear()
+            keys, blobs = [], []
+            for s in signature_sets(batch.column(0)):
+                key = set_key(s)
+                if len(s) and key not in seen:
+                    seen.add(key)
+                    keys.append(key)
+                    blobs.append(s.astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(blobs, pa.binary())], ["key", "signatures"])
+
+    return docs.select("text").mapInArrow(sign, "key binary, signatures binary")
+
+
+def rare_heads(docs: DataFrame, num: int, den: int) -> DataFrame:
+    """key, n, head, signatures of each distinct set that shares one of its first signatures, rarest first; `head` are those shared."""
+    plan = layout(docs, 4, lean=True)
+    chunked = sent_sets(docs).select(chunk_of(F.col("key"), plan).alias("chunk"), "key", "signatures")
+
+    def sets_of(chunk: pa.Table) -> dict[bytes, np.ndarray]:
+        return {k: np.frombuffer(s, "<u4").astype(np.uint64) << np.uint64(32) for k, s in zip(chunk["key"].to_pylist(), chunk["signatures"].to_pylist())}
+
+    def keys_of(chunk: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(np.concatenate(list(sets_of(chunk).values())), return_counts=True)
+
+    def heads(chunk: pa.Table, total: np.ndarray) -> pa.Table:
+        sets = sets_of(chunk)
+        keys = np.unique(np.concatenate(list(sets.values())))
+        out = []
+        for key, s in sets.items():
+            held = total[np.searchsorted(keys, s)]
+            order = np.lexsort((s, held))[: len(s) - -(-num * len(s) // den) + 1]
+            order = order[held[order] > 1]
+            if len(order):
+                short = (s >> np.uint64(32)).astype("<u4")
+                out.append((key, len(s), short[order].astype(np.int64), short.tobytes()))
+        key, n, head, blob = zip(*out) if out else ((), (), (), ())
+        return pa.table({"key": pa.array(key, pa.binary()), "n": pa.array(n, pa.int64()), "head": pa.array(head, pa.list_(pa.int64())),
+                         "signatures": pa.array(blob, pa.binary())})
+
+    return with_totals(chunked, totals(chunked, keys_of, plan), heads, "key binary, n long, head array<long>, signatures binary", lean=True)
 
 
 def length_bounds(num: int, den: int) -> list[int]:
@@ -84,30 +114,6 @@ def length_bounds(num: int, den: int) -> list[int]:
     return bounds
 
 
-def prefixes(sets: DataFrame, counts: np.ndarray, num: int, den: int) -> DataFrame:
-    """key, range, signature: where each set may meet similar ones."""
-    bounds = np.array(length_bounds(num, den))
-    table = sets.sparkSession.sparkContext.broadcast(counts)  # BUCKETS numbers
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, ranges, heads = [], [], []
-            for key, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                s = np.frombuffer(blob, "<u4")
-                n = len(s)
-                head = s[np.lexsort((s, table.value[bucket(s)]))[: n - -(-num * n // den) + 1]].astype(np.int64)
-                own = int(np.searchsorted(bounds, n, side="right"))
-                for at in (own, own - 1):
-                    keys += [key] * len(head)
-                    ranges += [at] * len(head)
-                    heads.append(head)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()), pa.array(ranges, pa.int32()), pa.array(np.concatenate(heads) if heads else [], pa.int64())],
-                ["key", "range", "signature"])
-
-    return sets.select("key", "signatures").mapInArrow(cut, "key binary, range int, signature long")
-
-
 def spanning_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
     """Pairs that join the parts of a group, of similarity num / den or more."""
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
@@ -149,8 +155,10 @@ def spanning_links(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int
 
 
 def similarity_links(sets: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b) between keys of distinct sets, enough to join every class."""
-    entries = prefixes(sets, bucket_counts(sets), num, den)
+    """(a, b) between keys of distinct sets (see `rare_heads`), enough to join every class."""
+    bounds = F.array(*(F.lit(b) for b in length_bounds(num, den)))
+    own = F.size(F.filter(bounds, lambda b: b <= F.col("n")))
+    entries = sets.select("key", "head", F.explode(F.array(own, own - 1)).alias("range")).select("key", "range", F.explode("head").alias("signature"))
     group = ["range", "signature"]
     members = entries.groupBy(*group).agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("key")).alias("x"),
                                           F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")).where("members > 1")
@@ -188,31 +196,27 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
         yield keys, blobs
 
 
-def set_classes(sets: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
-    """key, class_id of distinct sets (key, least, signatures); the least of `least` in a class names it."""
-    found = components(similarity_links(sets, num, den)).select(F.col("node").alias("key"), "component")
-    named = sets.select("key", "least").join(found, "key", "left").select("key", "least", F.coalesce("component", "key").alias("component"))
+def key_classes(docs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+    """key, class_id of the distinct sets that are not empty; `rows` are the `row_keys` of the documents."""
+    links = similarity_links(stored(rare_heads(docs, num, den), "sets"), num, den)
+    found = components(links).select(F.col("node").alias("key"), "component")
+    least = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
+    named = least.join(found, "key", "left").select("key", "least", F.coalesce("component", "key").alias("component"))
     names = named.groupBy("component").agg(F.min("least").alias("class_id"))
     return named.join(names, "component").select("key", "class_id")
 
 
-def distinct_sets(signed: DataFrame) -> DataFrame:
-    return stored(signed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.first("signatures").alias("signatures")), "sets")
-
-
 def spot_classes(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_signatures, class_id of every document; see the head of the module."""
-    signed = stored(fingerprints(docs), "fingerprints")
-    return signed.join(set_classes(distinct_sets(signed), num, den), "key", "left").select(
+    ship_package(docs.sparkSession)
+    rows = stored(row_keys(docs), "keys")
+    return rows.join(key_classes(docs, rows, num, den), "key", "left").select(
         "doc_id", F.col("n").alias("n_signatures"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
 
 
 def place_classes(docs: DataFrame, num: int = 4, den: int = 5) -> DataFrame:
-    """place, key, class_id: what `neighbour_fingerprints` takes as classes; a row for each set of a doc_id.
-
-    Signatures are computed anew rather than kept: only distinct sets are written.
-    """
-    signed = fingerprints(docs)
-    classes = set_classes(distinct_sets(signed), num, den)
-    held = signed.where("n > 0").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("place"), "key").distinct()
-    return held.join(classes, "key")
+    """null_id, place, key, class_id: what `neighbour_fingerprints` takes as classes; a row for each set at a place."""
+    ship_package(docs.sparkSession)
+    rows = stored(row_keys(docs), "keys")
+    held = rows.where("n > 0").select(*PLACE, "key").distinct()
+    return held.join(key_classes(docs, rows, num, den), "key").select(*PLACE, "key", "class_id")

@@ -7,13 +7,14 @@ Jaccard similarity.
 
 `neighbour_fingerprints` compares each document with an edited text that ends like the
 next document, and with the next document itself (ascending doc_id; the first follows the
-last). Documents are dealt into ranges of ids of bounded size; the first document of each
-range is also sent to the range before. That is the only shuffle of texts.
+last). Documents are dealt into ranges of ids, sorted within them and read as a stream
+that holds a few megabytes of text and one document more; the first document of each range
+is also sent to the range before. That is the only shuffle of texts, which are compressed.
 
 Null text counts as empty: no signature. Two empty fingerprints are alike (1), one empty
-and one not are unlike (0). Documents of one doc_id follow each other by the hash of their
-text, null ids come first. A single document is its own next. Extra columns are not
-returned.
+and one not are unlike (0). Null ids come first, in ranges of their own by a hash of the
+text; documents of one doc_id follow each other by that hash. A single document is its own
+next. Repeated rows each get their result. Extra columns are not returned.
 """
 
 from __future__ import annotations
@@ -28,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.llm.bytewords import ALNUM, blocks, mix
-from broadsheet.llm.common import shuffle_partitions, text_bytes
+from broadsheet.llm.common import ship_package, shuffle_partitions, text_bytes
 
 CHAIN = 2
-RANGE_BYTES = 6 << 20
-NO_ID = -(1 << 63)  #: the place of null doc_ids
+RANGE_BYTES = 32 << 20
+MOST_RANGES = 20_000  #: ranges get larger beyond it; their bounds and first places are sent to all tasks
+SLICE_BYTES = 2 << 20  #: of text compared at once
+PLACE = ("null_id", "place")  #: where a row stands among all
 
 #: Common words of four languages; fixed values.
 ANCHORS = """
@@ -100,59 +103,106 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return shared / (len(both) - shared)
 
 
+def placed_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null as empty), its hash, and its place: an id, or the hash where there is none."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("tie"), F.col("doc_id").isNull().alias("null_id"),
+                       F.coalesce("doc_id", F.xxhash64(text)).alias("place"))
+
+
+class Ranges:
+    """Ranges of places in order: null ids by their hash, then ids by sampled bounds."""
+
+    def __init__(self, rows: DataFrame, number: int):
+        self.number = number
+        shares = [i / number for i in range(1, number)]
+        self.bounds = np.array(sorted(set(rows.where("NOT null_id").approxQuantile("place", shares, 0.1 / number))), np.float64)
+
+    def of(self, null_id: pa.Array, place: pa.Array) -> np.ndarray:
+        places, none = np.asarray(place), np.asarray(null_id)
+        by_hash = (places.astype(np.float64) / 2.0**64 + 0.5) * self.number
+        return np.where(none, np.minimum(by_hash, self.number - 1), self.number + np.searchsorted(self.bounds, places.astype(np.float64), side="right")).astype(np.int32)
+
+
+_SCHEMA = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+           "near_edited double, near_next double, n_signatures long, class_id long")
+
+
+def _compared(rows: list[tuple], following: str) -> pa.RecordBatch:
+    """Results of consecutive rows (doc_id, text, classes at its place); `following` is the text after them."""
+    ids, texts = [r[0] for r in rows], [*(r[1] for r in rows), following]
+    edited = [t[: len(t) - len(t) // 2] + after[: len(t) // 2] for t, after in zip(texts, texts[1:])]
+    sets, changed = (list(signature_sets(pa.array(t, pa.string()))) for t in (texts, edited))
+    classes = [r[2].get(set_key(s)) if len(s) else r[0] for r, s in zip(rows, sets)]
+    return pa.RecordBatch.from_pydict({
+        "doc_id": pa.array(ids, pa.int64()), "n_chars": pa.array([len(t) for t in texts[:-1]], pa.int64()),
+        "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in edited],
+        "fingerprint": [encode(s) for s in sets[:-1]], "edited_fingerprint": [encode(s) for s in changed],
+        "near_edited": [likeness(a, b) for a, b in zip(sets, changed)], "near_next": [likeness(a, b) for a, b in zip(sets, sets[1:])],
+        "n_signatures": pa.array([len(s) for s in sets[:-1]], pa.int64()), "class_id": pa.array(classes, pa.int64())})
+
+
 def neighbour_fingerprints(docs: DataFrame, classes: DataFrame | None = None) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_signatures.
 
-    With `classes` (place, key, class_id; see `spotjoin.place_classes`) also class_id. They are dealt
-    into the same ranges; a document without signatures is its own class.
+    With `classes` (null_id, place, key, class_id; see `spotjoin.place_classes`) also class_id. They are
+    dealt into the same ranges, ahead of their documents; a document without signatures is its own class.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("place"))
-    ranges = max(shuffle_partitions(docs.sparkSession), -(-text_bytes(docs) // RANGE_BYTES))
-    bounds = np.array(sorted(set(rows.approxQuantile("place", [i / ranges for i in range(1, ranges)], 0.1 / ranges))), dtype=np.float64)
-
-    @F.arrow_udf("int")
-    def range_of(places: pa.Array) -> pa.Array:
-        return pa.array(np.searchsorted(bounds, np.asarray(places).astype(np.float64), side="right").astype(np.int32))
-
-    # One row per range, as many as are dealt out: the first id of each.
-    heads = sorted((r["range"], r["head"]) for r in rows.select("place", range_of("place").alias("range"))
-                   .groupBy("range").agg(F.min("place").alias("head")).collect())
-    before = [(head, heads[i - 1][0]) for i, (_, head) in enumerate(heads)]
-    extra = docs.sparkSession.createDataFrame(before, "place long, also int")
-    dealt = rows.withColumn("range", range_of("place")).join(F.broadcast(extra), "place", "left").select(
-        "doc_id", "text", "place", F.inline(F.when(F.col("also").isNull(), F.array(F.struct(F.col("range").alias("part"), F.lit(False).alias("ahead"))))
-                                           .otherwise(F.array(F.struct(F.col("range").alias("part"), F.lit(False).alias("ahead")),
-                                                              F.struct(F.col("also").alias("part"), F.lit(True).alias("ahead"))))))
-
-    def compare(part: pa.Table) -> pa.Table:
-        ids, texts = part["doc_id"].to_pylist(), part["text"].to_pylist()
-        places, ahead = part["place"].to_pylist(), part["ahead"].to_pylist()
-        order = sorted(range(len(ids)), key=lambda i: (ahead[i], places[i], hashlib.sha256(texts[i].encode()).digest()))
-        own = [i for i in order if not ahead[i]]
-        follow = [*own[1:], next(i for i in order if ahead[i])]
-        edited = []
-        for i, j in zip(own, follow):
-            half = len(texts[i]) // 2
-            edited.append(texts[i][: len(texts[i]) - half] + texts[j][:half])
-        sets = list(signature_sets(pa.array([texts[i] for i in [*own, follow[-1]]], pa.string())))
-        changed = list(signature_sets(pa.array(edited, pa.string())))
-        return pa.table({
-            "doc_id": pa.array([ids[i] for i in own], pa.int64()), "n_chars": pa.array([len(texts[i]) for i in own], pa.int64()),
-            "edited_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in edited],
-            "fingerprint": [encode(s) for s in sets[:-1]], "edited_fingerprint": [encode(s) for s in changed],
-            "near_edited": [likeness(a, b) for a, b in zip(sets, changed)], "near_next": [likeness(a, b) for a, b in zip(sets, sets[1:])],
-            "n_signatures": pa.array([len(s) for s in sets[:-1]], pa.int64())})
-
-    schema = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-              "near_edited double, near_next double, n_signatures long")
-    if classes is None:
-        return dealt.groupBy("part").applyInArrow(compare, schema)
-
-    def name(part: pa.Table, named: pa.Table) -> pa.Table:
-        found = compare(part)
-        class_of = dict(zip(named["key"].to_pylist(), named["class_id"].to_pylist()))
-        ids = [class_of[set_key(decode(f))] if f else i for i, f in zip(found["doc_id"].to_pylist(), found["fingerprint"].to_pylist())]
-        return found.append_column("class_id", pa.array(ids, pa.int64()))
-
-    named = classes.select(range_of("place").alias("part"), "key", "class_id")
-    return dealt.groupBy("part").cogroup(named.groupBy("part")).applyInArrow(name, schema + ", class_id long")
+    spark = docs.sparkSession
+    ship_package(spark)
+    rows = placed_rows(docs)
+    ranges = Ranges(rows, min(max(shuffle_partitions(spark), -(-text_bytes(docs) // RANGE_BYTES)), MOST_RANGES))
+    range_of = F.arrow_udf(lambda null_id, place: pa.array(ranges.of(null_id, place)), "int")
+
+    # The first place of each range, no more rows than ranges: its rows also go to the range before.
+    heads = sorted((r["range"], r["null_id"], r["head"]) for r in rows.select("null_id", range_of(*PLACE).alias("range"), "place")
+                   .groupBy("range", "null_id").agg(F.min("place").alias("head")).collect())
+    before = [(none, head, heads[i - 1][0]) for i, (_, none, head) in enumerate(heads)]
+    extra = spark.createDataFrame(before, "null_id boolean, place long, also int")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            also = batch.column("also")
+            part = np.concatenate([ranges.of(batch.column("null_id"), batch.column("place")), np.asarray(also.drop_null(), np.int32)])
+            row = np.concatenate([np.arange(len(batch)), np.flatnonzero(np.asarray(also.is_valid()))])
+            blobs = [pa.compress(t.as_buffer(), codec="zstd", asbytes=True) for t in batch.column("text").cast(pa.large_binary())]
+            taken = batch.select(["doc_id", "place", "tie"]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(part, pa.int32()), pa.array(np.arange(len(row)) >= len(batch)), *taken.columns,
+                pa.array([blobs[i] for i in row], pa.binary()), pa.array(np.array([len(t.as_buffer()) for t in batch.column("text").cast(pa.large_binary())], np.int64)[row]),
+                pa.nulls(len(row), pa.binary()), pa.nulls(len(row), pa.int64())], names)
+
+    schema = "part int, ahead boolean, doc_id long, place long, tie long, packed binary, size long, key binary, class_id long"
+    names = [f.split()[0] for f in schema.split(", ")]
+    dealt = rows.join(F.broadcast(extra), list(PLACE), "left").mapInArrow(deal, schema)
+    if classes is not None:
+        none = {"doc_id": "long", "tie": "long", "packed": "binary", "size": "long"}
+        named = classes.select(range_of(*PLACE).alias("part"), F.lit(False).alias("ahead"), "place", "key", "class_id",
+                               *(F.lit(None).cast(t).alias(c) for c, t in none.items()))
+        dealt = dealt.unionByName(named.select(*names))
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at, named, waiting, held = None, None, {}, [], 0
+        for batch in batches:
+            for p, ahead, doc_id, place, _, packed, size, key, class_id in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != p:
+                    part, at, named = p, None, {}
+                if at != place:
+                    at, named = place, {}
+                if packed is None:
+                    named[key] = class_id
+                    continue
+                if ahead and not waiting:
+                    continue  # of the next range's rows at its first place only the first is needed
+                text = pa.decompress(packed, size, codec="zstd", asbytes=True).decode()
+                if ahead or (waiting and held > SLICE_BYTES):
+                    yield _compared(waiting, text)
+                    waiting, held = [], 0
+                if not ahead:
+                    waiting.append((doc_id, text, named))
+                    held += size
+        pa.default_memory_pool().release_unused()
+
+    parts = 2 * ranges.number if heads and heads[0][1] else ranges.number
+    found = dealt.repartition(parts, "part").sortWithinPartitions("part", "ahead", "place", F.col("packed").isNotNull(), "tie").mapInArrow(stream, _SCHEMA)
+    return found if classes is not None else found.drop("class_id")

@@ -242,6 +242,41 @@ def test_fingerprints_and_edited_texts(docs, texts, odd, none):
     assert spotsigs.neighbour_fingerprints(none).count() == 0
 
 
+def plain_signatures(text):
+    """Spot signatures as tuples of words: an anchor, or the beginning, and the content words that follow."""
+    words, anchors = alnum(text), set(spotsigs.ANCHORS.split())
+    content = lambda i: tuple([w for w in words[i:] if w not in anchors][: spotsigs.CHAIN])
+    found = {(w, *content(i + 1)) for i, w in enumerate(words) if w in anchors}
+    return found | {(None, *content(0))} if words else set()
+
+
+def test_neighbours_equal_plain_signatures(spark, texts):
+    rows = [(i, t[:2000]) for i, t in list(texts.items())[:60]] + [(9000, None), (9001, ""), (9002, "!"), (9003, "the"), (9004, "é日\U0001f389 the of a b c"), (9005, "the the x")]
+    frame = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id long, text string, place int, tie string")
+    got = {r.doc_id: r for r in spotsigs.neighbour_fingerprints(frame).collect()}
+    like = lambda a, b: len(a & b) / len(a | b) if a and b else float(not a and not b)
+    ordered = sorted((i, t or "") for i, t in rows)
+    for (i, t), (_, after) in zip(ordered, [*ordered[1:], ordered[0]]):
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        assert got[i].n_signatures == len(plain_signatures(t)) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert got[i].near_next == pytest.approx(like(plain_signatures(t), plain_signatures(after)))
+        assert got[i].near_edited == pytest.approx(like(plain_signatures(t), plain_signatures(edited)))
+        assert len(spotsigs.decode(got[i].edited_fingerprint)) == len(plain_signatures(edited))
+
+
+def test_neighbours_of_null_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "RANGE_BYTES", 64)  # so that there are many ranges
+    rows = [(None, f"null {i} text") for i in range(40)] + [(i // 2, f"of the row {i}") for i in range(60)]
+    got = spotsigs.neighbour_fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), spotjoin.place_classes(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    edited = collections.Counter(r.edited_sha256 for r in got)
+    sha = lambda a, b: hashlib.sha256((a[: len(a) - len(a) // 2] + b[: len(a) // 2]).encode()).hexdigest()
+    place = dict(zip(range(len(rows)), [r.t for r in spark.createDataFrame(rows, "d long, x string").selectExpr("xxhash64(x) t").collect()]))
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is not None, rows[k][0] if rows[k][0] is not None else place[k], place[k]))
+    assert edited == collections.Counter(sha(rows[a][1], rows[b][1]) for a, b in zip(order, [*order[1:], order[0]]))
+    assert all(r.class_id is not None or r.doc_id is None for r in got)
+
+
 def test_reordered_items_are_found_and_clean_documents_left_alone(spark, odd, none):
     rng = random.Random(4)
     vocabulary = [f"v{i}" for i in range(400)]
@@ -262,6 +297,17 @@ def test_reordered_items_are_found_and_clean_documents_left_alone(spark, odd, no
     assert decontaminate.drop_contaminated(odd, benchmark.limit(0)).count() == len(ODD)
 
 
+def test_null_ids_keep_their_findings(spark):
+    item = " ".join(f"v{i}" for i in range(30))
+    benchmark = spark.createDataFrame([(3, item)], "item_id long, text string")
+    rows = [(7, item), (None, item), (None, "nothing here"), (None, f"It is released under the MIT License. {item}")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r.doc_id, r.contaminated, r.item_id) for r in decontaminate.contamination(frame, benchmark).collect())
+    assert got == collections.Counter({(7, True, 3): 1, (None, True, 3): 2, (None, False, None): 1})
+    rated = collections.Counter((r.labels, r.score) for r in licenses.scan(frame, PHRASES).collect())
+    assert rated == collections.Counter({("", 0.0): 3, ("mit", 1.0): 1})
+
+
 def test_license_places_equal_brute_force(docs, odd, none, spark):
     extra = [(10**6, "x UNDER the MIT-license, under the mit license. CC BY-NC 4.0!", "en", "s", 1),
              (10**6 + 1, "Permission is hereby granted, free of charge, to any person getting a copy of this software and associated "
@@ -326,6 +372,19 @@ def test_jaccard_odd_rows(odd, none):
     assert jaccard.jaccard_classes(none).count() == 0
 
 
+def test_jaccard_links_of_repeated_and_null_ids(spark):
+    words = [f"w{i}" for i in range(100)]
+    x, near = " ".join(words), " ".join([*words, "more"])
+    y = " ".join(f"y{i}" for i in range(100))
+    rows = [(5, x, "a"), (5, y, "b"), (9, y + " one", "c"), (None, near, "d"), (None, "null near " + x, "e"), (None, "z " * 3, "f"), (None, "z " * 3, "g"), (5, x, "h"), (None, None, "i")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, component string")
+    got = collections.Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(frame, 3, 9, 10).collect())
+    assert got == collections.Counter({(5, 98, 5): 3, (9, 99, 5): 1, (None, 99, 5): 1, (None, 100, 5): 1, (None, 1, None): 2, (None, 0, None): 1})
+    kept = jaccard.one_of_each(frame, 3, 9, 10).collect()
+    assert collections.Counter(r.text for r in kept)[None] == 1 and len(kept) == 4 and {r.doc_id for r in kept} == {5, None}
+    assert sorted(r.text for r in kept if r.doc_id == 5) == sorted([x, y])
+
+
 def test_spot_classes_equal_all_pairs(spark, docs, texts, odd, none, monkeypatch):
     monkeypatch.setattr(spotjoin, "BLOCK", 7)  # so that groups are split
     monkeypatch.setattr(spotjoin, "STRIP", 3)
