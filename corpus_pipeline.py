@@ -2,9 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir). All but the last return the columns of documents;
 the last returns the packed pieces. Documents go that have no letters (no language), that
-are toxic, that repeat another document (five-word n-grams, similarity 0.8; the least
-doc_id of a class stays) or that hold a benchmark item. Null doc_ids are never dropped as
-copies, and rows that repeat a doc_id count as one document.
+are toxic, that repeat another document (five-word n-grams, similarity 0.8; of a class the
+least doc_id stays, null ids last, and of a repeated row one) or that hold a benchmark item.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from pyspark.sql import functions as F
 from broadsheet.llm import langid, toxicity
 from broadsheet.llm.common import ship_package, stored
 from broadsheet.llm.decontaminate import drop_contaminated
-from broadsheet.llm.jaccard import jaccard_classes
+from broadsheet.llm.jaccard import one_of_each
 from broadsheet.llm.packing import pack
 from broadsheet.llm.queries import TOXIC, id_fold, table, vocabulary_file
 
@@ -40,8 +39,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = jaccard_classes(docs, width=5, num=4, den=5)
-    return docs.join(classes.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    return one_of_each(docs, width=5, num=4, den=5)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
