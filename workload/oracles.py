@@ -11,7 +11,6 @@ from broadsheet.dims import (
     RATERS, REGION_STATES, ROLES, STATE_POPULATION, SURVEY_QUESTIONS,
     TIER1_TERMS, TIER2_TERMS, VALID_STATES, VARIABLES, rating_column,
 )
-from broadsheet.functions.text import DATE_PATTERNS
 from workload.views import ctes
 
 ORACLES: dict[str, str] = {}
@@ -123,7 +122,18 @@ def _hit_text(x: str, terms) -> str:
 
 
 def _dated(x: str) -> str:
-    return "(" + " OR ".join(f"regexp_matches({x}, '{p}')" for p in DATE_PATTERNS) + ")"
+    """Dates told token by token; tokens are what stands between single blanks.
+
+    `2020-1-31` or with slashes inside a token; `word 3, 2020` and `3 word 2020` over
+    three tokens. What touches a date from outside must not be a letter, digit or `_`.
+    """
+    word, digit = r"[\p{L}\p{N}_]", r"\p{Nd}"
+    other = r"[^\p{L}\p{N}_]"
+    year_opens = f"regexp_matches(list_extract(tokens, i + 2), '^{digit}{{4}}($|{other})')"
+    return f"""(SELECT count(*) > 0 FROM (SELECT tokens, unnest(range(1, len(tokens) + 1)) AS i FROM (SELECT string_split({x}, ' ') AS tokens)) t
+      WHERE regexp_matches(list_extract(tokens, i), '(^|{other}){digit}{{4}}[-/]{digit}{{1,2}}[-/]{digit}{{1,2}}($|{other})')
+      OR (regexp_matches(list_extract(tokens, i), '{word}$') AND regexp_full_match(list_extract(tokens, i + 1), '{digit}{{1,2}},?') AND {year_opens})
+      OR (regexp_matches(list_extract(tokens, i), '(^|{other}){digit}{{1,2}}$') AND regexp_full_match(list_extract(tokens, i + 1), '{word}+') AND {year_opens}))"""
 
 
 def _oracle(name: str, views: str, body: str) -> None:
@@ -252,9 +262,9 @@ _oracle("min_chars", "",
 _RACE_COLUMNS = [rating_column(r, f"{role}_race") for role in ROLES for r in RATERS]
 for _name, _normalise, _columns in (
     ("norm_label", _label, [rating_column(r, "crime_label") for r in RATERS]),
-    ("norm_yes_no", _yes_no, [rating_column(r, "crime_present") for r in RATERS]),
+    ("norm_yes_no", _yes_no, [rating_column(r, v) for v in BINARY_VARIABLES for r in RATERS]),
     ("norm_race_irr", _race_irr, _RACE_COLUMNS),
-    ("norm_gender_irr", _gender_irr, [rating_column(r, "perp_gender") for r in RATERS]),
+    ("norm_gender_irr", _gender_irr, [rating_column(r, f"{role}_gender") for role in ROLES for r in RATERS]),
     ("norm_race_oe", _race_oe, _RACE_COLUMNS),
     ("norm_race_counts", _race_counts, _RACE_COLUMNS),
 ):
@@ -273,10 +283,13 @@ leaning AS (
   FROM people p JOIN sources s ON {_nowww("p.url")} = {_low("s.URL")}
   WHERE s.ideology <> 0)"""
 
+_RAW_RACES = " UNION ALL ".join(
+    f"SELECT '{role}' AS role, '{m}' AS model, {rating_column(m, f'{role}_race')} AS answer, ideology_label AS ideology FROM leaning"
+    for role in ROLES for m in MODELS)
 _oracle("clean_race_series", "people sources", f"""WITH {_LEANING},
-counts AS (SELECT 'perp' AS role, {_low("coalesce(gpt_perp_race, 'nan')")} AS race, ideology_label AS ideology, count(*) AS count
-  FROM leaning GROUP BY gpt_perp_race, 2, 3)
-SELECT role, race, ideology, count FROM counts WHERE race NOT IN ('not provided', 'not_provided', 'none', '')""")
+answers AS ({_RAW_RACES}),
+counts AS (SELECT role, model, {_low("coalesce(answer, 'nan')")} AS race, ideology, count(*) AS count FROM answers GROUP BY role, model, answer, ideology)
+SELECT role, model, race, ideology, count FROM counts WHERE race NOT IN ('not provided', 'not_provided', 'none', '')""")
 
 _SCORED = f"""
 scored AS (SELECT a.*, {_url_domain("a.url")} AS domain, s.ideology

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadsheet.dims import (
-    MODELS, NOMINAL_VARIABLES, RATERS, ROLES, SURVEY_QUESTIONS, TIER1_TERMS, TIER2_TERMS,
+    BINARY_VARIABLES, MODELS, NOMINAL_VARIABLES, RATERS, ROLES, SURVEY_QUESTIONS, TIER1_TERMS, TIER2_TERMS,
     keyword_terms, rating_column,
 )
 from broadsheet.functions import labels, scores, urls, votes
@@ -59,8 +59,10 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 
 @query
 def src_keywords(t: Tables) -> DataFrame:
-    lines = t.documents.select(F.explode(F.split("text", "\n")).alias("value"))
-    return curation.terms_from_lines(lines).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    """The lines of all documents, written as keyword files and read as terms."""
+    path = scratch(t.spark, "keywords")
+    t.documents.select(F.coalesce("text", F.lit("")).alias("value")).write.text(path)
+    return readers.read_terms(t.spark, path).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -289,9 +291,9 @@ def _label_query(name: str, normalise, columns: list[str]) -> None:
 RACE_COLUMNS = [rating_column(r, f"{role}_race") for role in ROLES for r in RATERS]
 LABEL_QUERIES = {
     "norm_label": (labels.norm_label, [rating_column(r, "crime_label") for r in RATERS]),
-    "norm_yes_no": (labels.norm_yes_no, [rating_column(r, "crime_present") for r in RATERS]),
+    "norm_yes_no": (labels.norm_yes_no, [rating_column(r, v) for v in BINARY_VARIABLES for r in RATERS]),
     "norm_race_irr": (labels.norm_race_irr, RACE_COLUMNS),
-    "norm_gender_irr": (labels.norm_gender_irr, [rating_column(r, "perp_gender") for r in RATERS]),
+    "norm_gender_irr": (labels.norm_gender_irr, [rating_column(r, f"{role}_gender") for role in ROLES for r in RATERS]),
     "norm_race_oe": (labels.norm_race_oe, RACE_COLUMNS),
     "norm_race_counts": (labels.norm_race_counts, RACE_COLUMNS),
 }
@@ -305,15 +307,12 @@ def normalise_ratings(t: Tables) -> DataFrame:
 
 
 def _raw_race_counts(t: Tables) -> DataFrame:
-    return (
-        series.people_with_ideology(t.people, t.sources)
-        .groupBy(
-            F.lit("perp").alias("role"),
-            F.col("gpt_perp_race").alias("race"),
-            F.col("ideology_label").alias("ideology"),
-        )
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
+    """People by raw answer of every model for every role, and by the leaning of their source."""
+    answers = F.expr("stack(6, " + ", ".join(f"'{role}', '{m}', {rating_column(m, f'{role}_race')}" for role in ROLES for m in MODELS)
+                     + ") AS (role, model, race)")
+    people = series.people_with_ideology(t.people, t.sources)
+    return people.select(F.col("ideology_label").alias("ideology"), answers).groupBy("role", "model", "race", "ideology").agg(
+        F.count(F.lit(1)).alias("count"))
 
 
 @query
