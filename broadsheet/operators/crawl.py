@@ -167,7 +167,19 @@ def top_per_group(
     return salted.drop("_salt")
 
 
+def lookup_order() -> list[Column]:
+    return [F.col("variant_pos"), F.col("coll_pos"), F.col("index_pos")]
+
+
 def cap_per_source_year(articles: DataFrame, k: int = MAX_PER_SOURCE_YEAR) -> DataFrame:
     """First ``k`` articles of each source row and year, in lookup order."""
-    order = [F.col("variant_pos"), F.col("coll_pos"), F.col("index_pos")]
-    return top_per_group(articles, ["source_id", "year"], order, k)
+    return top_per_group(articles, ["source_id", "year"], lookup_order(), k)
+
+
+def cap_after(articles: DataFrame, taken: DataFrame, k: int = MAX_PER_SOURCE_YEAR) -> DataFrame:
+    """`cap_per_source_year` where ``taken`` has the number ``n`` of articles kept before."""
+    keys = ["source_id", "year"]
+    first = cap_per_source_year(articles, k)  # k rows of a group at most
+    ranked = first.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*lookup_order())))
+    counted = ranked.join(taken.select(*keys, F.col("n").alias("_taken")), keys, "left")
+    return counted.where(F.col("_rank") + F.coalesce("_taken", F.lit(0)) <= k).drop("_rank", "_taken")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
@@ -38,15 +38,29 @@ def collect_articles(
     """
     last_years = None if collected is None else last_year_per_domain(collected)
     targets = crawl_targets(sources, years, last_years)
-    candidates = stored(crawl_candidates(targets, url_keyword_filter(index, terms=terms)).select(
+    candidates = stored_candidates(targets, index, terms)
+    return articles_of(candidates, pages, terms).select("source", "state", "url", "year", "matched_keywords", "text")
+
+
+def stored_candidates(targets: DataFrame, index: DataFrame, terms: Iterable[str] = ALL_TERMS) -> DataFrame:
+    """Matching index records of the targets, in the shared folder."""
+    found = crawl_candidates(targets, url_keyword_filter(index, terms=terms))
+    return stored(found.select(
         "source_id", "source", "state", "url", "year", "variant_pos", "coll_pos", "index_pos", *PAGE_KEY), "candidates")
+
+
+def articles_of(
+    candidates: DataFrame,
+    pages: DataFrame,
+    terms: Iterable[str] = ALL_TERMS,
+    cap: Callable[[DataFrame], DataFrame] = cap_per_source_year,
+) -> DataFrame:
+    """Capped articles of stored candidates, with their keys, keywords and text."""
     n_keys = candidates.count()
     texts = stored(page_texts(candidates, pages, n_keys), "texts")
-    capped = cap_per_source_year(by_page_key(texts.select(*PAGE_KEY), candidates, n_keys))
-    articles = by_page_key(capped.select("source", "state", "url", "year", *PAGE_KEY), texts, n_keys)
-    return with_matched_keywords(articles, terms=terms).select(
-        "source", "state", "url", "year", "matched_keywords", "text"
-    )
+    capped = cap(by_page_key(texts.select(*PAGE_KEY), candidates, n_keys))
+    articles = by_page_key(capped.select("source_id", "source", "state", "url", "year", *PAGE_KEY), texts, n_keys)
+    return with_matched_keywords(articles, terms=terms)
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:

@@ -74,14 +74,24 @@ def read_crawl_index(spark: SparkSession, path: str) -> DataFrame:
     The collection is a field of the record or a ``collection=…`` folder, which
     lets a join on it prune whole folders.
     """
-    records = spark.read.schema(INDEX_SCHEMA).json(path)
+    return index_records(spark.read.schema(INDEX_SCHEMA).json(path), row_position().alias("index_pos"))
+
+
+def crawl_index_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """Index records of files that arrive over time, with their ``file`` and ``block``; see `streaming.collect`."""
+    records = spark.readStream.schema(INDEX_SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(path)
+    place = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    return index_records(records, *place)
+
+
+def index_records(records: DataFrame, *place: Column) -> DataFrame:
     return records.where(F.col("url").isNotNull()).select(
         "url",
         "filename",
         F.col("offset").cast("bigint").alias("offset"),
         F.col("length").cast("bigint").alias("length"),
         "collection",
-        row_position().alias("index_pos"),
+        *place,
     )
 
 

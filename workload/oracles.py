@@ -230,6 +230,10 @@ _oracle("url_keyword_filter", "articles",
         f"SELECT doc_id, url FROM articles WHERE len({_hits('url', ALL_TERMS)}) > 0")
 _oracle("body_keyword_filter", "articles",
         f"SELECT doc_id, year FROM articles WHERE len({_hits('text', TIER1_TERMS)}) > 0")
+_oracle("dictionary_hits", "articles", f"""WITH terms AS (
+  SELECT list(DISTINCT lower(term)) AS terms FROM (SELECT unnest(string_split(text, ' ')) AS term FROM benchmark UNION ALL SELECT source FROM documents)
+  WHERE term <> '')
+SELECT doc_id, array_to_string(list_sort(list_filter(terms, lambda t: contains(lower(text), t))), ';') AS hits FROM articles, terms""")
 _oracle("has_date", "articles", f"SELECT doc_id, {_dated('text')} AS dated FROM articles")
 
 

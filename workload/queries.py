@@ -15,6 +15,7 @@ from broadsheet.functions import labels, scores, urls, votes
 from broadsheet.functions.html import html_text
 from broadsheet.functions.text import compute_once, has_date, hits_in_lowered, min_chars, with_lowered
 from broadsheet.operators import agreement, crawl, curation, ratings, series
+from broadsheet.operators.dictionary import with_dictionary_hits
 from broadsheet.plans.collect import collect_articles
 from broadsheet.sources import readers, writers
 from broadsheet.storage import shared_path as scratch
@@ -255,6 +256,14 @@ def keyword_hits(t: Tables) -> DataFrame:
     return low.select("doc_id", hits.alias("hits")).select("doc_id", joined("hits"))
 
 
+@query
+def dictionary_hits(t: Tables) -> DataFrame:
+    """Hits of a dictionary that grows with the data: every word of the benchmark and of the articles' sources."""
+    words = t.benchmark.select(F.explode(F.split("text", " ")).alias("term")).unionByName(t.documents.select(F.col("source").alias("term")))
+    found = with_dictionary_hits(t.articles.select("doc_id", "text"), words)
+    return found.select("doc_id", joined("hits"))
+
+
 @query
 def url_keyword_filter(t: Tables) -> DataFrame:
     return crawl.url_keyword_filter(t.articles.select("doc_id", "url"))
