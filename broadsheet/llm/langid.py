@@ -5,7 +5,9 @@ make every text segmentable). A language gives each piece a probability; a word'
 probability is the sum over all ways to cut it into pieces, by a forward pass over its
 bytes; a text's is the product over its words. A word is taken for a foreign one with
 probability FOREIGN, which bounds what a single word can say, so a passage in another
-language does not outweigh the rest. The score is the posterior of the best language under
+language does not outweigh the rest. Words of more than WORD bytes, as in scripts without
+spaces, are scored in parts of whole characters with at most so many bytes, each like a word;
+pieces that fit into no part are not used. The score is the posterior of the best language under
 equal priors.
 
 Probabilities are learned by expectation maximisation from the words of labelled rows:
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 from broadsheet.llm.bytewords import ALNUM, blocks, mix, powers
 
 UNKNOWN = "und"
-LONGEST = 16  #: bytes of the longest piece used
 WORD = 32  #: longer words are scored in parts of so many bytes
+LONGEST = WORD + 1  #: bytes of the longest piece used: a part with its leading blank
 TOGETHER = 16_384  #: words in one forward pass
 CACHE = 400_000  #: words a worker remembers; the table is emptied when full
 FOREIGN = 0.05
@@ -54,6 +56,7 @@ class Pieces:
 
     keys: np.ndarray  #: sorted hashes
     order: np.ndarray  #: piece of each
+    lengths: np.ndarray  #: that pieces have, in bytes
 
     @staticmethod
     def load(path: str) -> tuple[Pieces, list[bytes]]:
@@ -72,7 +75,7 @@ class Pieces:
         ends = np.cumsum(lengths)
         keys = span_hash(_spans(data), ends - lengths, lengths)
         order = np.argsort(keys)
-        return Pieces(keys[order], order), listed
+        return Pieces(keys[order], order, np.unique(lengths)), listed
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Index of each piece, or -1."""
@@ -100,7 +103,7 @@ class Words:
         self.at: list[list[tuple[int, np.ndarray, np.ndarray]]] = [[] for _ in range(self.longest + 1)]
         for end in range(1, self.longest + 1):
             active = int(np.searchsorted(-self.lengths, -end, side="right"))
-            for n in range(1, min(end, LONGEST) + 1):
+            for n in pieces.lengths[: np.searchsorted(pieces.lengths, end, side="right")].tolist():
                 found = pieces.find(span_hash(running, self.starts[:active] + (end - n), n))
                 words_at = np.flatnonzero(found >= 0)
                 if len(words_at):
@@ -144,7 +147,17 @@ def passes(words: list[bytes]) -> list[slice]:
 
 
 def parts(word: bytes) -> list[bytes]:
-    return [word[i : i + WORD] for i in range(0, len(word), WORD)]
+    """Parts of at most WORD bytes, cut between characters."""
+    if len(word) <= WORD:
+        return [word]
+    out, at = [], 0
+    while at < len(word):
+        end = min(at + WORD, len(word))
+        while end < len(word) and word[end] & 0xC0 == 0x80 and end > at + WORD - 4:
+            end -= 1
+        out.append(word[at:end])
+        at = end
+    return out
 
 
 @dataclass
@@ -252,7 +265,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str | Column] = ("doc_id",
             [pa.array(langs[top].tolist(), pa.string()), pa.array(posterior[np.arange(len(top)), top])], ["lang", "score"])
 
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    scored = docs.select(*keep, has_letter.alias("has_letter"), best(F.lower("text")).alias("best"))
-    names = [c for c in scored.columns if c not in ("has_letter", "best")]
-    return scored.select(*names, F.when(F.col("has_letter"), F.col("best.lang")).otherwise(UNKNOWN).alias("lang_pred"),
+    # The kept columns in one, so that their names cannot clash with these.
+    scored = docs.select(F.struct(*keep).alias("kept"), has_letter.alias("has_letter"), best(F.lower("text")).alias("best"))
+    return scored.select("kept.*", F.when(F.col("has_letter"), F.col("best.lang")).otherwise(UNKNOWN).alias("lang_pred"),
                          F.when(F.col("has_letter"), F.col("best.score")).otherwise(0.0).alias("score"))

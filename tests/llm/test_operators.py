@@ -84,6 +84,17 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(row, np.log(total))
 
 
+def test_long_words_are_cut_between_characters(spark):
+    for word in ("é" * 100, "日本語" * 50, "a" * 100, "\U0001f389" * 33, "ab"):
+        cut = langid.parts(word.encode())
+        assert b"".join(cut) == word.encode() and all(len(x) <= langid.WORD and x.decode() for x in cut)
+    model = langid.fit(spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate([("the of and", "en"), ("der und die", "de")] * 9)],
+                                             "doc_id long, text string, lang string"), public_tokenizers.path("piece_bpe_32k.model"))
+    frame = spark.createDataFrame([(1, "the and of the", 5, "x")], "doc_id long, text string, best int, has_letter string")
+    row, = langid.predict(frame, model, ["doc_id", "best", "has_letter"]).collect()
+    assert (row.doc_id, row.best, row.has_letter, row.lang_pred) == (1, 5, "x", "en")
+
+
 def test_toxic_documents_are_found_and_located(spark, odd, none):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(50)]
