@@ -9,6 +9,7 @@ forming pairs, and the sums behind kappa and alpha.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -88,6 +89,17 @@ def rating_patterns(
     )
 
 
+def merge_patterns(*tables: DataFrame) -> DataFrame:
+    """Patterns of several sets of articles, counted together; patterns without articles are left out."""
+    every = reduce(DataFrame.unionByName, (t.select("variable", *RATERS, "n") for t in tables))
+    return every.groupBy("variable", *RATERS).agg(F.sum("n").alias("n")).where("n <> 0")
+
+
+def retracted(patterns: DataFrame) -> DataFrame:
+    """Patterns that take their articles away again when merged."""
+    return patterns.withColumn("n", -F.col("n"))
+
+
 def _both_given() -> Column:
     return F.col("value_1").isNotNull() & F.col("value_2").isNotNull()
 
@@ -170,7 +182,12 @@ def _pair_alpha() -> Column:
 def cohen_kappa(ratings: DataFrame, raw: bool = False) -> DataFrame:
     """Unweighted kappa per pair for the binary variables; null below two articles
     or when only one answer occurs."""
-    sums = _pair_sums(confusion(rating_patterns(ratings, BINARY_VARIABLES, raw)))
+    return cohen_kappa_of(rating_patterns(ratings, BINARY_VARIABLES, raw))
+
+
+def cohen_kappa_of(patterns: DataFrame) -> DataFrame:
+    """`cohen_kappa` from counted patterns."""
+    sums = _pair_sums(confusion(patterns.where(F.col("variable").isin(*BINARY_VARIABLES))))
     return sums.select(*PAIR, _kappa().alias("value"), F.col("n").cast("bigint").alias("n"))
 
 
@@ -181,6 +198,11 @@ def nominal_alpha(ratings: DataFrame, raw: bool = False) -> DataFrame:
     answer adds m - 1 to the pairs and to its value's marginal, and c - 1 to the
     pairs that agree. Articles with one answer add nothing.
     """
+    return nominal_alpha_of(rating_patterns(ratings, raw=raw))
+
+
+def nominal_alpha_of(patterns: DataFrame) -> DataFrame:
+    """`nominal_alpha` from counted patterns."""
     votes, n = [F.col(r) for r in RATERS], F.col("n")
     given = sum((v.isNotNull().cast("int") for v in votes), F.lit(0))
     cells = [
@@ -192,8 +214,7 @@ def nominal_alpha(ratings: DataFrame, raw: bool = False) -> DataFrame:
         for vote in votes
     ]
     per_value = (
-        rating_patterns(ratings, raw=raw)
-        .select("variable", F.inline(F.array(*cells)))
+        patterns.select("variable", F.inline(F.array(*cells)))
         .where(F.col("value").isNotNull())
         .groupBy("variable", "value")
         .agg(*(F.sum(c).cast("double").alias(c) for c in ("pairs", "same")))
@@ -215,12 +236,19 @@ def _same(a: Column, b: Column) -> Column:
 
 def irr_table(ratings: DataFrame, digits: int | None = 3, raw: bool = False) -> DataFrame:
     """Kappa (binary) or alpha (nominal) for every variable and pair of raters."""
+    return irr_table_of(rating_patterns(ratings, raw=raw), _all_pairs(ratings), digits)
+
+
+def irr_table_of(patterns: DataFrame, pairs: DataFrame | None = None, digits: int | None = 3) -> DataFrame:
+    """`irr_table` from counted patterns, for the given pairs; for all by default."""
+    if pairs is None:
+        every = [(v, a, b) for v in VARIABLES for a, b in combinations(RATERS, 2)]
+        pairs = constant_table(patterns.sparkSession, ", ".join(PAIR), every)
     is_binary = F.col("variable").isin(*BINARY_VARIABLES)
     value = F.when(is_binary, _kappa()).otherwise(_pair_alpha())
-    counts = confusion(rating_patterns(ratings, raw=raw))
-    sums = _pair_sums(counts).select(*PAIR, value.alias("value"), "n")
+    sums = _pair_sums(confusion(patterns)).select(*PAIR, value.alias("value"), "n")
     rounded = F.col("value") if digits is None else F.bround("value", digits)
-    return _all_pairs(ratings).join(F.broadcast(sums), PAIR, "left").select(
+    return pairs.join(F.broadcast(sums), PAIR, "left").select(  # at most 70 rows
         *PAIR,
         F.when(is_binary, KAPPA).otherwise(ALPHA).alias("metric"),
         rounded.alias("value"),

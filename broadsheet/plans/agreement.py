@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from broadsheet.operators.agreement import irr_table, label_disagreements
+from broadsheet.operators.agreement import irr_table, label_disagreements, merge_patterns, rating_patterns, retracted
 from broadsheet.operators.ratings import human_ratings, model_human_merge, model_ratings
 from broadsheet.sources.readers import read_people, read_survey_cells
 from broadsheet.sources.writers import write_irr_tables
@@ -41,3 +41,29 @@ def run_agreement(
     irr = spark.read.parquet(f"{out}/irr")
     write_irr_tables(irr, label_disagreements(ratings), out)
     return irr
+
+
+def update_agreement(
+    spark: SparkSession,
+    ratings: DataFrame,
+    store: str,
+    batch: int,
+    replaced: DataFrame | None = None,
+    raw: bool = False,
+) -> DataFrame:
+    """Add a batch of rated articles to the pattern counts under ``store`` and return them.
+
+    Batches are numbered from 1. Batch n reads the counts after batch n - 1 and its own
+    articles alone, and writes counts of everything so far, a few rows per variable; it may
+    run again. ``replaced`` holds former ratings of articles that are rated anew: their
+    patterns are taken away. The tables follow by `irr_table_of`, `cohen_kappa_of` and
+    `nominal_alpha_of`.
+    """
+    parts = [rating_patterns(ratings, raw=raw)]
+    if replaced is not None:
+        parts.append(retracted(rating_patterns(replaced, raw=raw)))
+    if batch > 1:
+        parts.append(spark.read.parquet(f"{store}/patterns/batch={batch - 1}"))
+    path = f"{store}/patterns/batch={batch}"
+    merge_patterns(*parts).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

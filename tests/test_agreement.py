@@ -124,3 +124,25 @@ def test_long_form_and_model_majority(spark):
     voted = ratings.with_model_majority(df).orderBy("art_num").collect()
     assert [r.crime_label_llm_majority for r in voted] == ["a", None]
     assert set(MODELS) == {"gpt", "llama", "qwen"}
+
+
+def test_batches_add_up_to_the_whole(spark, tmp_path):
+    from broadsheet.plans.agreement import update_agreement
+
+    rng = random.Random(6)
+    cells = [(r, v) for v in VARIABLES for r in RATERS]
+    columns = [rating_column(r, v) for r, v in cells]
+    rows = [[rng.choice(["yes", "no", "white", None]) for _ in cells] for _ in range(90)]
+    whole, store = wide(spark, rows, columns), str(tmp_path)
+    first = wide(spark, [[rng.choice(["yes", "no", None]) for _ in cells] for _ in range(30)], columns)
+    update_agreement(spark, first, store, 1)
+    update_agreement(spark, wide(spark, rows[30:60], columns), store, 2)
+    for _ in range(2):  # a batch may run again
+        patterns = update_agreement(spark, wide(spark, rows[60:], columns), store, 3)
+    patterns = update_agreement(spark, wide(spark, rows[:30], columns), store, 4, replaced=first)
+    same_rows = lambda a, b: sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+    assert same_rows(agreement.irr_table_of(patterns), agreement.irr_table(whole))
+    assert same_rows(agreement.cohen_kappa_of(patterns), agreement.cohen_kappa(whole))
+    assert same_rows(agreement.nominal_alpha_of(patterns), agreement.nominal_alpha(whole))
+    assert same_rows(patterns.select("variable", *RATERS, "n"), agreement.rating_patterns(whole).select("variable", *RATERS, "n"))
+    assert "batch=3" not in str(patterns.inputFiles()) and len({f.split("batch=")[1][0] for f in patterns.inputFiles()}) == 1

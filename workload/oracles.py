@@ -612,3 +612,5 @@ SELECT term, count(doc_id) AS n FROM (SELECT DISTINCT unnest([{_quoted(ALL_TERMS
 LEFT JOIN articles a ON contains(lower(a.text), k.term) GROUP BY term""")
 _oracle("hits_distinct", "articles",
         f"SELECT doc_id, CAST(len({_hits('text', TIER2_TERMS)}) AS INT) AS n_hits FROM articles")
+
+ORACLES["irr_table_by_batches"] = ORACLES["irr_table"]

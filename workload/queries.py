@@ -16,6 +16,7 @@ from broadsheet.functions.html import html_text
 from broadsheet.functions.text import compute_once, has_date, hits_in_lowered, min_chars, with_lowered
 from broadsheet.operators import agreement, crawl, curation, ratings, series
 from broadsheet.operators.dictionary import with_dictionary_hits
+from broadsheet.plans.agreement import update_agreement
 from broadsheet.plans.collect import collect_articles
 from broadsheet.sources import readers, writers
 from broadsheet.storage import shared_path as scratch
@@ -638,6 +639,17 @@ def irr_table(t: Tables) -> DataFrame:
     return agreement.irr_table(t.ratings, raw=True)
 
 
+@query
+def irr_table_by_batches(t: Tables) -> DataFrame:
+    """The table after four batches of articles, one of which is rated anew."""
+    store, batch = scratch(t.spark, "agreement"), F.pmod("art_num", F.lit(3))
+    for n in range(3):
+        patterns = update_agreement(t.spark, t.ratings.where(batch == n), store, n + 1, raw=True)
+    again = t.ratings.where(batch == 1)
+    patterns = update_agreement(t.spark, again, store, 4, replaced=again, raw=True)
+    return agreement.irr_table_of(patterns)
+
+
 @query
 def irr_human_only(t: Tables) -> DataFrame:
     return agreement.irr_human_only(irr_table(t))
