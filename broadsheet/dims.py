@@ -174,6 +174,11 @@ def parse_years(years: str) -> list[int]:
     return list(range(first, last + 1))
 
 
+def collections_of(years: str) -> list[str]:
+    """The collections of a year or year range, 14 at most; some years have none."""
+    return [name for year in parse_years(years) for name in CRAWL_COLLECTIONS.get(year, ())]
+
+
 def sql_literal(value: str | int | float) -> str:
     """A constant as SQL text."""
     if isinstance(value, str):

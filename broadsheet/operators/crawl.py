@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.dims import (
-    MAX_PER_SOURCE_YEAR, MIN_CHARS, TIER1_TERMS, TIER2_TERMS, crawl_collections, parse_years,
+    MAX_PER_SOURCE_YEAR, MIN_CHARS, TIER1_TERMS, TIER2_TERMS, collections_of, crawl_collections,
+    parse_years,
 )
 from broadsheet.functions.html import html_text
 from broadsheet.functions.text import (
@@ -93,6 +94,16 @@ def with_matched_keywords(
     ).drop("_lowered")
 
 
+def of_years(index: DataFrame, years: str) -> DataFrame:
+    """Index records in the collections of the years; folders of other collections are not read."""
+    return index.where(F.col("collection").isin(*collections_of(years)))
+
+
+def of_hosts(index: DataFrame, hosts: Iterable[str]) -> DataFrame:
+    """Records of a few hosts. In a table sorted by host, row groups without them are skipped."""
+    return index.where(F.col("host").isin(*hosts))
+
+
 def crawl_candidates(targets: DataFrame, index: DataFrame) -> DataFrame:
     """Index records on the targets' hosts, in the targets' collections.
 

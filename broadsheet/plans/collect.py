@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.operators.crawl import (
     ALL_TERMS, PAGE_KEY, by_page_key, cap_per_source_year, crawl_candidates, crawl_targets,
-    last_year_per_domain, page_texts, url_keyword_filter, with_matched_keywords,
+    last_year_per_domain, of_years, page_texts, url_keyword_filter, with_matched_keywords,
 )
 from broadsheet.sources.readers import load_terms, read_crawl_index, read_sources
 from broadsheet.sources.writers import write_article_blocks, write_keyword_matches
@@ -38,7 +38,7 @@ def collect_articles(
     """
     last_years = None if collected is None else last_year_per_domain(collected)
     targets = crawl_targets(sources, years, last_years)
-    candidates = stored_candidates(targets, index, terms)
+    candidates = stored_candidates(targets, of_years(index, years), terms)
     return articles_of(candidates, pages, terms).select("source", "state", "url", "year", "matched_keywords", "text")
 
 

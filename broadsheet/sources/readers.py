@@ -77,6 +77,11 @@ def read_crawl_index(spark: SparkSession, path: str) -> DataFrame:
     return index_records(spark.read.schema(INDEX_SCHEMA).json(path), row_position().alias("index_pos"))
 
 
+def read_crawl_table(spark: SparkSession, path: str) -> DataFrame:
+    """What `write_crawl_index` wrote, with the ``host`` of each record."""
+    return spark.read.parquet(path)
+
+
 def crawl_index_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """Index records of files that arrive over time, with their ``file`` and ``block``; see `streaming.collect`."""
     records = spark.readStream.schema(INDEX_SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(path)

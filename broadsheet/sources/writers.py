@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from broadsheet.functions.urls import url_host
 from broadsheet.operators.agreement import irr_human_only, irr_human_vs_model
 from broadsheet.sources.readers import BLOCK_FIELDS
 
@@ -20,6 +21,17 @@ CSV_OPTIONS = {
 KEYWORD_COLUMNS = ("tier1_keywords", "tier2_keywords")
 
 
+def write_crawl_index(index: DataFrame, path: str, files: int, rows_per_group: int = 100_000) -> None:
+    """Index records as a Parquet table that scans of some years or hosts read in part.
+
+    A folder per collection; within it, files of disjoint host ranges, sorted by host, so
+    that the least and greatest host of each row group tell whether it has to be read.
+    """
+    keyed = index.withColumn("host", url_host(F.col("url")))
+    (keyed.repartitionByRange(files, "collection", "host", "index_pos").sortWithinPartitions("collection", "host", "index_pos")
+     .write.mode("overwrite").partitionBy("collection").option("parquet.block.row.count.limit", rows_per_group).parquet(path))
+
+
 def _text_of(df: DataFrame, name: str) -> Column:
     """A field as text, arrays joined by semicolons, missing as ``''``."""
     field = F.col(name)

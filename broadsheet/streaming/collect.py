@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from broadsheet.dims import MAX_PER_SOURCE_YEAR
 from broadsheet.functions.urls import url_netloc
-from broadsheet.operators.crawl import ALL_TERMS, cap_after, crawl_targets
+from broadsheet.operators.crawl import ALL_TERMS, cap_after, crawl_targets, of_years
 from broadsheet.plans.collect import articles_of, stored_candidates
 
 TAKEN = "source_id bigint, year int, n bigint"
@@ -67,7 +67,7 @@ def collect_batch(
     if "index_pos" not in records.columns:  # rows of a stream are numbered within their batch
         records = records.withColumn("index_pos", F.struct("file", "block", F.monotonically_increasing_id().alias("seq"))).drop("file", "block")
     before = taken_per_source_year(spark, out, batch - 1)
-    candidates = stored_candidates(crawl_targets(sources, years), records, terms)
+    candidates = stored_candidates(crawl_targets(sources, years), of_years(records, years), terms)
     found = articles_of(candidates, pages, terms, lambda articles: cap_after(articles, before, k))
     path = f"{out}/articles/batch={batch}"
     found.select("source_id", "source", "state", "url", "year", "matched_keywords", "text").write.mode("overwrite").parquet(path)

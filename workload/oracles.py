@@ -161,6 +161,10 @@ _oracle("src_crawl_index", "crawl_index", """
 SELECT url, filename, rec_offset AS "offset", length, collection FROM crawl_index
 WHERE index_pos % 10 <> 7""")
 
+_oracle("crawl_table_of_years", "crawl_index", """
+SELECT url, regexp_extract(lower(url), '^(?:[a-z][a-z0-9+.-]*:)?//([^/?#]*)', 1) AS host, filename, rec_offset AS "offset", length, collection
+FROM crawl_index WHERE collection IN ('CC-MAIN-2018-43', 'CC-MAIN-2019-09')""")
+
 _oracle("src_article_blocks", "articles", f"""
 SELECT url, year, source, coalesce(state, '') AS state,
   {_strip(f"replace(replace(text, chr(13) || {NL}, {NL}), chr(13), {NL})")} AS text FROM articles""")

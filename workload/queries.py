@@ -93,6 +93,15 @@ def src_crawl_index(t: Tables) -> DataFrame:
     return readers.read_crawl_index(t.spark, path).drop("index_pos")
 
 
+@query
+def crawl_table_of_years(t: Tables) -> DataFrame:
+    """The index as a table sorted by host, read for two years."""
+    path = scratch(t.spark, "index")
+    writers.write_crawl_index(_index(t), path, 8)
+    found = crawl.of_years(readers.read_crawl_table(t.spark, path), "2018-2019")
+    return found.select("url", "host", "filename", "offset", "length", "collection")
+
+
 @query
 def src_article_blocks(t: Tables) -> DataFrame:
     path = scratch(t.spark, "blocks")
