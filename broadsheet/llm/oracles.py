@@ -53,6 +53,10 @@ _STRENGTH = """
     FROM (SELECT *, CASE WHEN g > 1 THEN spread * (total - nn / total - (g - 1)) ELSE 0 END AS below
       FROM (SELECT *, good / total * (1 - good / total) AS spread FROM (""" + _SHARES + """))))"""
 
+#: Two-label suffixes and any single label, as a pattern; fixed values.
+_LAST = ("ac[.]uk|co[.]uk|gov[.]uk|org[.]uk|com[.]au|net[.]au|org[.]au|co[.]nz|co[.]jp|ne[.]jp|or[.]jp|com[.]br|com[.]mx|com[.]ar|com[.]tr|com[.]cn"
+         "|co[.]in|co[.]kr|co[.]za|[^.]*")
+
 OP10 = f"""
 WITH parsed AS (
   SELECT page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1),
@@ -63,8 +67,8 @@ WITH parsed AS (
       + length(html) - length(replace(html, '###', '')) + length(html) - length(replace(html, '$$$', ''))) / 3.0
       <= 0.05 * (length(html) - length(replace(html, ' ', '')) + 1))::INT END AS good FROM pages)),
 hosts AS (
-  SELECT host, count(good) AS n, coalesce(sum(good), 0) AS k, split_part(host, '.', -1) AS suffix,
-    regexp_extract(host, '([^.]*\\.)?[^.]*$') AS domain FROM parsed GROUP BY host),
+  SELECT host, count(good) AS n, coalesce(sum(good), 0) AS k, regexp_extract(host, '(?:^|[.])({_LAST})$', 1) AS suffix,
+    regexp_extract(host, '(?:^|[.])((?:[^.]*[.])?(?:{_LAST}))$', 1) AS domain FROM parsed GROUP BY host),
 domains AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
 s1 AS ({_STRENGTH.format('suffixes')}), s2 AS ({_STRENGTH.format('domains')}), s3 AS ({_STRENGTH.format('hosts')}),

@@ -155,6 +155,7 @@ URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.exa
 
 @query
 def op10_url_reputation(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages carry no labels: junk signs in their markup stand in for them."""
     return judge_urls(table(spark, folder, "pages"), markup_outcome(F.col("html")), URL_RULES)
 
 

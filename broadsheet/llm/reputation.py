@@ -10,20 +10,27 @@ joined, so a host with a third of all pages is one partial row per task, and the
 its verdict back to the pages is a plain join that Spark can split at run time.
 
 Null and odd values: a null url, or one without "://", has an empty host and path, fits no
-rule, and is judged by the overall share. Null outcomes are unlabelled. Repeated page_ids
+rule, and is judged as the host of that name: all such pages form one group. Null outcomes
+are unlabelled. An empty table gives an empty result. Repeated page_ids
 are separate rows with the same result. Without any outcome the share is 0.5. Extra
 columns are kept aside: the result has only those named.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.llm.common import stored
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-MAX_RULES = 1000  #: rules become one expression; longer lists are refused
+MAX_RULES = 1000  #: rules, and suffixes, become one expression; longer lists are refused
+
+#: Public suffixes of two labels under which domains are registered; fixed values, a default to be replaced.
+TWO_LABEL_SUFFIXES = ("ac.uk", "co.uk", "gov.uk", "org.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "ne.jp", "or.jp",
+                      "com.br", "com.mx", "com.ar", "com.tr", "com.cn", "co.in", "co.kr", "co.za")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -69,17 +76,24 @@ def prior_strength(groups: DataFrame) -> float:
     return (1 - rho) / rho
 
 
-def host_reputation(pages: DataFrame, z: float = 1.645) -> DataFrame:
+def suffix_and_domain(host: Column, suffixes: tuple[str, ...]) -> tuple[Column, Column]:
+    """(suffix, registered domain): a listed suffix or else the last label, and one label more."""
+    if len(suffixes) > MAX_RULES:
+        raise ValueError(f"at most {MAX_RULES} suffixes")
+    last = "|".join([*(re.escape(s) for s in sorted(suffixes, key=len, reverse=True)), "[^.]*"])
+    return F.regexp_extract(host, rf"(?:^|\.)({last})$", 1), F.regexp_extract(host, rf"(?:^|\.)((?:[^.]*\.)?(?:{last}))$", 1)
+
+
+def host_reputation(pages: DataFrame, z: float = 1.645, suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """host -> n, good, mean and lower bound of the posterior share of good pages.
 
     `pages` has host and good (1, 0 or null). The bound is the mean less z deviations of
     the posterior beta. The counts per host are written once and read by every level.
     """
-    parts = F.split("host", r"\.")
+    suffix, domain = suffix_and_domain(F.col("host"), suffixes)
     hosts = stored(pages.groupBy("host").agg(
         F.count("good").alias("n"), F.coalesce(F.sum(F.col("good").cast("long")), F.lit(0)).alias("k")).withColumns({
-            "suffix": F.coalesce(F.get(parts, F.size(parts) - 1), F.lit("")),
-            "domain": F.regexp_extract("host", r"([^.]*\.)?[^.]*$", 0)}), "hosts")
+            "suffix": suffix, "domain": domain}), "hosts")
     domains, suffixes = _level(hosts, ["suffix", "domain"]), _level(hosts, ["suffix"])
     n, k = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
 
@@ -95,12 +109,13 @@ def host_reputation(pages: DataFrame, z: float = 1.645) -> DataFrame:
     return h.select("host", "n", F.col("k").alias("good"), "mean", (F.col("mean") - z * deviation).alias("bound"))
 
 
-def judge_urls(pages: DataFrame, outcomes: Column, rules: list[tuple[str, str]], threshold: float = 0.8) -> DataFrame:
+def judge_urls(pages: DataFrame, outcomes: Column, rules: list[tuple[str, str]], threshold: float = 0.8,
+               suffixes: tuple[str, ...] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """page_id, host, path, rule, verdict of every page; `outcomes` gives 1, 0 or null."""
     host, path = host_and_path(F.col("url"))
     parsed = pages.select("page_id", host.alias("host"), path.alias("path"), outcomes.cast("int").alias("good"))
     rule, action = rule_for(F.col("host"), F.col("path"), rules)
-    reputation = host_reputation(parsed.select("host", "good")).select(
+    reputation = host_reputation(parsed.select("host", "good"), suffixes=suffixes).select(
         F.col("host").alias("rated"), "n", F.when(F.col("bound") >= threshold, "allow").otherwise("block").alias("own"))
     return parsed.join(reputation, F.col("host") == F.col("rated"), "left").select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(action, F.col("own")).alias("verdict"),
@@ -108,7 +123,7 @@ def judge_urls(pages: DataFrame, outcomes: Column, rules: list[tuple[str, str]],
 
 
 def markup_outcome(html: Column, most_junk: float = 0.05) -> Column:
-    """1 if few of a page's words end in junk signs, 0 if many do, null for an empty page."""
+    """A stand-in for labels where pages have none: 1 if few of a page's words end in junk signs, 0 if many do, null for an empty page."""
     words = F.length(html) - F.length(F.replace(html, F.lit(" "), F.lit("")))
     signs = sum((F.length(html) - F.length(F.replace(html, F.lit(s), F.lit("")))) / len(s) for s in ("***", "%%%", "###", "$$$"))
     return F.when(F.length(html) > 0, (signs <= most_junk * (words + 1)).cast("int"))

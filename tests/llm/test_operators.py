@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from broadsheet.llm import counting, decontaminate, jaccard, langid, licenses, lm, packing, spotjoin, spotsigs, tool_calls, toxicity, vocabularies
+from broadsheet.llm import counting, decontaminate, jaccard, langid, licenses, lm, packing, reputation, spotjoin, spotsigs, tool_calls, toxicity, vocabularies
 from broadsheet.llm.queries import PHRASES, QUERIES, URL_RULES
 from broadsheet.llm.reputation import judge_urls
 
@@ -438,6 +438,95 @@ def test_url_rules_and_odd_urls(spark):
     assert got[5].host == got[6].host == got[5].path == "" and got[5].verdict == "block"
 
 
+def test_registered_domains_under_two_label_suffixes(spark):
+    hosts = {"a.b.co.uk": ("co.uk", "b.co.uk"), "b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "taco.uk": ("uk", "taco.uk"),
+             "x.taco.uk": ("uk", "taco.uk"), "x.com": ("com", "x.com"), "m.x.com": ("com", "x.com"), "localhost": ("localhost", "localhost"), "": ("", "")}
+    suffix, domain = reputation.suffix_and_domain(F.col("host"), reputation.TWO_LABEL_SUFFIXES)
+    got = spark.createDataFrame([(h,) for h in hosts], "host string").select("host", suffix.alias("s"), domain.alias("d")).collect()
+    assert {r.host: (r.s, r.d) for r in got} == hosts
+    pages = spark.createDataFrame([], "page_id long, url string, n int, host string")
+    assert judge_urls(pages, F.lit(1), URL_RULES).count() == 0
+    with pytest.raises(ValueError):
+        reputation.suffix_and_domain(F.col("host"), ("x.y",) * 1001)
+
+
+def greedy_tiles(at, item_at, k):
+    """Longest match of free words first, of equals the first in the item, then in the document."""
+    seeds = set(zip(at, item_at))
+    linked = {(p + j, t + j) for p, t in seeds for j in range(k)}  # words matched inside a seed
+    used, used_item, tiles = set(), set(), []
+    while True:
+        best = None
+        for p, t in linked:
+            n = 0
+            while (p + n, t + n) in linked and p + n not in used and t + n not in used_item and (n < k or (p + n - k + 1, t + n - k + 1) in seeds):
+                n += 1
+            if n >= k and (p, t) in seeds and (best is None or (-n, t, p) < best):
+                best = (-n, t, p)
+        if best is None:
+            return tiles
+        n, t, p = -best[0], best[1], best[2]
+        used |= set(range(p, p + n))
+        used_item |= set(range(t, t + n))
+        tiles.append((p, t, n))
+
+
+def test_tiles_equal_a_plain_greedy_search():
+    rng = random.Random(11)
+    for _ in range(300):
+        letters = rng.choice([2, 3, 8])
+        item = [rng.randrange(letters) for _ in range(rng.randint(4, 18))]
+        doc = [rng.randrange(letters) for _ in range(rng.randint(0, 8))]
+        for _ in range(rng.randint(1, 3)):
+            i = rng.randrange(len(item))
+            doc += item[i : i + rng.randint(1, 12)] + [rng.randrange(letters) for _ in range(rng.randint(0, 3))]
+        k = decontaminate.K
+        seeds = [(p, t) for p in range(len(doc) - k + 1) for t in range(len(item) - k + 1) if doc[p : p + k] == item[t : t + k]]
+        if seeds:
+            at, item_at = map(np.array, zip(*seeds))
+            assert decontaminate.tile(at, item_at, len(item)) == greedy_tiles(at.tolist(), item_at.tolist(), k)
+
+
+def test_noisy_or_scores_equal_a_plain_product(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(30)]
+    texts = [". ".join(" ".join(rng.choices(words, k=rng.randint(1, 5))) for _ in range(rng.randint(1, 6))) for _ in range(80)] + ["", "!!!"]
+    block = next(toxicity.blocks(pa.array([" ".join(words)]), toxicity.ALNUM))
+    keys = np.unique(toxicity.features(block)[0])
+    weights = np.array([rng.uniform(-1, 3) for _ in keys])
+    model = toxicity.Model(keys, weights, -2.0)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in toxicity.score(frame, model, least=0.0).collect()}
+    for i, text in enumerate(texts):
+        clean, found = 1.0, 0
+        for sentence in text.split(". "):
+            for b in toxicity.blocks(pa.array([sentence]), toxicity.ALNUM):
+                if len(b.starts):
+                    kept = np.unique(model.known(b)[0])
+                    clean *= 1 - 1 / (1 + np.exp(-(model.bias + weights[kept].sum())))
+                    found += 1
+        assert got[i].score == pytest.approx(1 - clean) and len(got[i].offending) == found
+        for s in got[i].offending:
+            assert text[s.start : s.start + s.length].strip(" .").count(".") == 0
+
+
+def test_reversed_chains_and_long_arguments(spark):
+    n, long = 30, "x" * 100_000
+    calls = [(1, f"c{i}", i, "t", '{"q":"%s"}' % (long if i == 3 else i), [f"c{i + 1}"] if i < n - 1 else None, "k", 0) for i in range(n)]
+    frame = spark.createDataFrame(calls, "conv_id long, call_id string, seq long, name string, arguments string, depends_on array<string>, content string, position int")
+    results = spark.createDataFrame([(1, "c3", 99, long, "k")], "conv_id long, call_id string, seq long, content string, name string")
+    got = sorted(tool_calls.link_tool_calls(frame, results, {"t": {"q": ("string", True)}}).collect(), key=lambda r: r.position)
+    assert [r.call_id for r in got] == [f"c{i}" for i in range(n - 1, -1, -1)] and len(got[n - 4].record) > 200_000
+
+
+def test_pipeline_stages_take_odd_empty_and_clashing_rows(spark, odd, none):
+    for frame in (odd, none):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, frame, FOLDER)
+            assert out.columns == frame.columns and collections.Counter(out.collect()) <= collections.Counter(frame.collect())
+        assert corpus_pipeline.STAGES[-1][1](spark, frame, FOLDER).where("doc_id IS NULL OR length IS NULL").isEmpty()
+
+
 def test_pipeline_stages_keep_columns_and_decide(spark, docs, texts):
     now, kept = docs, set(texts)
     for name, stage in corpus_pipeline.STAGES[:-1]:
