@@ -14,9 +14,11 @@ larger one is split at run time by Spark's skewed joins.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from broadsheet.functions.text import compute_once, has_date
+from broadsheet.operators.curation import KEPT, NO_DATE, NO_KEYWORD, funnel_counts
 from broadsheet.storage import stored
 
 GRAM = 5  #: characters of an entry
@@ -74,3 +76,20 @@ def with_dictionary_hits(
     keyed = articles.withColumn("_text", F.xxhash64(low))
     held = F.filter("_terms", lambda t: F.contains(low, t))
     return keyed.join(found, "_text", "left").withColumn(hits, F.array_sort(F.coalesce(held, none))).drop("_text", "_terms")
+
+
+def curate_by_dictionaries(
+    articles: DataFrame, tier1: DataFrame, tier2: DataFrame, text: str = "text", observation: Observation | None = None
+) -> DataFrame:
+    """`curation.curate` with keyword lists that are tables (column ``term``), of any size.
+
+    The articles kept are written to the shared folder before tier 2 is looked for in them;
+    ``observation``, if given, observes the funnel meanwhile.
+    """
+    hits = with_dictionary_hits(articles, tier1, text, hits="tier1_keywords")
+    outcome = F.when(~has_date(F.col(text)), NO_DATE).when(F.size("tier1_keywords") == 0, NO_KEYWORD).otherwise(KEPT)
+    judged = compute_once(hits, outcome=outcome)
+    if observation is not None:
+        judged = judged.observe(observation, *funnel_counts())
+    kept = stored(judged.where(F.col("outcome") == KEPT).drop("outcome"), "kept")
+    return with_dictionary_hits(kept, tier2, text, hits="tier2_keywords")

@@ -59,3 +59,23 @@ def test_a_hundred_thousand_terms_in_a_plan_of_the_same_size(spark):
     for i, text in enumerate(texts):
         spans = {text[a:b] for a in range(len(text)) for b in range(a + 1, min(a + 13, len(text) + 1))}
         assert got[i] == sorted(spans & known)
+
+
+def test_curation_by_tables_equals_curation_by_lists(spark, tmp_path, monkeypatch):
+    from broadsheet.plans import curation
+    from broadsheet.sources import writers
+
+    rows = [(f"u{i}", 2018 + i % 5, "s", "CA", f"{'2020-01-02' if i % 3 else 'no day'} a {'Zebra crossing' if i % 2 else 'lion'} and {'owl' if i % 5 else ''} {i}") for i in range(60)]
+    articles = spark.createDataFrame(rows, "url string, year int, source string, state string, text string")
+    writers.write_article_blocks(articles, str(tmp_path / "blocks"), "overwrite")
+    for name, text in (("one", "zebra\nZEBRA\ncross\n"), ("two", "owl\nlion\n\n"), ("none", "\n")):
+        (tmp_path / name).write_text(text)
+    for first, second in (("one", "two"), ("one", "none"), ("none", "two"), ("one", None)):
+        found = []
+        for bound in (2000, 0):
+            monkeypatch.setattr(curation, "PLAN_TERMS", bound)
+            out = str(tmp_path / f"{first}-{second}-{bound}")
+            funnel = curation.run_curation(spark, str(tmp_path / "blocks"), out, tier1_path=str(tmp_path / first), tier2_path=second and str(tmp_path / second))
+            kept = spark.read.parquet(f"{out}/articles").select("url", "tier1_keywords", "tier2_keywords", "text")
+            found.append((funnel, sorted(map(str, kept.collect()))))
+        assert found[0] == found[1] and found[0][0]["total"] == 60
