@@ -73,9 +73,10 @@ def with_dictionary_hits(
     texts = articles.select(low.alias("_low")).select("_low", F.xxhash64("_low").alias("_text"))
     index = stored(term_index(known, texts, lengths, n_terms), "index")
     found = _join_small(_text_runs(texts, lengths), index, n_terms, "run").groupBy("_text").agg(F.collect_set("term").alias("_terms"))
-    keyed = articles.withColumn("_text", F.xxhash64(low))
-    held = F.filter("_terms", lambda t: F.contains(low, t))
-    return keyed.join(found, "_text", "left").withColumn(hits, F.array_sort(F.coalesce(held, none))).drop("_text", "_terms")
+    # Pinned, so that the text is not lowered once for every candidate.
+    keyed = compute_once(articles.join(found, F.xxhash64(low) == F.col("_text"), "left"), _low=low)
+    held = F.filter("_terms", lambda t: F.contains(F.col("_low"), t))
+    return keyed.withColumn(hits, F.array_sort(F.coalesce(held, none))).drop("_text", "_terms", "_low")
 
 
 def curate_by_dictionaries(
