@@ -1,13 +1,16 @@
 """Body text of an HTML page, with native string expressions only.
 
-This is not a general HTML parser. It follows nested containers of one name,
-quoted ``>`` in attributes, comments, scripts, named and numeric entities.
-Mis-nested markup (a container closed by some other tag's end) is read by
-counting the container's own tags only.
+Tags are read in order with a stack of open elements: an end tag closes the
+nearest open element of its name and all that were opened within, and means
+nothing if none is open. So a container also ends where an element around it
+ends. Elements that cannot hold anything and tags that end in ``/>`` open nothing.
+Quoted ``>`` in attributes, comments, scripts, named and numeric entities are
+followed.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from html.entities import html5, name2codepoint
 
 from pyspark.sql import Column
@@ -17,14 +20,26 @@ from broadsheet.dims import BODY_DIV_CLASSES, MIN_CHARS
 from broadsheet.functions.text import let, strip
 
 # Marks put into the markup while it is read: a gap between two text pieces, a
-# cut at a tag, and decoded characters that must not be taken for markup.
-_GAP, _CUT = "\x01", "\x02"
+# cut before a tag (also around names on the stack), the end of a tag, and decoded
+# characters that must not be taken for markup.
+_GAP, _CUT, _END = "\x01", "\x02", "\x07"
 _MARKUP_CHARS, _STAND_INS = "<>\"'", "\x03\x04\x05\x06"
 
 # A tag's attributes: a quoted value may hold ``>``. Possessive quantifiers keep
 # the match linear and free of recursion on broken markup.
 _ATTRS = r"""[^>=]*+(?:=\s*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+"""
-_TAG = rf"(?i)<(?:/?[a-z]{_ATTRS}|[!?][^>]*+)>"
+# An element that holds text alone leaves the stack as it was; it is read as text
+# (group 2). Any other tag is group 3.
+_LEAF = rf"<(?!(?:article|body|div)[\s/>])([a-z][^\s/>]*+){_ATTRS}(?<!/)>([^<]*+)</\1\s*+>"
+_LEAF_OR_TAG = rf"(?i){_LEAF}|(</?[a-z]{_ATTRS}>)"
+_ALL = 1 << 30  # as a length: up to the end
+_DECLARATION = "<[!?][^>]*+>"
+# Elements without content.
+_EMPTY = " area base basefont bgsound br col command embed frame hr image img input isindex keygen link menuitem meta nextid param source spacer track wbr "
+# A slash before the ``>`` that belongs to an unquoted value.
+_VALUE_SLASH = r"""=\s*[^\s"'>]*/>$"""
+# Value of a tag's class attribute; quoted values before it are skipped whole.
+_CLASS = r"""(?is)^<div(?=\s)(?:[^>"']*+(?:"[^"]*+"|'[^']*+'))*?[^>"']*?\sclass\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 # Not text: comments and these elements, which run to the end if never closed.
 # Nor are ruby annotations, which end where the next one or the ruby itself does.
 _UNSEEN = (
@@ -100,60 +115,92 @@ def _decode_entities(markup: Column) -> Column:
 
 def _pieces(markup: Column) -> Column:
     """Stripped text pieces joined by gap marks; null stays null."""
-    pieces = F.split(F.regexp_replace(markup, _TAG, _GAP), _GAP)
+    pieces = F.split(F.regexp_replace(markup, _DECLARATION, _GAP), _GAP)
     return F.array_join(F.array_remove(F.transform(pieces, strip), ""), _GAP)
 
 
-def _extract(text: Column, pattern: Column) -> Column:
-    """First match of a pattern that is itself a column; ``''`` without one."""
-    return F.coalesce(F.regexp_substr(text, pattern), F.lit(""))
+#: Containers of an article, best first: (element, class or "").
+_CONTAINERS = [("article", ""), *(("div", c) for c in BODY_DIV_CLASSES), ("body", "")]
 
 
-def _content(markup: Column, name: Column, start: Column) -> Column:
-    """What the first tag matching ``start`` encloses; null if there is none.
+def _opened(tag: Column, name: Column) -> Column:
+    """The containers that a start tag opens, one bit each."""
 
-    The markup from there on is cut at every tag of the same name. Walking the
-    cuts with a depth counter tells how many of them belong to the container;
-    one that is never closed runs to the end.
-    """
-    rest = _extract(markup, F.concat(F.lit("(?is)"), start, F.lit(".*$")))
-
-    def enclosed(parts: Column) -> Column:
-        def walk(state: Column, part: Column) -> Column:
-            step = F.when(F.startswith(part, F.lit("</")), -1).otherwise(1)
-            depth = F.when(state["depth"] > 0, state["depth"] + step).otherwise(0)
-            return F.struct(
-                depth.alias("depth"),
-                (state["kept"] + (depth > 0).cast("int")).alias("kept"),
-            )
+    def by_class(value: Column) -> Column:
+        listed = F.split(F.trim(F.translate(value, "\"'\t\r\n\f", " " * 6)), " +")
+        bits = [F.when(F.array_contains(listed, c), 1 << i).otherwise(0)
+                for i, (_, c) in enumerate(_CONTAINERS) if c]
+        return reduce(Column.__add__, bits)
+
+    bits = F.when(name == "div", let(F.regexp_extract(tag, _CLASS, 1), by_class))
+    for i, (element, css_class) in enumerate(_CONTAINERS):
+        if not css_class:
+            bits = bits.when(name == element, 1 << i)
+    return F.when(F.startswith(tag, F.lit("</")), 0).otherwise(bits.otherwise(0))
+
+
+def _tags(markup: Column) -> Column:
+    """Tags in order, but for leaves: name, move (1 opens, -1 closes), containers opened, text that follows."""
+
+    def read(part: Column) -> Column:
+        def named(tag: Column) -> Column:
+            def row(name: Column) -> Column:
+                closed = F.endswith(tag, F.lit("/>")) & ~tag.rlike(_VALUE_SLASH)
+                empty = F.contains(F.lit(_EMPTY), F.concat(F.lit(" "), name, F.lit(" ")))
+                move = F.when(F.startswith(tag, F.lit("</")), -1).when(empty | closed, 0).otherwise(1)
+                return F.struct(
+                    F.concat(F.lit(_CUT), name, F.lit(_CUT)).alias("name"),
+                    move.alias("move"),
+                    _opened(tag, name).alias("opened"),
+                    F.substring_index(part, _END, -1).alias("text"),
+                )
+
+            return let(F.lower(F.regexp_extract(tag, r"^</?([^\s/>]+)", 1)), row)
 
-        # Part 1 is empty, part 2 is the container's own start tag.
-        begin = F.struct(F.lit(1).alias("depth"), F.lit(1).alias("kept"))
-        inner = F.slice(parts, 3, F.size(parts))
-        kept = F.aggregate(inner, begin, walk)["kept"]
-        return F.when(F.size(parts) > 1, F.array_join(F.slice(parts, 2, kept), ""))
+        return let(F.substring_index(part, _END, 1), named)
 
-    own_tag = F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"[\s/>])"))
-    cut = F.regexp_replace(rest, own_tag, F.lit(_CUT))
-    return let(F.split(cut, _CUT), enclosed)
+    marked = F.regexp_replace(markup, _LEAF_OR_TAG, f"{_CUT}$3{_END}$2{_GAP}")
+    parts = F.split(F.replace(marked, F.lit(_CUT + _END), F.lit(_GAP)), _CUT)  # used once: it would be computed again
+    return F.transform(F.slice(parts, 2, _ALL), read)
 
 
-def _div_start(css_class: str) -> str:
-    """A div with the class among its class names."""
-    named = (
-        rf'"(?:[^"]*\s)?{css_class}(?:\s[^"]*)?"'
-        rf"|'(?:[^']*\s)?{css_class}(?:\s[^']*)?'"
-        rf"|{css_class}(?=[\s/>])"
+def _after(stack: Column, tag: Column) -> Column:
+    """Open elements after a tag; the stack is a text of marked names, the innermost last."""
+    name = tag["name"]
+    inner = F.call_function("substring_index", stack, name, F.lit(-1))
+    outer = F.left(stack, F.length(stack) - F.length(inner) - F.length(name))
+    return (
+        F.when(tag["move"] == 1, F.concat(stack, name))
+        .when((tag["move"] == -1) & F.contains(stack, name), outer)
+        .otherwise(stack)
     )
-    before = r"""(?:[^>"']*+(?:"[^"]*+"|'[^']*+'))*?[^>"']*?"""  # quoted values are skipped whole
-    return rf"<div(?=\s){before}\sclass\s*=\s*(?:{named}){_ATTRS}>"
 
 
-_CONTAINERS = (
-    [("article", rf"<article(?:[\s/]{_ATTRS})?>")]
-    + [("div", _div_start(c)) for c in BODY_DIV_CLASSES]
-    + [("body", rf"<body(?:[\s/]{_ATTRS})?>")]
-)
+def _content(tags: Column, container: Column) -> Column:
+    """Text pieces in the first container of a kind; null if there is none."""
+
+    def enclosed(at: Column) -> Column:
+        def inside(around: Column) -> Column:
+            def walk(state: Column, tag: Column) -> Column:
+                def step(stack: Column) -> Column:
+                    still = F.length(stack) > F.length(around)
+                    return F.struct(
+                        F.when(still, stack).otherwise("").alias("stack"),
+                        (state["kept"] + still.cast("int")).alias("kept"),
+                    )
+
+                return F.when(state["stack"] == "", state).otherwise(let(_after(state["stack"], tag), step))
+
+            start = F.get(tags, at - 1)
+            begin = F.struct(_after(around, start).alias("stack"), F.lit(1).alias("kept"))
+            kept = F.aggregate(F.slice(tags, at + 1, _ALL), begin, walk)["kept"]
+            texts = F.transform(F.slice(tags, at, kept), lambda tag: tag["text"])
+            return F.when(start["move"] == 1, F.array_join(texts, _GAP)).otherwise("")
+
+        return F.when(at > 0, let(F.aggregate(F.slice(tags, 1, at - 1), F.lit(""), _after), inside))
+
+    opens = F.transform(tags, lambda tag: tag["opened"].bitwiseAND(container) != 0)
+    return let(F.array_position(opens, True).cast("int"), enclosed)
 
 
 def html_text(html: Column, limit: int = MIN_CHARS) -> Column:
@@ -163,20 +210,18 @@ def html_text(html: Column, limit: int = MIN_CHARS) -> Column:
     breaks between pieces. ``''`` if no container does. A container is looked
     into only when all before it have failed.
     """
-    containers = F.array(
-        *(F.struct(F.lit(n).alias("name"), F.lit(s).alias("start")) for n, s in _CONTAINERS)
-    )
 
     def accept(pieces: Column) -> Column:
         long_enough = F.length(F.replace(pieces, F.lit(_GAP), F.lit(""))) > limit
         return F.when(long_enough, F.replace(pieces, F.lit(_GAP), F.lit("\n"))).otherwise("")
 
-    def choose(markup: Column) -> Column:
+    def choose(tags: Column) -> Column:
         def try_next(text: Column, container: Column) -> Column:
-            content = _content(markup, container["name"], container["start"])
-            return F.when(text == "", let(_pieces(content), accept)).otherwise(text)
+            content = _content(tags, container)
+            return F.when(text == "", F.coalesce(let(_pieces(content), accept), F.lit(""))).otherwise(text)
 
+        containers = F.array(*(F.lit(1 << i) for i in range(len(_CONTAINERS))))
         return F.aggregate(containers, F.lit(""), try_next)
 
     seen = F.regexp_replace(F.coalesce(html, F.lit("")), _UNSEEN, _GAP)
-    return F.translate(let(_decode_entities(seen), choose), _STAND_INS, _MARKUP_CHARS)
+    return F.translate(let(_tags(_decode_entities(seen)), choose), _STAND_INS, _MARKUP_CHARS)
