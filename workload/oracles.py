@@ -242,26 +242,48 @@ _oracle("has_date", "articles", f"SELECT doc_id, {_dated('text')} AS dated FROM
 
 
 def _pieces(x: str) -> str:
-    """Stripped, non-empty text pieces of markup, as a list."""
-    gapped = f"regexp_replace({x}, '<[a-zA-Z/!?][^>]*>', chr(1), 'g')"
-    for char, entity in (("©", "&copy;?"), ("·", "&middot;?"), ('"', "&quot;?"), ("&", "&amp;?")):
-        gapped = f"regexp_replace({gapped}, '{entity}', '{char}', 'g')"
-    stripped = f"list_transform(string_split({gapped}, chr(1)), lambda p: {_strip('p')})"
+    """Stripped, non-empty text pieces of texts between tags, as a list."""
+    for char, entity in (("©", "&copy;?"), ("·", "&middot;?"), ('"', "&quot;?"), ("é", "&eacute;?"), ("–", "&#8211;?"),
+                         ("…", "&hellip;?"), ("<", "&lt;?"), (">", "&gt;?"), ("&", "&amp;?")):
+        x = f"regexp_replace({x}, '{entity}', '{char}', 'g')"
+    stripped = f"list_transform(string_split({x}, chr(1)), lambda p: {_strip('p')})"
     return f"list_filter({stripped}, lambda q: q <> '')"
 
 
-# The test pages hold no nested containers, so a search up to the first end tag
-# will do here; nesting is tested on fixtures.
-_CONTENT = [r"(?s)<article>(.*?)</article>"]
-_CONTENT += [rf'(?s)<div class="story {c}">(.*?)</div>' for c in BODY_DIV_CLASSES]
-_CONTENT += [r"(?s)<body>(.*?)(?:</body>|$)"]
-_TEXTS = f"""
-pieces AS (
-  SELECT page_id, {", ".join(f"{_pieces(f'regexp_extract(seen, {_quoted([p])}, 1)')} AS c{i}" for i, p in enumerate(_CONTENT))}
-  FROM (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->|<script>.*?</script>|<style>.*?</style>', chr(1), 'g') AS seen FROM crawl_pages)),
+# The pages tag by tag, each with the names of the open elements and their numbers;
+# a container holds the texts after tags during which it is open.
+_TAG = r"""</?[a-zA-Z](?:[^>"]|"[^"]*")*>"""
+_KINDS = ["name = 'article'", *(f"name = 'div' AND list_contains(classes, '{c}')" for c in BODY_DIV_CLASSES), "name = 'body'"]
+_OPENS_NOTHING = "name IN ('br', 'img', 'meta', 'hr', 'link', 'input') OR ends_with(tag, '/>')"
+_CUT_AT = "len(names) - list_position(list_reverse(names), name)"
+_TEXTS = rf"""
+cuts AS (
+  SELECT page_id, string_split(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<script>.*?</script>|<style>.*?</style>|<![^>]*>', chr(1), 'g'),
+    '({_TAG})', chr(2) || '\1' || chr(3), 'g'), chr(2)) AS parts FROM crawl_pages),
+parts AS (SELECT page_id, unnest(range(1, len(parts))) AS k, unnest(parts[2:]) AS part FROM cuts),
+tags AS (
+  SELECT page_id, k, split_part(part, chr(3), 1) AS tag, split_part(part, chr(3), 2) AS after,
+    lower(regexp_extract(part, '^</?([^\s/>]+)', 1)) AS name, string_split(regexp_extract(part, '^<[^>]* class="?([^">]*)', 1), ' ') AS classes
+  FROM parts),
+walk AS (
+  SELECT page_id, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS names, CAST([] AS BIGINT[]) AS ks FROM cuts
+  UNION ALL
+  SELECT t.page_id, t.k,
+    CASE WHEN starts_with(tag, '</') THEN CASE WHEN list_contains(names, name) THEN names[1:{_CUT_AT}] ELSE names END
+      WHEN {_OPENS_NOTHING} THEN names ELSE list_append(names, name) END,
+    CASE WHEN starts_with(tag, '</') THEN CASE WHEN list_contains(names, name) THEN ks[1:{_CUT_AT}] ELSE ks END
+      WHEN {_OPENS_NOTHING} THEN ks ELSE list_append(ks, t.k) END
+  FROM walk w JOIN tags t ON t.page_id = w.page_id AND t.k = w.k + 1),
+firsts AS (
+  SELECT page_id, {", ".join(f"min(k) FILTER (WHERE NOT starts_with(tag, '</') AND {kind}) AS f{i}" for i, kind in enumerate(_KINDS))}
+  FROM tags GROUP BY page_id),
+within AS (
+  SELECT page_id, {", ".join(f"string_agg(after, chr(1) ORDER BY k) FILTER (WHERE list_contains(ks, f{i})) AS w{i}" for i in range(len(_KINDS)))}
+  FROM walk JOIN tags USING (page_id, k) JOIN firsts USING (page_id) GROUP BY page_id),
+pieces AS (SELECT page_id, {", ".join(f"{_pieces(f'w{i}')} AS c{i}" for i in range(len(_KINDS)))} FROM within),
 texts AS (
-  SELECT page_id, CASE {" ".join(f"WHEN length(array_to_string(c{i}, '')) > 1000 THEN array_to_string(c{i}, {NL})" for i in range(len(_CONTENT)))}
-    ELSE '' END AS text FROM pieces)"""
+  SELECT page_id, CASE {" ".join(f"WHEN length(array_to_string(c{i}, '')) > 1000 THEN array_to_string(c{i}, {NL})" for i in range(len(_KINDS)))}
+    ELSE '' END AS text FROM cuts LEFT JOIN pieces USING (page_id))"""
 
 _oracle("html_text", "crawl_pages", f"WITH {_TEXTS} SELECT page_id, text FROM texts")
 _oracle("min_chars", "",

@@ -119,14 +119,22 @@ FROM {orders}) a""",
         for name, v, a in _SURVEY_COLUMNS
     )
     + "\nFROM {orders}",
-    # Text and HTML pages keyed like crawl records, in four kinds of container.
+    # Text and HTML pages keyed like crawl records, in four kinds of container; some with
+    # unclosed, stray, self-closed or mis-nested tags, decoys in attributes and entities.
     "crawl_pages": """
 SELECT page_id, 'w/' || CAST(page_id % 10 AS STRING) || '.warc' AS filename, page_id * 1000 AS rec_offset,
   url || CASE page_id % 4 WHEN 0 THEN '&t=sexual-assault' WHEN 1 THEN '&t=-victim-shot' WHEN 2 THEN '&T=Murder' ELSE '' END AS url,
   CASE page_id % 3 WHEN 0 THEN html
     WHEN 1 THEN replace(replace(html, '<article>', '<div class="story article-body">'), '</article>', '</div>')
     ELSE replace(replace(html, '<article>', '<section>'), '</article>', '</section>') END AS html
-FROM {pages}""",
+FROM (SELECT page_id, url, CASE page_id % 8
+    WHEN 1 THEN replace(html, '<h1>', '<div class="x"><h1>')
+    WHEN 2 THEN replace(html, '</h1>', '</h1></aside></span></li>')
+    WHEN 3 THEN replace(html, '</h1>', '</h1><div/><article/><img src="a>b" alt="<article id=x>"/>')
+    WHEN 4 THEN replace(replace(html, '<article>', '<main><article>'), '</p>', '</p></main>')
+    WHEN 5 THEN replace(html, '</h1>', ' &lt;p&gt; caf&eacute; &#8211; &hellip;</h1><div title="x > y">in <b>it</div> after')
+    WHEN 6 THEN replace(html, '<h1>', '<article class=inner><h1>')
+    ELSE html END AS html FROM {pages}) p""",
     "crawl_index": """
 SELECT url, filename, rec_offset, 500 + page_id AS length, page_id AS index_pos,
   CASE page_id % 5 WHEN 0 THEN 'CC-MAIN-2018-43' WHEN 1 THEN 'CC-MAIN-2019-09' WHEN 2 THEN 'CC-MAIN-2024-10'
@@ -218,4 +226,4 @@ def ctes(*names: str) -> str:
     for name in names:
         ordered += [n for n in (*USES.get(name, []), name) if n not in ordered]
     words = {t: t for t in (*BASE_TABLES, *VIEWS)} | DUCKDB_WORDS
-    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n].format(**words)})" for n in ordered)
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({VIEWS[n].format(**words)})" for n in ordered)
