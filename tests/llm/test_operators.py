@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from broadsheet.llm import counting, decontaminate, jaccard, langid, licenses, lm, packing, reputation, spotjoin, spotsigs, tool_calls, toxicity, vocabularies
+from broadsheet.llm import common, counting, decontaminate, jaccard, langid, licenses, lm, packing, reputation, spotjoin, spotsigs, tool_calls, toxicity, vocabularies
 from broadsheet.llm.queries import PHRASES, QUERIES, URL_RULES
 from broadsheet.llm.reputation import judge_urls
 
@@ -519,6 +519,47 @@ def test_reversed_chains_and_long_arguments(spark):
     assert [r.call_id for r in got] == [f"c{i}" for i in range(n - 1, -1, -1)] and len(got[n - 4].record) > 200_000
 
 
+def plain_keys(calls):
+    """Keys and cyclic calls by plain search; calls: id -> (seq, needs)."""
+    needs = {c: [n for n in wanted if n in calls] for c, (_, wanted) in calls.items()}
+    settled = set()
+    while more := {c for c in calls if c not in settled and settled.issuperset(needs[c])}:
+        settled |= more
+    keys = {c: (calls[c][0], 0) for c in calls}
+    for _ in calls:
+        for c in settled:
+            for n in needs[c]:
+                if keys[c] <= keys[n]:
+                    keys[c] = (keys[n][0], keys[n][1] + 1)
+    return keys, set(calls) - settled
+
+
+def test_order_against_plain_search(spark, monkeypatch):
+    rng = random.Random(5)
+    talks = {1: {f"c{i}": (i, [f"c{(i + 1) % 40}"]) for i in range(40)},  # one cycle
+             2: {f"c{i}": (i, [f"c{i + 1}"]) for i in range(60)},  # a reversed chain
+             3: {f"c{i}": (i, ["c50"] if i < 50 else []) for i in range(51)}}  # all wait for one
+    for conv in range(4, 30):
+        n, loops = rng.randint(1, 14), conv % 3 == 0
+        rank = rng.sample(range(n), n)
+        talks[conv] = {f"c{i}": (rng.randrange(n) if conv % 2 else i, [f"c{j}" for j in range(n) if rng.random() < 0.25 and (loops or rank[j] < rank[i])])
+                       for i in range(n)}
+    calls = spark.createDataFrame([(t, c, seq, needs) for t, talk in talks.items() for c, (seq, needs) in talk.items()],
+                                  "conv_id long, call_id string, seq long, depends_on array<string>")
+    passes = []
+    monkeypatch.setattr(tool_calls, "stored", lambda df, name: passes.append(name) or common.stored(df, name))
+    keys = tool_calls.order_keys(calls)
+    assert len(passes) < 60
+    got = collections.defaultdict(dict)
+    for r in tool_calls.numbered(keys, ["place", "step", "call_id"]).collect():
+        got[r.conv_id][r.call_id] = r
+    for t, talk in talks.items():
+        want, cyclic = plain_keys(talk)
+        assert {c for c, r in got[t].items() if r.cycle} == cyclic
+        assert {c: (r.place, r.step) for c, r in got[t].items()} == want
+        assert [got[t][c].position for c in sorted(talk, key=lambda c: (*want[c], c))] == list(range(len(talk)))
+
+
 def test_pipeline_stages_take_odd_empty_and_clashing_rows(spark, odd, none):
     for frame in (odd, none):
         for _, stage in corpus_pipeline.STAGES[:-1]:
