@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable
+from dataclasses import dataclass
 from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
@@ -155,11 +156,39 @@ CSV_MISSING = (
 # --- end of fixed values ----------------------------------------------------
 
 
+@dataclass(frozen=True)
+class Study:
+    """Who rated the articles: people, named by their place in the survey, and models.
+
+    Names are lower-case letters and digits, since they begin column names.
+    """
+
+    humans: tuple[str, ...] = HUMANS
+    models: tuple[str, ...] = MODELS
+
+    def __post_init__(self) -> None:
+        reserved = {"variable", "n", "value", "art"}
+        bad = [r for r in self.raters if not re.fullmatch("[a-z][a-z0-9]*", r) or r in reserved]
+        if bad or len(set(self.raters)) < len(self.raters):
+            raise ValueError(f"raters need distinct names of lower-case letters and digits: {bad or self.raters}")
+
+    @property
+    def raters(self) -> tuple[str, ...]:
+        return (*self.humans, *self.models)
+
+    def column(self, rater: str, variable: str) -> str:
+        """Column of the ratings table; models name the crime label just ``crime``."""
+        if rater in self.models and variable == "crime_label":
+            return f"{rater}_crime"
+        return f"{rater}_{variable}"
+
+
+STUDY = Study()
+
+
 def rating_column(rater: str, variable: str) -> str:
-    """Column of the ratings table; models name the crime label just ``crime``."""
-    if rater in MODELS and variable == "crime_label":
-        return f"{rater}_crime"
-    return f"{rater}_{variable}"
+    """`Study.column` of the study at hand."""
+    return STUDY.column(rater, variable)
 
 
 def parse_years(years: str) -> list[int]:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from broadsheet.dims import BINARY_VARIABLES, CSV_MISSING, MODELS
+from broadsheet.dims import BINARY_VARIABLES, CSV_MISSING, STUDY, Study
 from broadsheet.functions.text import strip
 
 # Answers and how they are read.
@@ -113,9 +113,9 @@ def normalise_by_variable(variable: Column, value: Column) -> Column:
     )
 
 
-def model_column_normaliser(column: str):
+def model_column_normaliser(column: str, study: Study = STUDY):
     """Normaliser for a model's column, chosen by name; None leaves it as it is."""
-    if column.split("_")[0] not in MODELS:
+    if column.split("_")[0] not in study.models:
         return None
     if any(v in column for v in BINARY_VARIABLES):
         return norm_yes_no

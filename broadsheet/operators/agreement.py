@@ -1,7 +1,7 @@
 """Inter-rater agreement from counted answer patterns.
 
 Every article is one wide row, so its raters meet within the row. The five
-answers to a variable form a pattern; patterns are counted first, in the map
+answers to a variable, one per rater, form a pattern; patterns are counted first, in the map
 tasks, and all that follows works on those few rows: normalising raw answers,
 forming pairs, and the sums behind kappa and alpha.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadsheet.dims import (
-    BINARY_VARIABLES, HUMANS, MODELS, RATERS, VARIABLES, constant_table, rating_column,
+    BINARY_VARIABLES, STUDY, VARIABLES, Study, constant_table,
 )
 from broadsheet.functions.labels import normalise_by_variable
 from broadsheet.functions.text import compute_once, stacked
@@ -27,72 +27,78 @@ KAPPA, ALPHA = "cohens_kappa", "krippendorff_alpha"
 
 
 def _pairs_of(
-    ratings: DataFrame, variables: Iterable[str] = VARIABLES
+    ratings: DataFrame, variables: Iterable[str] = VARIABLES, study: Study = STUDY
 ) -> list[tuple[str, str, str]]:
     """(variable, rater, rater) for which both columns are there, in rater order."""
     return [
         (v, a, b)
         for v in variables
-        for a, b in combinations(RATERS, 2)
-        if {rating_column(a, v), rating_column(b, v)} <= set(ratings.columns)
+        for a, b in combinations(study.raters, 2)
+        if {study.column(a, v), study.column(b, v)} <= set(ratings.columns)
     ]
 
 
-def _by_variable(ratings: DataFrame, variables: Iterable[str], *keep: str) -> DataFrame:
+def _raters_of(answers: DataFrame) -> list[str]:
+    """Columns that hold answers: one per rater, in rater order."""
+    return [c for c in answers.columns if c not in ("art_num", "variable", "n")]
+
+
+def _by_variable(ratings: DataFrame, variables: Iterable[str], study: Study, *keep: str) -> DataFrame:
     """One row per article and variable, one column per rater."""
 
     def answer(rater: str, variable: str) -> str:
-        column = rating_column(rater, variable)
+        column = study.column(rater, variable)
         return column if column in ratings.columns else "CAST(NULL AS STRING)"
 
-    cells = [f"'{v}', " + ", ".join(answer(r, v) for r in RATERS) for v in variables]
-    return ratings.select(*keep, stacked(cells, ["variable", *RATERS]))
+    cells = [f"'{v}', " + ", ".join(answer(r, v) for r in study.raters) for v in variables]
+    return ratings.select(*keep, stacked(cells, ["variable", *study.raters]))
 
 
 def _pairs_within(answers: DataFrame, keep: str) -> DataFrame:
     """Every pair of raters within each row of answers, with both values."""
-    cells = [f"'{a}', '{b}', {a}, {b}" for a, b in combinations(RATERS, 2)]
+    cells = [f"'{a}', '{b}', {a}, {b}" for a, b in combinations(_raters_of(answers), 2)]
     names = ["rater_1", "rater_2", "value_1", "value_2"]
     return answers.select(keep, "variable", stacked(cells, names))
 
 
-def rater_pairs(ratings: DataFrame, variables: Iterable[str] = VARIABLES) -> DataFrame:
-    """``art_num``, the pair and both values, for all pairs of the five raters."""
+def rater_pairs(ratings: DataFrame, variables: Iterable[str] = VARIABLES, study: Study = STUDY) -> DataFrame:
+    """``art_num``, the pair and both values, for all pairs of raters."""
     variables = list(variables)
-    pairs = _pairs_within(_by_variable(ratings, variables, "art_num"), "art_num")
-    if len(_pairs_of(ratings, variables)) < len(variables) * len(list(combinations(RATERS, 2))):
-        pairs = pairs.join(F.broadcast(_all_pairs(ratings, variables)), PAIR, "left_semi")  # at most 70 rows
+    pairs = _pairs_within(_by_variable(ratings, variables, study, "art_num"), "art_num")
+    if len(_pairs_of(ratings, variables, study)) < len(variables) * len(list(combinations(study.raters, 2))):
+        pairs = pairs.join(F.broadcast(_all_pairs(ratings, variables, study)), PAIR, "left_semi")  # constants: 70 rows for five raters
     return pairs.select("art_num", *PAIR, "value_1", "value_2")
 
 
 def rating_patterns(
-    ratings: DataFrame, variables: Iterable[str] = VARIABLES, raw: bool = False
+    ratings: DataFrame, variables: Iterable[str] = VARIABLES, raw: bool = False, study: Study = STUDY
 ) -> DataFrame:
     """``variable``, one column per rater, and the number of articles ``n``.
 
     With ``raw``, the answers are normalised here, once per distinct pattern.
     """
     patterns = (
-        _by_variable(ratings, variables)
-        .groupBy("variable", *RATERS)
+        _by_variable(ratings, variables, study)
+        .groupBy("variable", *study.raters)
         .agg(F.count(F.lit(1)).alias("n"))
     )
     if not raw:
         return patterns
     answers = F.transform(
-        F.array(*RATERS), lambda a: normalise_by_variable(F.col("variable"), a)
+        F.array(*study.raters), lambda a: normalise_by_variable(F.col("variable"), a)
     )
-    normal = compute_once(patterns.select("variable", "n", *RATERS), answers=answers)
+    normal = compute_once(patterns.select("variable", "n", *study.raters), answers=answers)
     return (
-        normal.groupBy("variable", *(F.get("answers", F.lit(i)).alias(r) for i, r in enumerate(RATERS)))
+        normal.groupBy("variable", *(F.get("answers", F.lit(i)).alias(r) for i, r in enumerate(study.raters)))
         .agg(F.sum("n").alias("n"))
     )
 
 
 def merge_patterns(*tables: DataFrame) -> DataFrame:
     """Patterns of several sets of articles, counted together; patterns without articles are left out."""
-    every = reduce(DataFrame.unionByName, (t.select("variable", *RATERS, "n") for t in tables))
-    return every.groupBy("variable", *RATERS).agg(F.sum("n").alias("n")).where("n <> 0")
+    raters = _raters_of(tables[0])
+    every = reduce(DataFrame.unionByName, (t.select("variable", *raters, "n") for t in tables))
+    return every.groupBy("variable", *raters).agg(F.sum("n").alias("n")).where("n <> 0")
 
 
 def retracted(patterns: DataFrame) -> DataFrame:
@@ -114,26 +120,26 @@ def confusion(patterns: DataFrame) -> DataFrame:
     )
 
 
-def _all_pairs(ratings: DataFrame, variables: Iterable[str] = VARIABLES) -> DataFrame:
-    """The pairs to report, at most 70 rows."""
-    return constant_table(ratings.sparkSession, ", ".join(PAIR), _pairs_of(ratings, variables))
+def _all_pairs(ratings: DataFrame, variables: Iterable[str] = VARIABLES, study: Study = STUDY) -> DataFrame:
+    """The pairs to report, a constant table: 70 rows for five raters."""
+    return constant_table(ratings.sparkSession, ", ".join(PAIR), _pairs_of(ratings, variables, study))
 
 
-def pair_valid_n(ratings: DataFrame, raw: bool = False) -> DataFrame:
+def pair_valid_n(ratings: DataFrame, raw: bool = False, study: Study = STUDY) -> DataFrame:
     """Articles per pair that both raters answered."""
     counts = (
-        _pairs_within(rating_patterns(ratings, raw=raw), "n")
+        _pairs_within(rating_patterns(ratings, raw=raw, study=study), "n")
         .groupBy(*PAIR)
         .agg(F.sum(F.when(_both_given(), F.col("n")).otherwise(0)).alias("n"))
     )
-    return _all_pairs(ratings).join(F.broadcast(counts), PAIR, "left").select(
+    return _all_pairs(ratings, study=study).join(F.broadcast(counts), PAIR, "left").select(
         *PAIR, F.coalesce("n", F.lit(0)).alias("n")
     )
 
 
-def coincidence_matrix(ratings: DataFrame, raw: bool = False) -> DataFrame:
+def coincidence_matrix(ratings: DataFrame, raw: bool = False, study: Study = STUDY) -> DataFrame:
     """Ordered value pair counts over all raters; symmetric."""
-    counts = confusion(rating_patterns(ratings, raw=raw))
+    counts = confusion(rating_patterns(ratings, raw=raw, study=study))
     value_1, value_2, n = F.col("value_1"), F.col("value_2"), F.col("n")
     both_orders = F.array(
         F.struct(value_1.alias("value_1"), value_2.alias("value_2"), n.alias("n")),
@@ -179,10 +185,10 @@ def _pair_alpha() -> Column:
     return 1 - F.try_divide(1 - F.col("same") / n, 1 - F.col("pooled") / (4 * n * n))
 
 
-def cohen_kappa(ratings: DataFrame, raw: bool = False) -> DataFrame:
+def cohen_kappa(ratings: DataFrame, raw: bool = False, study: Study = STUDY) -> DataFrame:
     """Unweighted kappa per pair for the binary variables; null below two articles
     or when only one answer occurs."""
-    return cohen_kappa_of(rating_patterns(ratings, BINARY_VARIABLES, raw))
+    return cohen_kappa_of(rating_patterns(ratings, BINARY_VARIABLES, raw, study))
 
 
 def cohen_kappa_of(patterns: DataFrame) -> DataFrame:
@@ -191,19 +197,19 @@ def cohen_kappa_of(patterns: DataFrame) -> DataFrame:
     return sums.select(*PAIR, _kappa().alias("value"), F.col("n").cast("bigint").alias("n"))
 
 
-def nominal_alpha(ratings: DataFrame, raw: bool = False) -> DataFrame:
+def nominal_alpha(ratings: DataFrame, raw: bool = False, study: Study = STUDY) -> DataFrame:
     """Alpha per variable over all its raters, without small-sample terms.
 
     For an article with m answers, of which c agree with a given one, that
     answer adds m - 1 to the pairs and to its value's marginal, and c - 1 to the
     pairs that agree. Articles with one answer add nothing.
     """
-    return nominal_alpha_of(rating_patterns(ratings, raw=raw))
+    return nominal_alpha_of(rating_patterns(ratings, raw=raw, study=study))
 
 
 def nominal_alpha_of(patterns: DataFrame) -> DataFrame:
     """`nominal_alpha` from counted patterns."""
-    votes, n = [F.col(r) for r in RATERS], F.col("n")
+    votes, n = [F.col(r) for r in _raters_of(patterns)], F.col("n")
     given = sum((v.isNotNull().cast("int") for v in votes), F.lit(0))
     cells = [
         F.struct(
@@ -234,21 +240,21 @@ def _same(a: Column, b: Column) -> Column:
     return F.coalesce(a == b, F.lit(False)).cast("int")
 
 
-def irr_table(ratings: DataFrame, digits: int | None = 3, raw: bool = False) -> DataFrame:
+def irr_table(ratings: DataFrame, digits: int | None = 3, raw: bool = False, study: Study = STUDY) -> DataFrame:
     """Kappa (binary) or alpha (nominal) for every variable and pair of raters."""
-    return irr_table_of(rating_patterns(ratings, raw=raw), _all_pairs(ratings), digits)
+    return irr_table_of(rating_patterns(ratings, raw=raw, study=study), _all_pairs(ratings, study=study), digits)
 
 
 def irr_table_of(patterns: DataFrame, pairs: DataFrame | None = None, digits: int | None = 3) -> DataFrame:
     """`irr_table` from counted patterns, for the given pairs; for all by default."""
     if pairs is None:
-        every = [(v, a, b) for v in VARIABLES for a, b in combinations(RATERS, 2)]
+        every = [(v, a, b) for v in VARIABLES for a, b in combinations(_raters_of(patterns), 2)]
         pairs = constant_table(patterns.sparkSession, ", ".join(PAIR), every)
     is_binary = F.col("variable").isin(*BINARY_VARIABLES)
     value = F.when(is_binary, _kappa()).otherwise(_pair_alpha())
     sums = _pair_sums(confusion(patterns)).select(*PAIR, value.alias("value"), "n")
     rounded = F.col("value") if digits is None else F.bround("value", digits)
-    return pairs.join(F.broadcast(sums), PAIR, "left").select(  # at most 70 rows
+    return pairs.join(F.broadcast(sums), PAIR, "left").select(  # constants: 70 rows for five raters
         *PAIR,
         F.when(is_binary, KAPPA).otherwise(ALPHA).alias("metric"),
         rounded.alias("value"),
@@ -262,25 +268,24 @@ def variable_labels(df: DataFrame) -> DataFrame:
     return df.withColumn("variable", F.try_element_at(titles, F.col("variable")))
 
 
-def irr_human_only(irr: DataFrame) -> DataFrame:
-    first, second = HUMANS
+def irr_human_only(irr: DataFrame, study: Study = STUDY) -> DataFrame:
     return variable_labels(
-        irr.where((F.col("rater_1") == first) & (F.col("rater_2") == second))
+        irr.where(F.col("rater_1").isin(*study.humans) & F.col("rater_2").isin(*study.humans))
     )
 
 
-def irr_human_vs_model(irr: DataFrame) -> DataFrame:
+def irr_human_vs_model(irr: DataFrame, study: Study = STUDY) -> DataFrame:
     return variable_labels(
-        irr.where(F.col("rater_1").isin(*HUMANS) & F.col("rater_2").isin(*MODELS))
+        irr.where(F.col("rater_1").isin(*study.humans) & F.col("rater_2").isin(*study.models))
     )
 
 
-def label_disagreements(ratings: DataFrame) -> DataFrame:
+def label_disagreements(ratings: DataFrame, study: Study = STUDY) -> DataFrame:
     """Articles whose raters do not agree on the crime label."""
     columns = {
-        r: rating_column(r, "crime_label")
-        for r in RATERS
-        if rating_column(r, "crime_label") in ratings.columns
+        r: study.column(r, "crime_label")
+        for r in study.raters
+        if study.column(r, "crime_label") in ratings.columns
     }
     labels = ratings.select("art_num", *(F.col(c).alias(r) for r, c in columns.items()))
     agreed = labels.withColumn("all_agree", all_agree(*map(F.col, columns)))

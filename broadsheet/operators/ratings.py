@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.dims import (
-    HUMANS, MODELS, RATERS, SURVEY_FIRST_ANSWER, SURVEY_QUESTIONS, VARIABLES, rating_column,
+    SURVEY_FIRST_ANSWER, SURVEY_QUESTIONS, STUDY, VARIABLES, Study,
 )
 from broadsheet.functions.labels import model_column_normaliser, normaliser_for
 from broadsheet.functions.text import compute_once, stacked
@@ -22,8 +22,8 @@ def _named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def model_columns(df: DataFrame) -> list[str]:
-    return [c for c in df.columns if c.split("_")[0] in MODELS and "_" in c]
+def model_columns(df: DataFrame, study: Study = STUDY) -> list[str]:
+    return [c for c in df.columns if c.split("_")[0] in study.models and "_" in c]
 
 
 def first_non_null(
@@ -42,20 +42,20 @@ def first_non_null(
     return placed.groupBy(*map(_named, keys)).agg(*firsts)
 
 
-def model_ratings(people: DataFrame, position: Column) -> DataFrame:
+def model_ratings(people: DataFrame, position: Column, study: Study = STUDY) -> DataFrame:
     """One normalised row per article from one row per person."""
-    columns = model_columns(people)
+    columns = model_columns(people, study)
     first = first_non_null(people, ["art_num"], columns, position)
     return first.select(
         "art_num",
         *(
-            (model_column_normaliser(c) or (lambda v: v))(_named(c)).alias(c)
+            (model_column_normaliser(c, study) or (lambda v: v))(_named(c)).alias(c)
             for c in columns
         ),
     )
 
 
-def normalise_ratings(ratings: DataFrame, variables: Iterable[str] = VARIABLES) -> DataFrame:
+def normalise_ratings(ratings: DataFrame, variables: Iterable[str] = VARIABLES, study: Study = STUDY) -> DataFrame:
     """Apply to every rating column of the variables its normaliser.
 
     The columns of a variable are normalised as one array: the expression is
@@ -64,7 +64,7 @@ def normalise_ratings(ratings: DataFrame, variables: Iterable[str] = VARIABLES)
     """
     places, arrays = {}, {}
     for v in variables:
-        columns = [c for c in (rating_column(r, v) for r in RATERS) if c in ratings.columns]
+        columns = [c for c in (study.column(r, v) for r in study.raters) if c in ratings.columns]
         if columns:
             places |= {c: F.get(f"_{v}", F.lit(i)).alias(c) for i, c in enumerate(columns)}
             arrays[f"_{v}"] = F.transform(F.array(*columns), normaliser_for(v))
@@ -87,7 +87,7 @@ def answered_rows(survey: DataFrame) -> DataFrame:
     return survey.where(first.isNotNull() & ~F.startswith(first, F.lit("{")))
 
 
-def survey_respondents(survey: DataFrame, position: str = "row_pos") -> DataFrame:
+def survey_respondents(survey: DataFrame, position: str = "row_pos", study: Study = STUDY) -> DataFrame:
     """Answered rows, named after the human raters by position.
 
     There is one row per human rater; more are an error. The test is a filter over the
@@ -95,10 +95,10 @@ def survey_respondents(survey: DataFrame, position: str = "row_pos") -> DataFram
     """
     answered = answered_rows(survey)
     count = answered.agg(F.count("*").alias("_respondents"))  # one row
-    fits = F.when(F.col("_respondents") <= len(HUMANS), True).otherwise(
+    fits = F.when(F.col("_respondents") <= len(study.humans), True).otherwise(
         F.raise_error(F.lit("more survey rows than raters")).cast("boolean"))
     checked = answered.join(F.broadcast(count), how="cross").where(fits).drop("_respondents")
-    names = F.array(*(F.lit(h.capitalize()) for h in HUMANS))
+    names = F.array(*(F.lit(h.capitalize()) for h in study.humans))
     number = F.row_number().over(Window.orderBy(position))
     return checked.withColumn("rater", F.get(names, number - 1)).drop(position)
 
@@ -115,7 +115,7 @@ def survey_unpivot(survey: DataFrame, ids: tuple[str, ...] = ("rater",)) -> Data
     return spread.select(*map(_named, ids), F.get(names, F.col("_at")).alias("col"), "value")
 
 
-def survey_answers(cells: DataFrame) -> DataFrame:
+def survey_answers(cells: DataFrame, study: Study = STUDY) -> DataFrame:
     """Cells of survey exports to long ``(file_pos, rater, col, value)``, whatever their width.
 
     The long form of `survey_respondents` and `survey_unpivot`: rows are kept by their
@@ -124,9 +124,9 @@ def survey_answers(cells: DataFrame) -> DataFrame:
     first = cells.where(F.col("col") == SURVEY_FIRST_ANSWER).where("value IS NOT NULL AND NOT startswith(value, '{')")
     in_file = Window.partitionBy("file_pos")
     counted = first.select("file_pos", "row_pos", F.count("*").over(in_file).alias("_respondents"))
-    fits = F.when(F.col("_respondents") <= len(HUMANS), True).otherwise(
+    fits = F.when(F.col("_respondents") <= len(study.humans), True).otherwise(
         F.raise_error(F.lit("more survey rows than raters")).cast("boolean"))
-    names = F.array(*(F.lit(h.capitalize()) for h in HUMANS))
+    names = F.array(*(F.lit(h.capitalize()) for h in study.humans))
     number = F.row_number().over(in_file.orderBy("row_pos"))
     raters = counted.where(fits).select("file_pos", "row_pos", F.get(names, number - 1).alias("rater"))
     answers = cells.where(F.col("col").rlike("^" + _ANSWER_COLUMN.pattern)).drop("file_pos")
@@ -172,15 +172,15 @@ def survey_question_map(sheets: DataFrame) -> DataFrame:
     return sheets.select("rater", "art_num", *out)
 
 
-def human_pair(sheets: DataFrame, raters: tuple[str, str] = HUMANS) -> DataFrame:
-    """One row per article coded by both humans, columns ``<rater>_<variable>``.
+def human_pair(sheets: DataFrame, raters: tuple[str, ...] = STUDY.humans) -> DataFrame:
+    """One row per article coded by all humans, columns ``<rater>_<variable>``.
 
     One grouping instead of a self-join: sheets are unique per rater and article.
     """
     variables = [v for v in VARIABLES if v in sheets.columns]
     who = F.lower("rater")
     values = [
-        F.max(F.when(who == r, F.col(v))).alias(rating_column(r, v))
+        F.max(F.when(who == r, F.col(v))).alias(f"{r}_{v}")
         for r in raters
         for v in variables
     ]
@@ -191,17 +191,17 @@ def human_pair(sheets: DataFrame, raters: tuple[str, str] = HUMANS) -> DataFrame
     return both
 
 
-def human_ratings(survey: DataFrame) -> DataFrame:
-    """Survey export, as a wide sheet or as cells, to one row per article coded by both humans."""
+def human_ratings(survey: DataFrame, study: Study = STUDY) -> DataFrame:
+    """Survey export, as a wide sheet or as cells, to one row per article coded by all humans."""
     if {"file_pos", "row_pos", "col", "value"} <= set(survey.columns):
-        answers = survey_key_parse(survey_answers(survey))
+        answers = survey_key_parse(survey_answers(survey, study))
         names = (F.regexp_replace("col", _ARTICLE_PREFIX.pattern, "")).alias("question")
         asked = survey.where(F.col("col").rlike("^" + _ANSWER_COLUMN.pattern)).select(names).distinct()
         questions = sorted(r.question for r in asked.collect())  # a few: articles share their questions
     else:
-        answers = survey_key_parse(survey_unpivot(survey_respondents(survey)))
+        answers = survey_key_parse(survey_unpivot(survey_respondents(survey, study=study)))
         questions = survey_questions(survey)
-    return human_pair(survey_question_map(survey_pivot(answers, questions)))
+    return human_pair(survey_question_map(survey_pivot(answers, questions)), study.humans)
 
 
 def model_human_merge(models: DataFrame, humans: DataFrame) -> DataFrame:
@@ -209,23 +209,23 @@ def model_human_merge(models: DataFrame, humans: DataFrame) -> DataFrame:
     return models.join(humans, "art_num")
 
 
-def ratings_wide_to_long(ratings: DataFrame) -> DataFrame:
+def ratings_wide_to_long(ratings: DataFrame, study: Study = STUDY) -> DataFrame:
     """``(art_num, variable, rater, value)`` for every rating column present."""
     cells = [
-        f"'{v}', '{r}', {rating_column(r, v)}"
+        f"'{v}', '{r}', {study.column(r, v)}"
         for v in VARIABLES
-        for r in RATERS
-        if rating_column(r, v) in ratings.columns
+        for r in study.raters
+        if study.column(r, v) in ratings.columns
     ]
     return ratings.select("art_num", stacked(cells, ["variable", "rater", "value"]))
 
 
-def with_model_majority(ratings: DataFrame) -> DataFrame:
+def with_model_majority(ratings: DataFrame, study: Study = STUDY) -> DataFrame:
     """Add ``<variable>_llm_majority`` where at least two models rated the variable."""
 
     def add(df: DataFrame, variable: str) -> DataFrame:
         columns = [
-            c for c in (rating_column(m, variable) for m in MODELS) if c in ratings.columns
+            c for c in (study.column(m, variable) for m in study.models) if c in ratings.columns
         ]
         if len(columns) < 2:
             return df

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadsheet.dims import (
-    HIST_BINS, IDEOLOGY_SIGNS, MODELS, RACES, ROLES, VALID_STATES, ideology_bins, race_grid,
+    HIST_BINS, IDEOLOGY_SIGNS, RACES, ROLES, STUDY, VALID_STATES, Study, ideology_bins, race_grid,
     state_population, state_regions,
 )
 from broadsheet.functions.labels import (
@@ -144,7 +144,7 @@ def people_with_population(people: DataFrame) -> DataFrame:
     return people.join(F.broadcast(state_population(people.sparkSession)), "state")  # 51 rows
 
 
-def race_votes_by_source(people: DataFrame, sources: DataFrame, prepare, decide) -> DataFrame:
+def race_votes_by_source(people: DataFrame, sources: DataFrame, prepare, decide, study: Study = STUDY) -> DataFrame:
     """People counted per leaning source, role and voted race, joined to the source.
 
     Raw answers repeat a great deal, so people with the same answers are counted
@@ -156,24 +156,25 @@ def race_votes_by_source(people: DataFrame, sources: DataFrame, prepare, decide)
         column = f"{model}_{role}_race"
         return column if column in people.columns else "CAST(NULL AS STRING)"
 
-    cells = [f"'{role}', " + ", ".join(answer(m, role) for m in MODELS) for role in ROLES]
+    models = study.models
+    cells = [f"'{role}', " + ", ".join(answer(m, role) for m in models) for role in ROLES]
     hosts = compute_once(people, _host=url_netloc_nowww(F.col("url")))  # not once per role
     answers = hosts.select(
-        F.col("_host").alias("url_norm"), stacked(cells, ["role", *MODELS])
+        F.col("_host").alias("url_norm"), stacked(cells, ["role", *models])
     )
-    counts = answers.groupBy("url_norm", "role", *MODELS).agg(F.count(F.lit(1)).alias("n"))
-    prepared = compute_once(counts, **{f"_{m}": prepare(F.col(m)) for m in MODELS})
+    counts = answers.groupBy("url_norm", "role", *models).agg(F.count(F.lit(1)).alias("n"))
+    prepared = compute_once(counts, **{f"_{m}": prepare(F.col(m)) for m in models})
     votes = prepared.select(
-        "url_norm", "role", "n", decide(*(F.col(f"_{m}") for m in MODELS)).alias("race")
+        "url_norm", "role", "n", decide(*(F.col(f"_{m}") for m in models)).alias("race")
     )
     voted = votes.where(F.col("race").isNotNull())
     return voted.join(_signed_sources(sources), "url_norm")
 
 
-def race_counts(people: DataFrame, sources: DataFrame) -> DataFrame:
+def race_counts(people: DataFrame, sources: DataFrame, study: Study = STUDY) -> DataFrame:
     """People per role, race and ideology; each answer is normalised, then voted on."""
     return (
-        race_votes_by_source(people, sources, norm_race_counts, majority_unique)
+        race_votes_by_source(people, sources, norm_race_counts, majority_unique, study)
         .groupBy("role", "race", F.col("ideology_label").alias("ideology"))
         .agg(F.sum("n").alias("count"))
     )
@@ -204,7 +205,7 @@ def race_share(rollup: DataFrame) -> DataFrame:
     )
 
 
-def race_oe(people: DataFrame, sources: DataFrame) -> DataFrame:
+def race_oe(people: DataFrame, sources: DataFrame, study: Study = STUDY) -> DataFrame:
     """Observed and expected counts for all 12 cells of ideology, role and race.
 
     Answers are voted on first and normalised after. Expected is the sum of the
@@ -212,7 +213,7 @@ def race_oe(people: DataFrame, sources: DataFrame) -> DataFrame:
     """
     voted = people_with_population(
         race_votes_by_source(
-            people, sources, race_vote_raw, lambda *votes: race_class_oe(majority_unique(*votes))
+            people, sources, race_vote_raw, lambda *votes: race_class_oe(majority_unique(*votes)), study
         )
     )
     n = F.col("n")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from broadsheet.dims import STUDY, Study
 from broadsheet.operators.series import (
     ideology_bin_counts, ideology_hist, ideology_mean_median, ideology_scores, race_counts,
     race_oe, race_rollup_all, race_share, region_counts, state_counts, with_oe_ratio_ci,
@@ -32,6 +33,7 @@ def run_figures(
     people_path: str,
     out: str,
     multi_line: bool = True,
+    study: Study = STUDY,
 ) -> list[str]:
     """Write every series under ``out``; return their names.
 
@@ -42,10 +44,10 @@ def run_figures(
     people = read_people(spark, people_path, multi_line)
     metadata = read_curated_metadata(spark, metadata_path, multi_line)
     series = article_series(metadata, sources)
-    write_race_counts(race_counts(people, sources), f"{out}/race_counts.csv")
+    write_race_counts(race_counts(people, sources, study), f"{out}/race_counts.csv")
     counts = read_race_counts(spark, f"{out}/race_counts.csv")
     series["race_shares"] = race_share(race_rollup_all(counts))
-    series["race_representation"] = with_oe_ratio_ci(race_oe(people, sources))
+    series["race_representation"] = with_oe_ratio_ci(race_oe(people, sources, study))
     for name, df in series.items():
         write_series(df, f"{out}/{name}.csv")
     return sorted(series)

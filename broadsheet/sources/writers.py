@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from broadsheet.dims import STUDY, Study
 from broadsheet.functions.urls import url_host
 from broadsheet.operators.agreement import irr_human_only, irr_human_vs_model
 from broadsheet.sources.readers import BLOCK_FIELDS
@@ -79,10 +80,10 @@ def write_curated_metadata(curated: DataFrame, path: str, mode: str = "overwrite
     _write_csv(curated_metadata(curated), path, mode)
 
 
-def write_irr_tables(irr: DataFrame, disagreements: DataFrame, folder: str) -> None:
+def write_irr_tables(irr: DataFrame, disagreements: DataFrame, folder: str, study: Study = STUDY) -> None:
     """Human pairs, human-model pairs and the disagreements, one folder each."""
-    _write_csv(irr_human_only(irr), f"{folder}/irr_human_only.csv", "overwrite")
-    _write_csv(irr_human_vs_model(irr), f"{folder}/irr_human_vs_llm.csv", "overwrite")
+    _write_csv(irr_human_only(irr, study), f"{folder}/irr_human_only.csv", "overwrite")
+    _write_csv(irr_human_vs_model(irr, study), f"{folder}/irr_human_vs_llm.csv", "overwrite")
     _write_csv(disagreements, f"{folder}/crime_label_disagreements.csv", "overwrite")
 
 

@@ -4,7 +4,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from broadsheet.dims import CSV_MISSING, MODELS, SURVEY_QUESTIONS, VARIABLES, rating_column
+from broadsheet.dims import CSV_MISSING, MODELS, SURVEY_QUESTIONS, Study, VARIABLES, rating_column
 from broadsheet.operators import ratings
 from broadsheet.plans.agreement import merged_ratings, run_agreement
 from broadsheet.plans.collect import run_collect
@@ -149,6 +149,34 @@ def test_run_agreement(spark, tmp_path):
     assert read("crime_label_disagreements").columns == ["art_num", "eleanor", "sarah", "gpt", "llama", "qwen", "all_agree"]
 
 
+def test_agreement_of_another_study(spark, tmp_path):
+    """Other names give the same numbers; other numbers of raters give their own pairs."""
+    people, survey = people_file(tmp_path / "p.csv"), survey_file(tmp_path / "q.csv")
+    names = dict(zip(("eleanor", "sarah", "gpt", "llama", "qwen"), ("ann", "bob", "alpha", "beta", "m3"), strict=True))
+    text = (tmp_path / "p.csv").read_text()
+    for old in MODELS:
+        text = text.replace(f"{old}_", f"{names[old]}_")
+    (tmp_path / "p2.csv").write_text(text)
+    want = run_agreement(spark, people, survey, str(tmp_path / "a")).collect()
+    study = Study(("ann", "bob"), ("alpha", "beta", "m3"))
+    got = run_agreement(spark, str(tmp_path / "p2.csv"), survey, str(tmp_path / "b"), study=study).collect()
+    rows = lambda irr, name: sorted((r.variable, name(r.rater_1), name(r.rater_2), r.metric, r.value, r.n) for r in irr)
+    assert rows(got, str) == rows(want, names.get)
+    disagreed = spark.read.csv(str(tmp_path / "b" / "crime_label_disagreements.csv"), header=True)
+    assert disagreed.columns == ["art_num", "ann", "bob", "alpha", "beta", "m3", "all_agree"]
+
+    three = Study(("ann", "bob", "cy"), ("alpha",))
+    survey = survey_file(tmp_path / "q3.csv", raters=3)
+    irr = run_agreement(spark, str(tmp_path / "p2.csv"), survey, str(tmp_path / "c"), study=three)
+    assert irr.count() == 7 * 6 and irr.where("rater_2 = 'cy' AND n > 0").count() > 0
+    assert spark.read.csv(str(tmp_path / "c" / "irr_human_only.csv"), header=True).count() == 7 * 3
+    alone = {(r.variable, r.rater_2): r.value for r in irr.where("rater_1 = 'ann'").collect()}
+    assert all(alone[v, "bob"] == {(r.variable, r.rater_1): r.value for r in want if r.rater_2 == "sarah"}[v, "eleanor"] for v in VARIABLES)
+    for bad in (("ann", "ann"), ("Ann",), ("a_b",), ("n",)):
+        with pytest.raises(ValueError, match="distinct names"):
+            Study(bad, ("gpt",))
+
+
 def test_collect_curate_figures(spark, tmp_path):
     sources = write_csv(tmp_path / "sources.csv", ["name", "state", "city", "URL", "ideology"],
                         [["A", "CA", "X", "a.com", "-0.5"], ["B", "TX", "Y", "b.com", "0.5"]])
