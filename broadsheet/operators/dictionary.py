@@ -1,19 +1,26 @@
 """Keyword hits for dictionaries of any size, by a gram index.
 
 `hits_in_lowered` puts its terms into the plan, which suits some hundred of them. Here the
-terms are a table. Of each term one run of GRAM characters, the one that the fewest texts
-hold, is its entry in the index; the runs of the texts meet the index in a join, and terms
-found that way are looked for in the text itself. Shorter terms are entered whole. The
-plan does not depend on the number of terms.
-
-Texts are told apart by a 64-bit hash, so equal texts are looked through once; texts that
-share a hash by chance share candidates only, not hits. A text that holds a run many times
-sends it once. The index is broadcast up to BROADCAST_TERMS terms; a frequent run of a
-larger one is split at run time by Spark's skewed joins.
+terms are a table, and the plan does not depend on their number.
+
+Up to BROADCAST_TERMS terms of BROADCAST_BYTES are broadcast. Each task makes a trie of them
+and follows it from all places of a batch of texts at once, a byte deeper at each step, so
+that a text is read once and no row of it is shuffled.
+
+Of a larger dictionary one run of GRAM characters of each term, the one that the fewest texts
+hold, is its entry in an index; the runs of the texts meet the index in a join, and terms
+found that way are looked for in the text itself. Shorter terms are entered whole. Texts are
+told apart by a 64-bit hash, so equal texts are looked through once; texts that share a hash
+by chance share candidates only, not hits. A text that holds a run many times sends it once.
+A frequent run is split at run time by Spark's skewed joins.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -23,6 +30,7 @@ from broadsheet.storage import stored
 
 GRAM = 5  #: characters of an entry
 BROADCAST_TERMS = 500_000  #: entries of about 50 bytes
+BROADCAST_BYTES = 4_000_000  #: of all terms; a trie has at most a node for each
 
 
 def _runs(text: Column, length: int) -> Column:
@@ -55,21 +63,103 @@ def term_index(terms: DataFrame, texts: DataFrame, lengths: list[int], n_terms:
     return rated.groupBy("term").agg(F.min("entry").alias("entry")).where("entry.held > 0").select("entry.run", "term")
 
 
+def _trie_search(terms: Broadcast, most: int = 1 << 20) -> Callable:
+    """The task that finds the sorted, distinct terms in texts, all as bytes. Workers need not import this package."""
+
+    def search(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import numpy as np
+
+        # Bytes that no term holds, and the ends of texts, are class 0, from which no path goes on.
+        data = np.frombuffer(b"".join(terms.value), np.uint8)
+        used, n_terms = np.unique(data), len(terms.value)
+        classes, width = np.zeros(256, np.int64), len(used) + 1
+        classes[used] = np.arange(1, width)
+        lengths = np.array([len(t) for t in terms.value])
+        starts = np.cumsum(lengths) - lengths
+        # Nodes are numbered level by level, so the edges (node, class) are sorted and edge i leads to node i + 1.
+        node, levels, n_nodes = np.zeros(n_terms, np.int64), [], 1
+        for depth in range(lengths.max()):
+            longer = np.flatnonzero(lengths > depth)
+            edge, place = np.unique(node[longer] * width + classes[data[starts[longer] + depth]], return_inverse=True)
+            node[longer] = n_nodes + place
+            levels.append(edge)
+            n_nodes += len(edge)
+        edges = np.concatenate(levels)
+        term_of = np.full(n_nodes, -1)
+        term_of[node] = np.arange(n_terms)
+        # The upper levels as a table; few paths go deeper in a dictionary that has more.
+        near = np.zeros(min(n_nodes * width, 16 * most), np.int32)
+        in_table = int(np.searchsorted(edges, len(near)))
+        near[edges[:in_table]] = np.arange(1, in_table + 1)
+
+        def following(edge):
+            if not len(edge) or edge.max() < len(near):
+                return near[edge]
+            at = np.minimum(np.searchsorted(edges, edge), len(edges) - 1)
+            return np.where(edges[at] == edge, at + 1, 0)
+
+        def found(data, sizes):
+            """Places text * n_terms + term of all terms in the texts."""
+            n = len(sizes)
+            text = np.repeat(np.arange(n), sizes + 1)
+            inside = np.ones(len(text), bool)
+            inside[np.cumsum(sizes + 1) - 1] = False
+            codes = np.zeros(len(text), np.int64)
+            codes[inside] = classes[data]
+            held = np.zeros(n * n_terms, bool)
+            at, node = np.flatnonzero(codes), 0
+            while len(at):
+                child = following(node * width + codes[at])
+                on = np.flatnonzero(child)
+                at, node = at[on], child[on].astype(np.int64)
+                term = term_of[node]
+                whole = np.flatnonzero(term >= 0)
+                held[text[at[whole]] * n_terms + term[whole]] = True
+                at = at + 1
+            return np.flatnonzero(held)
+
+        known = pa.array(terms.value, pa.binary()).cast(pa.string())
+        for column in columns:
+            column = column.cast(pa.large_binary())
+            bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+            data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+            counts, ids, first = [np.zeros(1, np.int64)], [], 0
+            while first < len(column):
+                # As many texts as have `most` bytes together, one at least, and room for their terms.
+                last = int(np.searchsorted(bounds, bounds[first] + most, "right")) - 1
+                last = max(first + 1, min(last, first + 8 * most // n_terms, len(column)))
+                places = found(data[bounds[first] : bounds[last]], np.diff(bounds[first : last + 1]))
+                counts.append(np.bincount(places // n_terms, minlength=last - first))
+                ids.append(places % n_terms)
+                first = last
+            offsets = pa.array(np.cumsum(np.concatenate(counts)), pa.int32())
+            yield pa.ListArray.from_arrays(offsets, known.take(pa.array(np.concatenate([*ids, np.zeros(0, np.int64)]))))
+
+    return search
+
+
 def with_dictionary_hits(
     articles: DataFrame, terms: DataFrame, text: str = "text", term: str = "term", hits: str = "hits"
 ) -> DataFrame:
     """Add the sorted distinct terms that occur in the text, ignoring case, as `keyword_hits` does.
 
-    Null texts have no hits. The index is written to the shared folder, as it is used with
-    all texts; texts are read twice for it and once for their hits.
+    Null texts have no hits. Dictionaries too large to be broadcast get an index, which is
+    written to the shared folder, as it is used with all texts; texts are read twice for it
+    and once for their hits.
     """
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
     known = stored(dictionary_terms(terms, term), "terms")
-    sizes = known.groupBy(F.least(F.length("term"), F.lit(GRAM)).alias("n")).agg(F.count("*").alias("terms")).collect()  # GRAM rows at most
+    sizes = known.groupBy(F.least(F.length("term"), F.lit(GRAM)).alias("n")).agg(
+        F.count("*").alias("terms"), F.sum(F.octet_length("term")).alias("bytes")).collect()  # GRAM rows at most
     lengths, n_terms = sorted(r.n for r in sizes), sum(r.terms for r in sizes)
     none = F.array().cast("array<string>")
     if not lengths:
         return articles.withColumn(hits, none)
+    if n_terms <= BROADCAST_TERMS and sum(r.bytes for r in sizes) <= BROADCAST_BYTES:
+        shared = articles.sparkSession.sparkContext.broadcast(sorted(bytes(r.term) for r in known.select(F.col("term").cast("binary")).collect()))
+        # Called nondeterministic, so that filters on the hits do not search a second time.
+        search = F.arrow_udf(_trie_search(shared), "array<string>").asNondeterministic()
+        return articles.withColumn(hits, search(low.cast("binary")))
     texts = articles.select(low.alias("_low")).select("_low", F.xxhash64("_low").alias("_text"))
     index = stored(term_index(known, texts, lengths, n_terms), "index")
     found = _join_small(_text_runs(texts, lengths), index, n_terms, "run").groupBy("_text").agg(F.collect_set("term").alias("_terms"))

@@ -30,6 +30,28 @@ def test_hits_equal_a_search_for_every_term(spark, monkeypatch, bound):
     assert sum(map(len, got.values())) > 1000
 
 
+def test_texts_are_searched_where_they_are_read(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    terms = docs.select(F.explode(F.split("text", " ")).alias("term")).limit(3000)
+    found = dictionary.with_dictionary_hits(docs, terms).where(F.size("hits") > 1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Exchange" not in plan and "Generate" not in plan and "Join" not in plan
+
+
+@pytest.mark.parametrize("most", [1, 7, 1 << 20])
+def test_trie_over_several_batches_and_below_its_table(most):
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    terms = sorted({t.encode() for t in [*words(rng, 300), "abcde" * 30, "ab" * 50]})
+    texts = ["".join(words(rng, rng.randint(0, 40))) for _ in range(60)] + ["abcde" * 31, "", "ab" * 49 + "a", "ab" * 51]
+    column = pa.array(["skipped", *texts], pa.binary())
+    search = dictionary._trie_search(type("Shared", (), {"value": terms}), most)
+    got = [hits.to_pylist() for hits in search(iter([column[1:20], column[:0], column[20:]]))]
+    assert [len(g) for g in got] == [19, 0, 45]
+    assert sum(got, []) == [[t.decode() for t in terms if t in text.encode()] for text in texts]
+
+
 def test_agrees_with_the_built_in_lists(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(
         "doc_id", F.concat(F.lit("A Sexual-Assault of the convict -suspects "), "text").alias("text"))
