@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from broadsheet.functions.labels import csv_missing_to_null
 from broadsheet.functions.text import let, strip
 from broadsheet.operators.curation import header_normalise, terms_from_lines
-from broadsheet.sources.records import cells, records
+from broadsheet.sources.records import records, split_cells
+from broadsheet.storage import stored
 
 INDEX_SCHEMA = "url string, filename string, offset string, length string, collection string"
 BLOCK_FIELDS = ("url", "year", "source", "state")
@@ -160,11 +161,18 @@ def read_survey_cells(spark: SparkSession, path: str, multi_line: bool = True) -
     However many columns a sheet has, the plan is the same: cells are split off by position
     and get their names from the cells of their file's header. A folder may hold several
     exports with headers of their own. Question texts under the headers are dropped.
+
+    Whole records meet their header, so no single cell is shuffled. The cells are written to
+    the shared folder, as they are used several times.
     """
-    every = cells(records(spark, path, quoted=multi_line))
-    names = every.where("is_header").select("file_pos", "pos", F.col("cell").alias("col"))
-    answers = every.where("row_pos > file_pos + 1").select("file_pos", "row_pos", "pos", csv_missing_to_null(F.col("cell")).alias("value"))
-    return answers.join(names, ["file_pos", "pos"]).select("file_pos", "row_pos", "pos", "col", "value")
+    every = stored(split_cells(records(spark, path, quoted=multi_line).where("row_pos <> file_pos + 1")), "sheets")
+    names = every.where("is_header").select("file_pos", F.col("cells").alias("names"))
+    rows = every.where("NOT is_header").join(names, "file_pos")
+    # Cells beyond the header have no name and are left out, as are names beyond the cells.
+    common = F.least(F.size("names"), F.size("cells"))
+    pairs = F.arrays_zip(F.slice("names", 1, common).alias("col"), F.slice("cells", 1, common).alias("value"))
+    spread = rows.select("file_pos", "row_pos", F.posexplode(pairs).alias("pos", "cell"))
+    return stored(spread.select("file_pos", "row_pos", "pos", "cell.col", csv_missing_to_null(F.col("cell.value")).alias("value")), "cells")
 
 
 def read_curated_metadata(

@@ -96,6 +96,22 @@ def test_cells_and_wide_sheet_give_the_same_ratings(spark, tmp_path):
     assert {r.rater for r in ratings.survey_answers(one).collect()} == {"Eleanor"} and ratings.human_ratings(one).count() == 0
 
 
+def test_lines_are_scanned_once_for_records_and_exports_once_for_cells(spark, tmp_path):
+    path = survey_csv(tmp_path / "s.csv", 3)
+    plan = records.records(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2  # whole records, and the blocks that share one
+    cells = readers.read_survey_cells(spark, path)
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "Join" not in plan and cells.count() == 4 * 22
+
+
+def test_cells_without_a_name_and_names_without_a_cell(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("a,b,c\nq,q,q\n1\n1,2,3,4\n")
+    (tmp_path / "b.csv").write_text("d\nq\n5,6\n")
+    got = readers.read_survey_cells(spark, str(tmp_path)).orderBy("row_pos", "pos").collect()
+    assert [tuple(r) for r in got] == [(0, 2, 0, "a", "1"), (0, 3, 0, "a", "1"), (0, 3, 1, "b", "2"), (0, 3, 2, "c", "3"), (4, 6, 0, "d", "5")]
+
+
 def test_five_thousand_articles(spark, tmp_path):
     path = survey_csv(tmp_path / "s.csv", 5000)
     start = time.time()
