@@ -53,23 +53,29 @@ def _quotes() -> Callable:
 
 
 def _states(quoted: bool) -> Callable:
-    """The function that gives of some lines of a block whether a quote is open before and after each, and whether it ends a record."""
+    """The function that gives of some lines of a block, for each case, whether a quote is open before and after each, and whether it ends a record."""
     open_after = _quotes()
 
-    def states(value, is_open: bool):
+    def states(value, cases: list):
         import numpy as np
         import pyarrow.compute as pc
 
-        n, now, at = len(value), is_open, 0
-        before = np.zeros(n, bool)
         marked = np.flatnonzero(np.asarray(pc.match_substring(value, '"'))) if quoted else np.zeros(0, int)
-        for i, line in zip(marked.tolist(), value.take(marked).to_pylist()):
-            before[at : i + 1] = now
-            now, at = open_after(line, now), i + 1
-        before[at:] = now
-        after = np.append(before[1:], now)
-        blank = np.asarray(pc.equal(pc.utf8_length(pc.utf8_trim_whitespace(value)), 0))
-        return before, after, ~after & ~(blank & ~before)
+        lines = value.take(marked).to_pylist()
+        blank = np.asarray(pc.utf8_is_space(value)) | (np.asarray(pc.binary_length(value)) == 0)
+        for is_open in cases:
+            # Of the lines with a quote, those after which it is another case.
+            now, turns = is_open, []
+            for i, line in enumerate(lines):
+                then = open_after(line, now)
+                if then != now:
+                    now = then
+                    turns.append(i)
+            flips = np.zeros(len(value), np.int64)
+            flips[marked[turns]] = 1
+            after = (np.cumsum(flips) & 1).astype(bool) ^ is_open
+            before = np.append(is_open, after[:-1])
+            yield before, after, ~after & ~(blank & ~before)
 
     return states
 
@@ -94,8 +100,7 @@ def _block_scanner(quoted: bool) -> Callable:
                 if here != at:
                     here, seq, state, records, length, longest = at, 0, [False, quoted], [0, 0], [0, 0], [0, 0]
                 k = last - first
-                for case in (0, 1):
-                    before, after, ends = states(value[first:last], state[case])
+                for case, (before, after, ends) in enumerate(states(value[first:last], list(state))):
                     shut = np.concatenate([[-1 - length[case]], np.flatnonzero(~before), [k]])
                     longest[case] = max(longest[case], int(np.diff(shut).max()) - 1)
                     length[case] = int(k - 1 - shut[-2])
@@ -141,7 +146,7 @@ def _record_joiner(quoted: bool, parts: bool) -> Callable:
                     headless = is_open
                 k = last - first
                 text = value[first:last]
-                before, after, ends = states(text, is_open)
+                (before, after, ends), = states(text, [is_open])
                 row_pos = number + np.cumsum(ends) - ends
                 single = np.flatnonzero(ends & ~before)
                 if len(single) and not parts:
