@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from broadsheet.llm.bytewords import changes, sorted_places
 from broadsheet.llm.common import shuffle_partitions, text_bytes
 
 CHUNK_BYTES = 4 << 20
@@ -49,7 +50,7 @@ def chunk_of(spread: Column, plan: Layout) -> Column:
 def _squeeze(numbers: np.ndarray, bytes_each: int = 4) -> bytes:
     """Planes of bytes, the least first: most planes are zeros, and shrink."""
     planes = numbers.astype("<u8").view("u1").reshape(-1, 8)[:, :bytes_each].T
-    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+    return pa.compress(np.ascontiguousarray(planes), codec="zstd", asbytes=True)
 
 
 def _expand(blob: bytes, n: int, bytes_each: int = 4) -> np.ndarray:
@@ -117,13 +118,10 @@ def totals(chunked: DataFrame, keys_of: Callable, plan: Layout, earlier: DataFra
         n = asked["n"].to_pylist()
         keys = np.concatenate([_unpack(k, m, plan) for k, m in zip(asked["keys"].to_pylist(), n)])
         counts = np.concatenate([_read(c, plan.lean) for c in asked["counts"].to_pylist()])
-        order = np.argsort(keys, kind="stable")
-        ordered = keys[order]
-        opens = np.ones(len(keys), bool)
-        opens[1:] = ordered[1:] != ordered[:-1]
-        sums = np.add.reduceat(counts[order], np.flatnonzero(opens))
+        order, ordered = sorted_places(keys)
+        first = np.flatnonzero(changes(ordered))
         total = np.empty(len(keys), np.int64)
-        total[order] = sums[np.cumsum(opens) - 1]
+        total[order] = np.repeat(np.add.reduceat(counts[order], first), np.diff(first, append=len(keys)))
         low, high = (total & 0xFFFFFFFF).astype("<u4"), (total >> 32).astype("<u4")
         spans = [(e - m, e) for e, m in zip(np.cumsum(n).tolist(), n)]
         return pa.table({"chunk": asked["chunk"], "bucket": asked["bucket"],

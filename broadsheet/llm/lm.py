@@ -24,23 +24,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadsheet.llm.bytewords import SPACED, blocks, mix, rolling, run_starts
+from broadsheet.llm.bytewords import SPACED, blocks, changes, mix, rolling, run_starts, sorted_places
 from broadsheet.llm.counting import chunk_of, layout, phases, totals, with_totals
 
 ALL_WORDS = np.uint64(0)  #: the key under which chunks send their number of words
 
 
 def _ngrams(chunk: pa.Table, order: int) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
-    """(words of each document; per order the keys and the documents of its n-grams)."""
+    """(words of each document; per order the keys of its n-grams and the word of the chunk that each ends with)."""
     texts = chunk["text"].combine_chunks()
     counts, found = np.zeros(len(texts), np.int64), [[] for _ in range(order)]
+    before = 0
     for b in blocks(texts, SPACED):
         words = b.hashes()
         counts[b.first : b.first + b.docs] = np.diff(b.doc_words)
         for k in range(1, order + 1):
-            starts, runs = run_starts(b.doc_words, k)
+            starts, _ = run_starts(b.doc_words, k)
             keys = mix(rolling(words, k)[starts] + np.uint64(k)) if len(starts) else np.zeros(0, np.uint64)
-            found[k - 1].append((keys, np.repeat(np.arange(b.first, b.first + b.docs), runs)))
+            found[k - 1].append((keys, starts + (before + k - 1)))
+        before += len(words)
     return counts, [tuple(map(np.concatenate, zip(*f))) if f else (np.zeros(0, np.uint64), np.zeros(0, np.int64)) for f in found]
 
 
@@ -48,34 +50,38 @@ def _look_up(chunk: pa.Table, order: int, totals_of: Callable[[int], np.ndarray]
     """(words of each document; all words; per order and word how often its n-gram was seen elsewhere; keys and counts to ask next).
 
     Phase 0 asks for orders 1 and 2, each later phase for one order more. An n-gram can only be
-    elsewhere if the two n-grams within it are, so others are not asked for.
+    elsewhere if the two n-grams within it are, so others are not asked for. A phase's n-grams are
+    sorted once, which puts those of one key together and, among them, those of one document.
     """
     words, grams = _ngrams(chunk, order)
-    starts = np.cumsum(words) - words
-    seen = np.zeros((order, int(words.sum())), np.int64)
+    n = int(words.sum())
+    owner = np.repeat(np.arange(order * len(words)), np.tile(words, order))
+    seen = np.zeros((order, n), np.int64)
     every = 0
     keys = counts = np.zeros(0, np.int64)
     for phase, orders in enumerate([range(min(order, 2)), *([k] for k in range(2, order))]):
         kept = []
         for k in orders:
-            gram, doc = grams[k]
-            at = starts[doc] + (np.arange(len(doc)) - np.searchsorted(doc, doc)) + k
+            gram, at = grams[k]
             if phase:
                 open_ = (seen[k - 1, at] > 0) & (seen[k - 1, at - 1] > 0)
-                gram, doc, at = gram[open_], doc[open_], at[open_]
-            kept.append((k, gram, doc, at))
-        keys, counts = np.unique(np.concatenate([gram for _, gram, _, _ in kept]), return_counts=True)
+                gram, at = gram[open_], at[open_]
+            kept.append((gram, k * n + at))
+        gram, place = map(np.concatenate, zip(*kept))
+        ranks, gram = sorted_places(gram)
+        place = place[ranks]
+        first = np.flatnonzero(changes(gram))
+        keys, counts = gram[first], np.diff(first, append=len(gram))
+        each = counts
         if not phase:
             real = keys != ALL_WORDS
-            keys, counts = np.append(ALL_WORDS, keys[real]), np.append(words.sum(), counts[real])
+            keys, counts = np.append(ALL_WORDS, keys[real]), np.append(n, counts[real])
         if phase == answered:
             break
         total = totals_of(phase)
         every = every if phase else int(total[0])
-        for k, gram, doc, at in kept:
-            place = np.searchsorted(keys, gram)
-            _, inverse, own = np.unique(doc * len(keys) + place, return_inverse=True, return_counts=True)
-            seen[k, at] = total[place] - own[inverse]
+        own = np.diff(np.flatnonzero(changes(gram) | changes(owner[place])), append=len(gram))
+        seen.reshape(-1)[place] = np.repeat(total[len(total) - len(each) :], each) - np.repeat(own, own)
     return words, every, seen, keys, counts
 
 
